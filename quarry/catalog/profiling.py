@@ -12,8 +12,6 @@ from .sqlgen import r, union_per_column
 
 LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
           "l_discount", "l_tax"]
-LI_ALL = LI_NUM[:4] + ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-                       "l_shipdate"]
 LI_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
           "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 LI_TYPES = dict(l_orderkey="bigint", l_partkey="bigint", l_suppkey="bigint", l_linenumber="int",
@@ -161,9 +159,7 @@ def q_text_suitability(spark, sf):
     return rnd(P.text_suitability(t(spark, sf, "conversations"), ["conv_id", "turn"]))
 
 
-@register("algorithm_catalog")
-def q_algorithm_catalog(spark, sf):
-    return P.algorithm_catalog(spark)
+# algorithm_catalog is a fixed table (profile.algorithm_catalog): an API, not a query over data
 
 
 # ------------------------------------------------------------------ §2.3 profiling
@@ -352,3 +348,17 @@ SELECT "column", type, missing, missing_pct, unique_count FROM (
 {_column_info_sql(['c_mktsegment', 'c_acctbal'], CUST_TYPES, CUSTOMER_NULLS_SQL)})""")
 def q_custom_column_info(spark, sf):
     return rnd(P.custom_column_info(customer_with_nulls(spark, sf), ["c_mktsegment", "c_acctbal"]))
+
+
+_LI_PRICES_SQL = ("(SELECT l_quantity, l_extendedprice, l_extendedprice * (1 - l_discount) AS net_price, "
+                  "l_extendedprice * (1 + l_tax) AS gross_price, l_discount FROM lineitem)")
+
+
+@register("correlation_pairs_strong", _corr_pairs_sql(["l_quantity", "l_extendedprice", "net_price", "gross_price",
+                                                      "l_discount"], _LI_PRICES_SQL))
+def q_correlation_pairs_strong(spark, sf):
+    li = t(spark, sf, "lineitem")
+    prices = li.select("l_quantity", "l_extendedprice",
+                       (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_price"),
+                       (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("gross_price"), "l_discount")
+    return rnd(P.correlation_pairs(prices))

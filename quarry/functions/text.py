@@ -65,9 +65,17 @@ def word_tokens(s: Column) -> Column:
     return F.filter(F.split(F.lower(s), NON_WORD), lambda w: w != "")
 
 
+_LOWER_ASCII = "abcdefghijklmnopqrstuvwxyz"
+
+
 def alpha3_tokens(s: Column) -> Column:
-    """Tokens equal to \\b[a-zA-Z]{3,}\\b matches on the lower-cased text."""
-    return F.filter(word_tokens(s), lambda w: w.rlike("^[a-z]{3,}$"))
+    """Tokens equal to \\b[a-zA-Z]{3,}\\b matches on the lower-cased text (no per-token regex)."""
+    return F.filter(word_tokens(s), lambda w: (F.length(w) >= 3) & (F.translate(w, _LOWER_ASCII, "") == ""))
+
+
+def in_words(w: Column, words: Sequence[str]) -> Column:
+    """Membership in a fixed word list; the optimizer turns a long IN list into a hash set."""
+    return w.isin(*words)
 
 
 def count_matches(s: Column, pattern: str) -> Column:

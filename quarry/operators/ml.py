@@ -175,13 +175,14 @@ def knn(train: DataFrame, test: DataFrame, key: str, vector: str, k: int = 3, mo
         Q, X = np.stack(q["v"].to_numpy()), np.stack(t["v"].to_numpy())
         tk, ty = t["tk"].to_numpy(), t["y"].to_numpy()
         out = []
+        kk = min(k, X.shape[0])
         for s in range(0, len(Q), 16):  # 16 query rows x one train block at a time
-            qc = Q[s:s + 16]
-            d2 = ((qc[:, None, :] - X[None, :, :]) ** 2).sum(axis=2)
-            kk = min(k, X.shape[0])
-            for i in range(len(qc)):
-                idx = np.lexsort((tk, d2[i]))[:kk]
-                out.append(pd.DataFrame({"qk": q["qk"].iloc[s + i], "tk": tk[idx], "y": ty[idx], "d": d2[i][idx]}))
+            d2 = ((Q[s:s + 16, None, :] - X[None, :, :]) ** 2).sum(axis=2)
+            # per row: ascending distance, then train key; keep the first k
+            order = np.lexsort((np.broadcast_to(tk, d2.shape), d2), axis=-1)[:, :kk]
+            rows = np.arange(d2.shape[0])[:, None]
+            out.append(pd.DataFrame({"qk": np.repeat(q["qk"].to_numpy()[s:s + 16], kk), "tk": tk[order].ravel(),
+                                     "y": ty[order].ravel(), "d": d2[rows, order].ravel()}))
         return pd.concat(out, ignore_index=True)
 
     cands = te.groupBy("tb", "b").cogroup(tr.groupBy("tb", "b")).applyInPandas(

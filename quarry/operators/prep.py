@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.types import clean_nan, cols_of, family, type_name
-from ..plans.ranking import quantiles, ranked
+from ..plans.ranking import _small, quantiles, ranked
+from ..session import pin
 from .profile import column_info, skew_kurt_exprs, value_counts
 
 
@@ -29,27 +30,30 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     vc = value_counts(df, cols).where(F.col("value").isNotNull())
     w = Window.partitionBy("column").orderBy(F.col("k").desc(), F.col("value"))
-    return vc.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("column", F.col("value").alias("mode"))
+    top = vc.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("column", F.col("value").alias("mode"))
+    return _small(top)  # one row per column
 
 
-def impute_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def impute_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
+                  med: DataFrame | None = None) -> DataFrame:
     """Numeric nulls -> exact median of the column (imputed columns become double)."""
     df = clean_nan(df)
     cols = cols_of(df, "numeric", cols)
     if not cols:
         return df
-    med = medians(df, cols, exact)
+    med = med if med is not None else medians(df, cols, exact)
     fill = {c: F.coalesce(F.col(c).cast("double"), _lookup(med, c, "median")).alias(c) for c in cols}
     return df.select(*[fill.get(c, F.col(c)) for c in df.columns])
 
 
-def impute_mode(df: DataFrame, cols: Sequence[str] | None = None, default: str = "Unknown") -> DataFrame:
+def impute_mode(df: DataFrame, cols: Sequence[str] | None = None, default: str = "Unknown",
+                md: DataFrame | None = None) -> DataFrame:
     """Non-numeric nulls -> mode (smallest on ties); text columns with no value -> ``default``."""
     df = clean_nan(df)
     cols = [c for c in (cols or df.columns) if family(df.schema[c].dataType) != "numeric"]
     if not cols:
         return df
-    md = modes(df, cols)
+    md = md if md is not None else modes(df, cols)
     fill = {}
     for c in cols:
         m = _lookup(md, c, "mode")
@@ -91,21 +95,23 @@ def clean_table(df: DataFrame, cols: Sequence[str] | None = None, exact: bool =
     num = cols_of(df, "numeric", cols)
     other = [c for c in cols if c not in num]
     text = cols_of(df, "text", cols)
-    out = impute_median(df, num, exact) if num else df
-    out = impute_mode(out, other) if other else out
+    med = medians(df, num, exact) if num else None  # small tables, computed once
+    md = modes(df, other) if other else None
+    out = impute_median(df, num, exact, med) if num else df
+    out = impute_mode(out, other, md=md) if other else out
     out = standardize_text(out, text) if text else out
     cleaned = out.distinct()
     spark = df.sparkSession
     info = column_info(df, cols).select("column", "missing")
     fills = []
     if num:
-        fills.append(medians(df, num, exact).select("column", F.col("median").cast("string").alias("value"),
-                                                    F.lit("fill_median").alias("action")))
+        fills.append(med.select("column", F.col("median").cast("string").alias("value"),
+                                F.lit("fill_median").alias("action")))
     if other:
-        fills.append(modes(df, other).select("column", F.col("mode").alias("value"), F.lit("fill_mode").alias("action")))
+        fills.append(md.select("column", F.col("mode").alias("value"), F.lit("fill_mode").alias("action")))
         no_mode = spark.createDataFrame([(c,) for c in text], "column string")
         fills.append(no_mode.select("column", F.lit("Unknown").alias("value"), F.lit("fill_mode").alias("action"))
-                     .join(modes(df, other), "column", "left_anti"))
+                     .join(md, "column", "left_anti"))
     log_parts = []
     if fills:
         f = fills[0]
@@ -252,7 +258,8 @@ def label_codes(df: DataFrame, cols: Sequence[str], missing: str = "missing") ->
     """
     vc = value_counts(df, cols).select("column", F.coalesce("value", F.lit(missing)).alias("v")).distinct()
     rk = ranked(vc.withColumn("k", F.lit(1)), ["column"], value="v", weight="k")
-    return rk.select("column", F.col("v").alias("value"), F.col("cum_before").cast("int").alias("code"))
+    # read once per encoded column: pinned (size = distinct values, so not collected)
+    return pin(rk.select("column", F.col("v").alias("value"), F.col("cum_before").cast("int").alias("code")))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded", missing: str = "missing") -> DataFrame:

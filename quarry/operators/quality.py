@@ -45,15 +45,18 @@ def _missing_cells(df: DataFrame):
 
 
 def quality_score(df: DataFrame) -> DataFrame:
-    """score = clamp(100 - 50 * missing / (rows * cols) - 30 * duplicates / rows, 0, 100); empty -> NULL."""
+    """score = clamp(100 - 50 * missing / (rows * cols) - 30 * duplicates / rows, 0, 100); empty -> NULL.
+
+    One aggregate: the distinct-row count is the single distinct aggregate, so Spark keys the
+    partial aggregation by the row and needs no Expand for the other counters.
+    """
     df = clean_nan(df)
-    tp = table_profile(df)
-    miss = df.agg(_missing_cells(df).alias("m"))
-    rows, cols = tp.select("rows").scalar(), len(df.columns)
-    dups = tp.select("duplicated_rows").scalar()
-    raw = 100 - 50 * F.try_divide(miss.select("m").scalar(), rows * cols) - 30 * F.try_divide(dups, rows)
-    clamp = F.when(rows > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
-    return df.sparkSession.range(1).select(clamp.alias("quality_score"))
+    cols = len(df.columns)
+    a = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(*[F.col(c) for c in df.columns])).alias("d"),
+               _missing_cells(df).alias("m"))
+    n = F.col("n")
+    raw = 100 - 50 * F.try_divide(F.col("m"), n * cols) - 30 * F.try_divide(n - F.col("d"), n)
+    return a.select(F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))).alias("quality_score"))
 
 
 def quality_profile(df: DataFrame) -> DataFrame:

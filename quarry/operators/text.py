@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (CATEGORIES, DATE_PATTERN, EMBEDDING_DIM, LANGUAGE_NAMES, LANGUAGE_STOP_WORDS,
                               MONEY_PATTERN, NEGATIVE_WORDS, PERSON_PATTERN, POSITIVE_WORDS, STOP_WORDS,
-                              alpha3_tokens, category_scores, contains_any_count, md5_bucket, substring_count,
+                              alpha3_tokens, category_scores, contains_any_count, in_words, md5_bucket, substring_count,
                               word_tokens)
 
 Key = str | Sequence[str]
@@ -171,8 +171,7 @@ def language(df: DataFrame, key: Key, text: str = "text") -> DataFrame:
     toks = word_tokens(F.col("text"))
     codes = list(LANGUAGE_STOP_WORDS)
     def hit_count(words):
-        arr = F.array(*[F.lit(x) for x in words])
-        return F.size(F.filter(toks, lambda w: F.array_contains(arr, w)))
+        return F.size(F.filter(toks, lambda w: in_words(w, words)))
 
     hits = [hit_count(ws) for ws in LANGUAGE_STOP_WORDS.values()]
     s = t.select(*_keys(key), *[h.alias(f"_h_{c}") for h, c in zip(hits, codes)])
@@ -202,8 +201,7 @@ def keywords(df: DataFrame, key: Key, text: str = "text", k: int = 5) -> DataFra
     """key, keywords: the k most frequent non-stop words (3+ ASCII letters), ties by first position."""
     ks = _keys(key)
     t = texts(df, key, text)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    words = F.filter(alpha3_tokens(F.col("text")), lambda w: ~F.array_contains(stop, w))
+    words = F.filter(alpha3_tokens(F.col("text")), lambda w: ~in_words(w, STOP_WORDS))
     return _top_terms(t, ks, words, k, "keywords")
 
 
@@ -211,11 +209,10 @@ def phrases(df: DataFrame, key: Key, text: str = "text", k: int = 3) -> DataFram
     """key, phrases: the k most frequent adjacent word pairs where neither word is a stop word."""
     ks = _keys(key)
     t = texts(df, key, text)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     w = alpha3_tokens(F.col("text"))
     n = F.greatest(F.size(w) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.when(
-        ~F.array_contains(stop, a) & ~F.array_contains(stop, b), F.concat(a, F.lit(" "), b)))
+        ~in_words(a, STOP_WORDS) & ~in_words(b, STOP_WORDS), F.concat(a, F.lit(" "), b)))
     return _top_terms(t.select(*ks, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))
                                .alias("text")), ks, F.col("text"), k, "phrases")
 

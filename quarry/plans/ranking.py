@@ -64,9 +64,11 @@ def ranked(cnt: DataFrame, keys: Sequence[str], value: str = "v", weight: str =
         F.coalesce(F.sum(weight).over(run_w), F.lit(0)).alias("_local_before"),
         F.sum(weight).over(slice_w).alias("_local_n"),
     )
+    # slice totals straight from the pinned layout (an aggregate, no second window pass)
+    slices = laid.groupBy("_pid", *keys).agg(F.sum(weight).alias("_local_n"))
     key_struct = F.struct(*[F.col(c) for c in keys])
     slice_struct = F.struct(*[F.col(c) for c in keys], F.col("_local_n"))
-    ends = local.groupBy("_pid").agg(
+    ends = slices.groupBy("_pid").agg(
         F.min_by(slice_struct, key_struct).alias("first"),
         F.max_by(slice_struct, key_struct).alias("last"),
     )
@@ -105,7 +107,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float],
         aggs = [F.struct(F.lit(c).alias("column"),
                          *[F.percentile_approx(F.col(c).cast("double"), float(probs[n]), accuracy).alias(n)
                            for n in names]) for c in cols]
-        return df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+        return _small(df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*"))
     rk = ranked(counts(long_values(df, cols), ["column"]), ["column"])
     aggs = []
     for n in names:
@@ -123,4 +125,13 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float],
         pos, lo_v, hi_v = F.col(f"{n}__pos"), F.col(f"{n}__lo"), F.col(f"{n}__hi")
         interp = (F.ceil(pos) - pos) * lo_v + (pos - F.floor(pos)) * hi_v
         out.append(F.when(F.floor(pos) == F.ceil(pos), lo_v).otherwise(interp).alias(n))
-    return picked.select(*out)
+    return _small(picked.select(*out))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Materialise a per-column statistics table (one row per column: bounded by the schema).
+
+    Downstream operators read it in several scalar subqueries and joins; as a local relation it
+    is computed once instead of once per reference.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

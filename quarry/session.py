@@ -72,5 +72,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a bare file scan has fewer splits than the cluster has cores.
+
+    A large input already arrives in thousands of splits (no-op, no shuffle); a small file with
+    one row group would otherwise run its whole map side, e.g. text parsing, in one task. Call it
+    on a scan only: on a plan with a shuffle, counting partitions would run that shuffle.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF
 
-ROWS_ONLY = {"algorithm_catalog", "clf_logistic", "clf_tree", "clf_bayes", "clf_forest", "clf_boost", "clf_svm",
+ROWS_ONLY = {"clf_logistic", "clf_tree", "clf_bayes", "clf_forest", "clf_boost", "clf_svm",
              "clf_mlp", "clf_boost_multiclass", "reg_linear", "reg_ridge", "reg_tree", "reg_forest", "reg_boost",
              "reg_robust", "ml_feature_importance", "ml_run"}
 SLOW = {"clf_forest", "clf_boost", "clf_svm", "clf_mlp", "clf_boost_multiclass", "reg_forest", "reg_boost",
