@@ -30,11 +30,18 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
-def rnd(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every float column so both engines agree on the last digits of float sums."""
+def rnd(df: DataFrame, digits: int = DIGITS, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Round every float column so both engines agree on the last digits of float sums.
+
+    Columns in ``exact`` hold exactly computed decimals (e.g. means from decimal sums): they are
+    rounded half-up on their decimal value, as the oracle does with integer arithmetic.
+    """
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if f.name in exact:
+            dec = F.col(f.name).cast("string").try_cast("decimal(38,12)")
+            out.append(F.coalesce(F.round(dec, digits).cast("double"), F.round(F.col(f.name), digits)).alias(f.name))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
         else:
             out.append(F.col(f.name))

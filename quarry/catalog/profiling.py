@@ -8,7 +8,7 @@ from ..operators import profile as P
 from ..sources import io
 from .base import (CUSTOMER_NULLS_SQL, EVENTS_DUP_SQL, EVENTS_NULLS_SQL, ORDERS_SPARSE_SQL, customer_with_nulls,
                    events_dup, events_with_nulls, orders_sparse, register, rnd, t)
-from .sqlgen import r, union_per_column
+from .sqlgen import exact_mean, r, union_per_column
 
 LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
           "l_discount", "l_tax"]
@@ -172,17 +172,17 @@ def q_table_profile(spark, sf):
 
 
 _NP_T = ("SELECT '{c}' AS \"column\", CAST({i} AS INTEGER) AS position, " + r("min({c})") + " AS min, "
-         + r("max({c})") + " AS max, " + r("avg({c})") + " AS mean, " + r("quantile_cont({c}, 0.5)")
+         + r("max({c})") + " AS max, " + exact_mean("{c}") + " AS mean, " + r("quantile_cont({c}, 0.5)")
          + " AS median, " + r("stddev_samp({c})") + " AS std FROM {src}")
 
 
 @register("numeric_profile", union_per_column(LI_NUM, _NP_T, "lineitem"))
 def q_numeric_profile(spark, sf):
-    return rnd(P.numeric_profile(t(spark, sf, "lineitem")))
+    return rnd(P.numeric_profile(t(spark, sf, "lineitem")), exact=("mean",))
 
 
 EV_NUM = ["event_id", "user_id", "value"]
-_DESC_T = ("SELECT '{c}' AS \"column\", count({c}) AS count, " + r("avg({c})") + " AS mean, "
+_DESC_T = ("SELECT '{c}' AS \"column\", count({c}) AS count, " + exact_mean("{c}") + " AS mean, "
            + r("stddev_samp({c})") + " AS std, " + r("min({c})") + " AS min, "
            + r("quantile_cont({c}, 0.25)") + " AS q25, " + r("quantile_cont({c}, 0.5)") + " AS q50, "
            + r("quantile_cont({c}, 0.75)") + " AS q75, " + r("max({c})") + " AS max FROM {src}")
@@ -190,7 +190,7 @@ _DESC_T = ("SELECT '{c}' AS \"column\", count({c}) AS count, " + r("avg({c})") +
 
 @register("describe", union_per_column(EV_NUM, _DESC_T, EVENTS_NULLS_SQL))
 def q_describe(spark, sf):
-    return rnd(P.describe(events_with_nulls(spark, sf)))
+    return rnd(P.describe(events_with_nulls(spark, sf)), exact=("mean",))
 
 
 _NULL_T = "SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM {src}"
@@ -311,14 +311,14 @@ def q_correlation_pairs(spark, sf):
     return rnd(P.correlation_pairs(t(spark, sf, "lineitem")))
 
 
-_DIST_T = ("SELECT '{c}' AS \"column\", " + r("avg({c})") + " AS mean, " + r("quantile_cont({c}, 0.5)")
+_DIST_T = ("SELECT '{c}' AS \"column\", " + exact_mean("{c}") + " AS mean, " + r("quantile_cont({c}, 0.5)")
            + " AS median, " + r("stddev_samp({c})") + " AS std, " + r("skewness({c})") + " AS skewness, "
            + r("kurtosis({c})") + " AS kurtosis FROM {src}")
 
 
 @register("distribution_stats", union_per_column(["value", "user_id"], _DIST_T, EVENTS_NULLS_SQL))
 def q_distribution_stats(spark, sf):
-    return rnd(P.distribution_stats(events_with_nulls(spark, sf), ["value", "user_id"]))
+    return rnd(P.distribution_stats(events_with_nulls(spark, sf), ["value", "user_id"]), exact=("mean",))
 
 
 @register("dataset_summary", f"""

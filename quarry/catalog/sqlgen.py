@@ -16,3 +16,12 @@ def union_per_column(cols: Sequence[str], template: str, src: str) -> str:
 
 def lit_list(values: Sequence[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def exact_mean(c: str, digits: int = 6) -> str:
+    """Mean rounded half-up at ``digits`` from an exact decimal sum, in integer arithmetic."""
+    s10 = f"CAST(sum(CAST({c} AS DECIMAL(38,10))) * 10000000000 AS HUGEINT)"
+    n = f"count({c})"
+    scale = 10 ** (10 - digits)
+    q = f"sign({s10}) * ((2 * abs({s10}) + {n} * {scale}) // (2 * {n} * {scale}))"
+    return f"CASE WHEN {n} > 0 THEN CAST({q} AS DOUBLE) / {10 ** digits} END"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import clean_nan, cols_of, seeded_order
 from ..plans.ranking import ranked
-from ..session import pin
+from ..session import local_table, pin
 from . import evaluate as E
 from .prep import impute_constant, impute_median, label_codes
 
@@ -134,7 +134,7 @@ def ml_feature_importance(model, features: Sequence[str], spark, top: int = 10)
     last = model.stages[-1] if hasattr(model, "stages") else model
     imp = getattr(last, "featureImportances", None)
     rows = [] if imp is None else sorted(zip(features, [float(x) for x in imp.toArray()]), key=lambda r: -r[1])[:top]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return local_table(spark, rows, "feature string, importance double")
 
 
 def gaussian_nb_stats(prepared: DataFrame, features: Sequence[str]) -> DataFrame:

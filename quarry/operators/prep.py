@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import clean_nan, cols_of, family, type_name
 from ..plans.ranking import _small, quantiles, ranked
-from ..session import pin
+from ..session import local_table, pin
 from .profile import column_info, skew_kurt_exprs, value_counts
 
 
@@ -109,7 +109,7 @@ def clean_table(df: DataFrame, cols: Sequence[str] | None = None, exact: bool =
                                 F.lit("fill_median").alias("action")))
     if other:
         fills.append(md.select("column", F.col("mode").alias("value"), F.lit("fill_mode").alias("action")))
-        no_mode = spark.createDataFrame([(c,) for c in text], "column string")
+        no_mode = local_table(spark, [(c,) for c in text], "column string")
         fills.append(no_mode.select("column", F.lit("Unknown").alias("value"), F.lit("fill_mode").alias("action"))
                      .join(md, "column", "left_anti"))
     log_parts = []
@@ -120,7 +120,7 @@ def clean_table(df: DataFrame, cols: Sequence[str] | None = None, exact: bool =
         log_parts.append(info.where(F.col("missing") > 0).join(f, "column").select(
             "action", "column", F.col("missing").alias("count"), "value"))
     if text:
-        log_parts.append(spark.createDataFrame([("standardize_text", c) for c in text], "action string, column string")
+        log_parts.append(local_table(spark, [("standardize_text", c) for c in text], "action string, column string")
                          .select("action", "column", F.lit(None).cast("bigint").alias("count"),
                                  F.lit(None).cast("string").alias("value")))
     removed = out.select(F.count(F.lit(1))).scalar() - cleaned.select(F.count(F.lit(1))).scalar()
@@ -300,7 +300,7 @@ def transform_table(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[D
                 changes.append(("standardize", c, f"{c}_standardized"))
         elif c in text:
             changes.append(("label_encode", c, f"{c}_encoded"))
-    log = df.sparkSession.createDataFrame(changes, "action string, column string, new_column string")
+    log = local_table(df.sparkSession, changes, "action string, column string, new_column string")
     return out, log
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import local_table
 from ..functions.types import clean_nan, cols_of, family, type_name
 from ..plans.ranking import long_values, quantiles
 
@@ -19,10 +20,16 @@ def _spark(df: DataFrame):
     return df.sparkSession
 
 
+def exact_mean(c: Column) -> Column:
+    """Mean from an exact decimal sum: the same value whatever the partitioning and merge order
+    (a double sum's last digits depend on both)."""
+    return F.avg(c.cast("decimal(38,10)")).cast("double")
+
+
 def _meta(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Schema facts as a tiny DataFrame (bounded by the number of columns)."""
     rows = [(c, i, type_name(df, c), family(df.schema[c].dataType)) for i, c in enumerate(cols)]
-    return _spark(df).createDataFrame(rows, "column string, position int, type string, family string")
+    return local_table(_spark(df), rows, "column string, position int, type string, family string")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -134,7 +141,7 @@ ALGORITHMS = [
 
 
 def algorithm_catalog(spark) -> DataFrame:
-    return spark.createDataFrame(ALGORITHMS, "problem_type string, complexity string, algorithm string, "
+    return local_table(spark, ALGORITHMS, "problem_type string, complexity string, algorithm string, "
                                              "category string, description string")
 
 
@@ -160,7 +167,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
     one = _explode_structs(df.agg(F.array(*[F.struct(
         F.lit(c).alias("column"), F.lit(i).alias("position"),
         F.min(F.col(c)).cast("double").alias("min"), F.max(F.col(c)).cast("double").alias("max"),
-        F.avg(F.col(c)).alias("mean"), F.stddev_samp(F.col(c)).alias("std"))
+        exact_mean(F.col(c)).alias("mean"), F.stddev_samp(F.col(c)).alias("std"))
         for i, c in enumerate(cols)]).alias("a")))
     med = quantiles(df, cols, {"median": 0.5}, exact=exact)
     return one.join(med, "column", "left").select("column", "position", "min", "max", "mean", "median", "std")
@@ -171,7 +178,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
     df = clean_nan(df)
     cols = cols_of(df, "numeric", cols)
     one = _explode_structs(df.agg(F.array(*[F.struct(
-        F.lit(c).alias("column"), F.count(F.col(c)).alias("count"), F.avg(F.col(c)).alias("mean"),
+        F.lit(c).alias("column"), F.count(F.col(c)).alias("count"), exact_mean(F.col(c)).alias("mean"),
         F.stddev_samp(F.col(c)).alias("std"), F.min(F.col(c)).cast("double").alias("min"),
         F.max(F.col(c)).cast("double").alias("max")) for c in cols]).alias("a")))
     q = quantiles(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, exact=exact)
@@ -316,7 +323,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, threshol
     cols = cols_of(df, "numeric", cols)
     if len(cols) < 2:
         raise ValueError("need at least 2 numeric columns for correlation analysis")
-    pos = _spark(df).createDataFrame([(c, i) for i, c in enumerate(cols)], "c string, i int")
+    pos = local_table(_spark(df), [(c, i) for i, c in enumerate(cols)], "c string, i int")
     cm = correlation_matrix(df, cols)
     return (cm.join(F.broadcast(pos.withColumnRenamed("c", "col_a").withColumnRenamed("i", "ia")), "col_a")
             .join(F.broadcast(pos.withColumnRenamed("c", "col_b").withColumnRenamed("i", "ib")), "col_b")
@@ -344,7 +351,7 @@ def distribution_stats(df: DataFrame, cols: Sequence[str] | None = None, exact:
     for c in cols:
         x = F.col(c).cast("double")
         g1, g2 = skew_kurt_exprs(x)
-        items.append(F.struct(F.lit(c).alias("column"), F.avg(x).alias("mean"),
+        items.append(F.struct(F.lit(c).alias("column"), exact_mean(x).alias("mean"),
                               F.stddev_samp(x).alias("std"), g1.alias("skewness"), g2.alias("kurtosis")))
     one = _explode_structs(df.agg(F.array(*items).alias("a")))
     med = quantiles(df, cols, {"median": 0.5}, exact=exact)

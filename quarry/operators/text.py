@@ -43,8 +43,8 @@ def _conf(base: float, score: Column) -> Column:
 
 def sentiment(df: DataFrame, key: Key, text: str = "text") -> DataFrame:
     """key, sentiment, confidence, positive_hits, negative_hits."""
-    t = texts(df, key, text)
-    lt = F.lower(F.col("text"))
+    t = texts(df, key, text).select(*_keys(key), F.lower(F.col("text")).alias("lt"))  # lowered once
+    lt = F.col("lt")
     pos, neg = contains_any_count(lt, POSITIVE_WORDS), contains_any_count(lt, NEGATIVE_WORDS)
     s = t.select(*_keys(key), pos.alias("positive_hits"), neg.alias("negative_hits"))
     p, n = F.col("positive_hits"), F.col("negative_hits")
@@ -57,8 +57,8 @@ def classify(df: DataFrame, key: Key, text: str = "text",
              categories: Mapping[str, Sequence[str]] = CATEGORIES) -> DataFrame:
     """key, category, confidence: keyword hits per category, first category wins ties, none -> other."""
     names = list(categories)
-    t = texts(df, key, text)
-    scores = category_scores(F.lower(F.col("text")), categories)
+    t = texts(df, key, text).select(*_keys(key), F.lower(F.col("text")).alias("lt"))  # lowered once
+    scores = category_scores(F.col("lt"), categories)
     s = t.select(*_keys(key), *[sc.alias(f"_s{i}") for i, sc in enumerate(scores)])
     best = F.greatest(*[F.col(f"_s{i}") for i in range(len(names))]) if len(names) > 1 else F.col("_s0")
     cat = F.lit("other")
@@ -152,9 +152,9 @@ def topics(df: DataFrame, key: Key, text: str = "text", k: int = 5) -> DataFrame
                   ).scalar()  # k words, computed once
     # the topic array is computed once (scalar subquery) and attached as a column, because a
     # subquery may not sit inside a lambda
-    t = texts(df, key, text).withColumn("_topics", arr)
+    t = texts(df, key, text).select(*_keys(key), F.lower(F.col("text")).alias("lt"), arr.alias("_topics"))
     arr = F.col("_topics")
-    lt = F.lower(F.col("text"))
+    lt = F.col("lt")  # a column, not an expression re-run inside the lambda for every topic
     scored = F.transform(arr, lambda w, i: F.struct(substring_count(lt, w).alias("score"), (-i).alias("neg_i"),
                                                     w.alias("topic")))
     best = F.array_max(scored)
@@ -167,8 +167,8 @@ def language(df: DataFrame, key: Key, text: str = "text") -> DataFrame:
 
     Confidence is the winner's share of all stop-word hits; no hit -> English with 0.5.
     """
-    t = texts(df, key, text)
-    toks = word_tokens(F.col("text"))
+    t = texts(df, key, text).select(*_keys(key), word_tokens(F.col("text")).alias("toks"))  # tokenised once
+    toks = F.col("toks")
     codes = list(LANGUAGE_STOP_WORDS)
     def hit_count(words):
         return F.size(F.filter(toks, lambda w: in_words(w, words)))
@@ -209,7 +209,8 @@ def phrases(df: DataFrame, key: Key, text: str = "text", k: int = 3) -> DataFram
     """key, phrases: the k most frequent adjacent word pairs where neither word is a stop word."""
     ks = _keys(key)
     t = texts(df, key, text)
-    w = alpha3_tokens(F.col("text"))
+    t = t.select(*ks, alpha3_tokens(F.col("text")).alias("_w"))  # tokenised once
+    w = F.col("_w")
     n = F.greatest(F.size(w) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.when(
         ~in_words(a, STOP_WORDS) & ~in_words(b, STOP_WORDS), F.concat(a, F.lit(" "), b)))

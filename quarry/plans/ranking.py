@@ -21,8 +21,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import pin
+from ..session import local_table, pin
 
 
 def long_values(df: DataFrame, cols: Sequence[str], key: str = "column", value: str = "v",
@@ -72,16 +73,23 @@ def ranked(cnt: DataFrame, keys: Sequence[str], value: str = "v", weight: str =
         F.min_by(slice_struct, key_struct).alias("first"),
         F.max_by(slice_struct, key_struct).alias("last"),
     )
-    edge = (ends.select("_pid", F.col("first").alias("s"))
-            .unionByName(ends.select("_pid", F.col("last").alias("s")))
-            .select("_pid", *[F.col("s")[c].alias(c) for c in keys], F.col("s._local_n").alias("_local_n"))
-            .distinct())
-    ew = Window.partitionBy(*keys).orderBy("_pid")
-    edge = edge.select(
-        "_pid", *keys,
-        F.coalesce(F.sum("_local_n").over(ew.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
-        F.sum("_local_n").over(Window.partitionBy(*keys)).alias("_n_all"),
-    )
+    # Only the first and last key of a partition can continue across a boundary. The offsets
+    # of those at most 2 x partitions slices are a running sum over partition order, done on
+    # the collected summary (one row per partition, never data rows).
+    seen: dict[tuple, list] = {}
+    for row in sorted(ends.collect(), key=lambda r: r["_pid"]):
+        for end in {tuple(row["first"]), tuple(row["last"])}:
+            seen.setdefault(end[:-1], []).append((row["_pid"], end[-1]))
+    edge_rows = []
+    for k, parts in seen.items():
+        total, base = sum(n for _, n in parts), 0
+        for pid, n in sorted(parts):
+            edge_rows.append((pid, *k, base, total))
+            base += n
+    key_fields = [cnt.schema[c] for c in keys]
+    edge_schema = T.StructType([T.StructField("_pid", T.IntegerType())] + key_fields +
+                               [T.StructField("_base", T.LongType()), T.StructField("_n_all", T.LongType())])
+    edge = local_table(spark, edge_rows, edge_schema)
     # at most 2 rows per range partition: bounded by the partition count, safe to broadcast
     e = F.broadcast(edge).alias("e")
     joined = local.alias("l").join(e, _null_safe_on(local.alias("l"), e, ["_pid", *keys]), "left")
@@ -134,4 +142,4 @@ def _small(df: DataFrame) -> DataFrame:
     Downstream operators read it in several scalar subqueries and joins; as a local relation it
     is computed once instead of once per reference.
     """
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return local_table(df.sparkSession, [tuple(r) for r in df.collect()], df.schema)

@@ -7,10 +7,9 @@ of the table. The scan here is split instead:
 1. range-partition on (keys, order) - a hot key is cut into many contiguous slices - and pin
    the layout with a checkpoint (partition ids must not move if a stage is recomputed);
 2. run the window inside each (partition, key) slice;
-3. summarise the last key of every partition (one row per partition), carry the running
-   totals and the last two values across partitions with a window over that summary, and
-   join the carry (bounded by the partition count, broadcast) into the first rows of the
-   next partition.
+3. summarise the last key of every partition (one row per partition), chain the running
+   totals and the last two values across partitions on that collected summary, and join the
+   carry (bounded by the partition count, broadcast) into the first rows of the next partition.
 
 Results equal a plain window over (keys) ordered by ``order_by``, which must be a total order
 inside each key (add a unique tie-breaker).
@@ -22,8 +21,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import pin
+from ..session import local_table, pin
 
 _STATS = ("lag1", "lag2", "cumsum", "cummax", "cummin")
 
@@ -65,19 +65,35 @@ def ordered_scan(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
                         F.col(f"{c}__mn").alias(f"{c}__mn")]
     summary = (local.groupBy("_pid").agg(F.max_by(F.struct(*last_fields), order_struct).alias("z"))
                .select("_pid", "z.*"))
-    cw = Window.partitionBy(*gkeys).orderBy("_pid")
-    through = cw.rowsBetween(Window.unboundedPreceding, 0)
-    # the carry goes to the next non-empty partition (a window over one row per partition)
-    carry_cols = [F.lead("_pid", 1).over(Window.orderBy("_pid")).alias("_pid")] + [F.col(k) for k in gkeys]
-    for c in cols:
-        carry_cols += [
-            F.col(f"{c}__x").alias(f"{c}__c1"),
-            F.when(F.col("_n") >= 2, F.col(f"{c}__x2")).otherwise(F.lag(f"{c}__x", 1).over(cw)).alias(f"{c}__c2"),
-            F.sum(f"{c}__s").over(through).alias(f"{c}__cs"),  # sum of slice sums: nulls skipped
-            F.max(f"{c}__mx").over(through).alias(f"{c}__cmx"),
-            F.min(f"{c}__mn").over(through).alias(f"{c}__cmn"),
-        ]
-    carry = summary.select(*carry_cols)  # at most one row per range partition
+    # Carry chain over the partitions, on the collected summary (one row per partition): the
+    # running totals and last two values of a key through partition p go to the next non-empty
+    # partition, where they complete the first rows of that key.
+    rows = sorted(summary.collect(), key=lambda r: r["_pid"])
+    carry_rows, prev = [], None
+    for i, r in enumerate(rows):
+        key = tuple(r[k] for k in gkeys)
+        cont = prev is not None and prev["key"] == key  # the key ran through the previous partition
+        through = {"key": key}
+        vals = []
+        for c in cols:
+            x, x2 = r[f"{c}__x"], r[f"{c}__x2"]
+            s_, mx, mn = r[f"{c}__s"], r[f"{c}__mx"], r[f"{c}__mn"]
+            if cont:
+                p = prev[c]
+                s_ = p["s"] if s_ is None else (s_ if p["s"] is None else s_ + p["s"])
+                mx = p["mx"] if mx is None else (mx if p["mx"] is None else max(mx, p["mx"]))
+                mn = p["mn"] if mn is None else (mn if p["mn"] is None else min(mn, p["mn"]))
+            second = x2 if r["_n"] >= 2 else (prev[c]["x"] if cont else None)
+            through[c] = {"x": x, "s": s_, "mx": mx, "mn": mn}
+            vals += [x, second, s_, mx, mn]
+        if i + 1 < len(rows):
+            carry_rows.append((rows[i + 1]["_pid"], *key, *vals))
+        prev = through
+    key_fields = [base.schema[k] for k in gkeys]
+    carry_schema = T.StructType(
+        [T.StructField("_pid", T.IntegerType())] + key_fields +
+        [T.StructField(f"{c}__{n}", T.DoubleType()) for c in cols for n in ("c1", "c2", "cs", "cmx", "cmn")])
+    carry = local_table(spark, carry_rows, carry_schema)  # at most one row per range partition
 
     cond = local["_pid"] == carry["_pid"]
     for k in gkeys:

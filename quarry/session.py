@@ -83,5 +83,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
+def local_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small table from driver-side rows, built from literals (no Python worker round trip).
+
+    Only for tables bounded by the schema: columns, classes, per-column statistics.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, st.fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
