@@ -30,7 +30,16 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
-def rnd(df: DataFrame, digits: int = DIGITS, exact: tuple[str, ...] = ()) -> DataFrame:
+def round_sig(c, digits: int = 10):
+    """Round to ``digits`` significant digits with exact powers of ten only (same IEEE steps as the
+    oracle's ``r_sig``): large float aggregates keep their last-digit noise below the grid."""
+    e = F.floor(F.log10(F.abs(c))) - (digits - 1)
+    up = F.round(c / F.pow(F.lit(10.0), e)) * F.pow(F.lit(10.0), e)
+    down = F.round(c * F.pow(F.lit(10.0), -e)) / F.pow(F.lit(10.0), -e)
+    return F.when(c.isNull() | (c == 0), c).when(e >= 0, up).otherwise(down)
+
+
+def rnd(df: DataFrame, digits: int = DIGITS, exact: tuple[str, ...] = (), sig: tuple[str, ...] = ()) -> DataFrame:
     """Round every float column so both engines agree on the last digits of float sums.
 
     Columns in ``exact`` hold exactly computed decimals (e.g. means from decimal sums): they are
@@ -38,7 +47,9 @@ def rnd(df: DataFrame, digits: int = DIGITS, exact: tuple[str, ...] = ()) -> Dat
     """
     out = []
     for f in df.schema.fields:
-        if f.name in exact:
+        if f.name in sig:
+            out.append(round_sig(F.col(f.name).cast("double")).alias(f.name))
+        elif f.name in exact:
             dec = F.col(f.name).cast("string").try_cast("decimal(38,12)")
             out.append(F.coalesce(F.round(dec, digits).cast("double"), F.round(F.col(f.name), digits)).alias(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):

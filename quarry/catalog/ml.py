@@ -8,7 +8,7 @@ from ..operators import evaluate as E
 from ..operators import ml as M
 from .base import ORDERS_SPARSE_SQL, orders_sparse, register, rnd, t
 from ..session import pin
-from .sqlgen import r
+from .sqlgen import r, r_sig
 
 # planted classification target on orders: price class; the price feature has holes
 ORD_KEY = ["o_orderkey"]
@@ -201,12 +201,12 @@ def _reg_pred(spark, sf):
 
 
 @register("eval_regression", f"""
-SELECT {r('avg(POWER(l_extendedprice - l_quantity * 1530.0, 2))')} AS mse,
-  {r('sqrt(avg(POWER(l_extendedprice - l_quantity * 1530.0, 2)))')} AS rmse,
+SELECT {r_sig('avg(POWER(l_extendedprice - l_quantity * 1530.0, 2))')} AS mse,
+  {r_sig('sqrt(avg(POWER(l_extendedprice - l_quantity * 1530.0, 2)))')} AS rmse,
   {r('1 - sum(POWER(l_extendedprice - l_quantity * 1530.0, 2)) / (var_pop(l_extendedprice) * count(*))')} AS r2_score
 FROM lineitem""")
 def q_eval_regression(spark, sf):
-    return rnd(E.eval_regression(_reg_pred(spark, sf)))
+    return rnd(E.eval_regression(_reg_pred(spark, sf)), sig=("mse", "rmse"))
 
 
 @register("eval_actual_vs_predicted", """

@@ -8,7 +8,7 @@ from ..operators import prep as R
 from .base import (CUSTOMER_NULLS_SQL, EVENTS_DUP_SQL, EVENTS_NULLS_SQL, ORDERS_SPARSE_SQL, customer_with_nulls,
                    events_dup, events_with_nulls, orders_sparse, register, rnd, t)
 from .profiling import ORD_TYPES, _column_info_sql
-from .sqlgen import r
+from .sqlgen import r, r_sig
 
 
 @register("impute_median", f"""
@@ -149,14 +149,14 @@ def q_missing_pattern(spark, sf):
 
 
 @register("variance_importance", f"""
-SELECT feature, {r('v')} AS importance_score, {r('CASE WHEN mx <> 0 THEN v / mx ELSE 0.0 END')} AS normalized_score,
+SELECT feature, {r_sig('v')} AS importance_score, {r('CASE WHEN mx <> 0 THEN v / mx ELSE 0.0 END')} AS normalized_score,
   CAST(row_number() OVER (ORDER BY v DESC NULLS LAST, feature) AS INTEGER) AS rank FROM (
   SELECT 'l_quantity' AS feature, var_samp(l_quantity) AS v, max(l_quantity) AS mx FROM lineitem
   UNION ALL SELECT 'l_extendedprice', var_samp(l_extendedprice), max(l_extendedprice) FROM lineitem
   UNION ALL SELECT 'l_discount', var_samp(l_discount), max(l_discount) FROM lineitem
   UNION ALL SELECT 'l_tax', var_samp(l_tax), max(l_tax) FROM lineitem)""")
 def q_variance_importance(spark, sf):
-    return rnd(R.variance_importance(t(spark, sf, "lineitem"), LI_NUM))
+    return rnd(R.variance_importance(t(spark, sf, "lineitem"), LI_NUM), sig=("importance_score",))
 
 
 @register("transform_log", """

@@ -159,7 +159,22 @@ def q_text_suitability(spark, sf):
     return rnd(P.text_suitability(t(spark, sf, "conversations"), ["conv_id", "turn"]))
 
 
-# algorithm_catalog is a fixed table (profile.algorithm_catalog): an API, not a query over data
+_ALGO_VALUES = ", ".join("(" + ", ".join("'" + v + "'" for v in row) + ")" for row in P.ALGORITHMS)
+
+
+@register("algorithm_catalog", f"""
+SELECT "column", problem_type, complexity, algorithm, category, description FROM (
+  SELECT "column", CASE WHEN family = 'numeric' AND unique_count BETWEEN 2 AND 20 THEN 'classification'
+    WHEN family = 'numeric' AND unique_count > 20 THEN 'regression'
+    WHEN family = 'text' AND unique_count BETWEEN 2 AND 50 THEN 'classification' END AS tt
+  FROM ({_column_info_sql(list(ORD_TYPES), ORD_TYPES, 'orders')})) s
+JOIN (VALUES {_ALGO_VALUES}) a(problem_type, complexity, algorithm, category, description) ON a.problem_type = s.tt""")
+def q_algorithm_catalog(spark, sf):
+    """The algorithms offered for each column of orders that can serve as a target."""
+    ts = P.target_suitability(P.column_info(t(spark, sf, "orders"))).where("is_target_suitable")
+    cat = F.broadcast(P.algorithm_catalog(spark))  # a fixed 15-row table
+    return ts.join(cat, ts["target_type"] == cat["problem_type"]).select(
+        "column", "problem_type", "complexity", "algorithm", "category", "description")
 
 
 # ------------------------------------------------------------------ §2.3 profiling

@@ -25,3 +25,11 @@ def exact_mean(c: str, digits: int = 6) -> str:
     scale = 10 ** (10 - digits)
     q = f"sign({s10}) * ((2 * abs({s10}) + {n} * {scale}) // (2 * {n} * {scale}))"
     return f"CASE WHEN {n} > 0 THEN CAST({q} AS DOUBLE) / {10 ** digits} END"
+
+
+def r_sig(expr: str, digits: int = 10) -> str:
+    """Round to significant digits, as ``base.round_sig`` does."""
+    x = f"CAST({expr} AS DOUBLE)"
+    e = f"(floor(log10(abs({x}))) - {digits - 1})"
+    return (f"CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} WHEN {e} >= 0 THEN round({x} / pow(10.0, {e})) * pow(10.0, {e}) "
+            f"ELSE round({x} * pow(10.0, -{e})) / pow(10.0, -{e}) END")
