@@ -13,9 +13,22 @@ from ..session import local_table, pin
 from .profile import column_info, skew_kurt_exprs, value_counts
 
 
+_STATS_CACHE: dict[int, dict] = {}
+
+
 def _lookup(small: DataFrame, column: str, field: str) -> Column:
-    """Scalar subquery reading one field of a per-column statistics table (a few rows)."""
-    return small.where(F.col("column") == column).select(F.col(field)).scalar()
+    """One field of a per-column statistics table (one row per column) as a typed literal.
+
+    The table is already materialised on the driver side (``_small``); reading it once and
+    inlining the numbers avoids one scalar-subquery job per reference.
+    """
+    key = id(small)
+    if key not in _STATS_CACHE:
+        _STATS_CACHE.clear()  # keep only the table in use
+        _STATS_CACHE[key] = {"df": small, "rows": {r["column"]: r for r in small.collect()}}
+    row = _STATS_CACHE[key]["rows"].get(column)
+    value = None if row is None else row[field]
+    return F.lit(value).cast(small.schema[field].dataType)
 
 
 def medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
@@ -193,8 +206,8 @@ def missing_pattern(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     cols = list(cols or df.columns)
     pat = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
     names = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])
-    return df.groupBy(pat.alias("pattern")).agg(F.first(names).alias("missing_columns"),
-                                                F.count(F.lit(1)).alias("rows"))
+    # the names are a function of the pattern: grouping by both keeps a hash aggregate
+    return df.groupBy(pat.alias("pattern"), names.alias("missing_columns")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def variance_importance(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -52,8 +52,8 @@ def column_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         F.sum(F.when(F.col("value").isNull(), F.col("k")).otherwise(0)).alias("missing"),
         F.count("value").alias("unique_count"),
     )
-    # the row count is a scalar subquery (covers an empty table, where the unpivot is empty)
-    n = df.select(F.count(F.lit(1))).scalar()
+    # every column's value counts add up to the row count; an empty table has no counts at all
+    n = F.coalesce(F.col("rows"), F.lit(0)).cast("bigint")
     return (F.broadcast(_meta(df, cols)).join(stats, "column", "left")
             .select("column", "position", "type", "family",
                     n.alias("rows"),
