@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, html_text, packing, pii
 from .common import read
 
 QUERIES: dict = {}
@@ -21,12 +21,27 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.assign(read(spark, sf_dir, "documents"), shards=8)
+
+
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     return bpe.encode_column(read(spark, sf_dir, "documents"), path, pattern)
 
 
+@query
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
     return QUERIES | {"pipeline": corpus_pipeline.run}
