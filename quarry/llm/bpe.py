@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE = 400_000  # pieces kept by a worker before it starts its cache again
+CACHE = 400_000  # distinct pieces, chunks and id runs each, before a worker starts that cache again
+LONG = 200  # characters of a chunk that is not remembered
+PREFIXES = 1_000_000  # byte prefixes whose last token a worker remembers
 PAIRS = 3_000_000  # token pairs whose test a worker remembers
 
 
@@ -134,30 +137,103 @@ class Prefixes:
         return out[::-1]
 
 
+class PrefixTable:
+    """The prefix tables of many pieces as one map, byte prefix -> last token: what pieces share is filled in once."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.last = vocab, {}
+
+    def ids(self, data: bytes) -> list[int]:
+        v, size, longest = self.vocab, self.vocab.size, self.vocab.longest
+        rank, fits = v.rank.get, v.fits.get
+        if len(self.last) > PREFIXES:
+            self.last.clear()
+        last = self.last
+        known = len(data)
+        while known and data[:known] not in last:
+            known -= 1
+        for end in range(known + 1, len(data) + 1):
+            for at in range(end - longest if end > longest else 0, end):
+                t = rank(data[at:end])
+                if t is None:
+                    continue
+                if at:
+                    u = last[data[:at]]
+                    ok = fits(u * size + t)
+                    if ok is None:
+                        ok = v.adjacent(u, t)
+                    if not ok:
+                        continue
+                last[data[:end]] = t
+                break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+        out, at = [], len(data)
+        while at:
+            t = last[data[:at]]
+            out.append(t)
+            at -= len(v.tokens[t])
+        return out[::-1]
+
+
 class Encoder:
+    """Encodes texts piece by piece; remembers pieces, and whole chunks between single white-space characters.
+
+    A space followed by no white space starts a piece, and a lone line feed is a piece of its own, so a text
+    without runs of white space can be cut there before the split pattern is applied to each distinct chunk.
+    """
+
     def __init__(self, vocab: Vocabulary, pattern: str):
-        self.vocab, self.pieces = vocab, regex.compile(pattern)
-        self.cache: dict[str, str] = {}
+        self.vocab, self.split = vocab, regex.compile(pattern)
+        self.other = re.compile("[\x00\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+        self.pieces: dict[str, str] = {}
+        self.chunks: dict[str, str] = {}
+        self.table = PrefixTable(vocab)
         self.bytes_of = {str(i): t for i, t in enumerate(vocab.tokens)}
+        self.decoded: dict[str, bytes] = {}
 
     def encode_piece(self, piece: str) -> list[int]:
         data = piece.encode()
         whole = self.vocab.rank.get(data)
-        return [whole] if whole is not None else Prefixes(self.vocab, data).ids()
-
-    def encode_joined(self, text: str) -> str:
-        """Ids in decimal, joined by one space."""
-        cache = self.cache
-        pieces = self.pieces.findall(text)
+        if whole is not None:
+            return [whole]
+        return self.table.ids(data) if len(data) <= LONG else Prefixes(self.vocab, data).ids()
+
+    def _chunk(self, chunk: str) -> str:
+        out = []
+        for p in self.split.findall(chunk):
+            ids = self.pieces.get(p)
+            if ids is None:
+                if len(self.pieces) > CACHE:
+                    self.pieces.clear()
+                ids = " ".join(map(str, self.encode_piece(p)))
+                if len(p) <= LONG:
+                    self.pieces[p] = ids
+            out.append(ids)
+        return " ".join(out)
+
+    def encode_parts(self, text: str) -> list[str]:
+        """Ids in decimal, joined by one space, of successive parts of the text."""
+        if not text:
+            return []
+        if any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or self.other.search(text):
+            return [self._chunk(text)]
+        parts = list(filter(None, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
+        if max(map(len, parts)) > LONG:
+            return [self._chunk(p) for p in parts]
+        known = self.chunks
         try:
-            return " ".join(map(cache.__getitem__, pieces))
+            return list(map(known.__getitem__, parts))
         except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            for p in pieces:
-                if p not in cache:
-                    cache[p] = " ".join(map(str, self.encode_piece(p)))
-            return " ".join(map(cache.__getitem__, pieces))
+            if len(known) > CACHE:
+                known.clear()
+            for p in parts:
+                if p not in known:
+                    known[p] = self._chunk(p)
+            return list(map(known.__getitem__, parts))
+
+    def encode_joined(self, text: str) -> str:
+        return " ".join(self.encode_parts(text))
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_joined(text).split()]
@@ -165,6 +241,21 @@ class Encoder:
     def decode_joined(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split()))
 
+    def decode_parts(self, parts: list[str]) -> bytes:
+        """The bytes of the ids of all parts; runs of ids seen before are remembered."""
+        if not parts or max(map(len, parts)) > 8 * LONG:
+            return b"".join(map(self.decode_joined, parts))
+        known = self.decoded
+        try:
+            return b"".join(map(known.__getitem__, parts))
+        except KeyError:
+            if len(known) > CACHE:
+                known.clear()
+            for p in parts:
+                if p not in known:
+                    known[p] = self.decode_joined(p)
+            return b"".join(map(known.__getitem__, parts))
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -189,11 +280,12 @@ def encode_column(docs: DataFrame, vocab_path: str, pattern: str, text: str = "t
                 rows = batch.slice(part, 1000)
                 counts, first, second = [], [], []
                 for value in rows.column(1):
-                    ids = enc.encode_joined(value.as_py() or "")
+                    found = enc.encode_parts(value.as_py() or "")
+                    ids = " ".join(found)
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     if digest:
                         first.append(hashlib.sha256(ids.encode()).hexdigest())
-                        second.append(hashlib.sha256(enc.decode_joined(ids)).hexdigest())
+                        second.append(hashlib.sha256(enc.decode_parts(found)).hexdigest())
                     else:
                         first.append([int(x) for x in ids.split()])
                 cols = [rows.column(0), pa.array(counts, pa.int64())]
