@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, minhash, packing, pii
+from . import bpe, cap_filters, html_text, minhash, packing, pii
 from .common import read
 
 QUERIES: dict = {}
@@ -21,6 +21,25 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.link(read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+ORACLE["op1_cap_filters"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id
+  AND len(p.x) = len(q.x) WHERE p.ok AND q.ok AND list_cosine_similarity(p.x, q.x) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
 @query
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(read(spark, sf_dir, "documents"), words=3, percent=85)
