@@ -129,6 +129,24 @@ def binary_parts(col: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield b"" if b is None else b.to_pybytes()
 
 
+def portions(lengths: np.ndarray, rows: int = 1000, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and about ``size`` bytes; a longer row comes alone."""
+    at, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > at and (i - at >= rows or total + n > size):
+            yield at, i
+            at, total = i, 0
+        total += n
+    if at < len(lengths):
+        yield at, len(lengths)
+
+
+def byte_lengths(col: pa.Array) -> np.ndarray:
+    """Bytes of each value of a string or binary column, null as 0."""
+    import pyarrow.compute as pc
+    return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole groups: rows must arrive with equal keys side by side.
 

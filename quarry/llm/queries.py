@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cap_filters, html_text, minhash, packing, pii
+from . import bpe, cap_filters, html_text, minhash, packing, pii, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -40,6 +40,11 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id
 FROM v JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id"""
 
 
+@query
+def op2_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(read(spark, sf_dir, "documents"), words=3, percent=85)
