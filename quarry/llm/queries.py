@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cap_filters, html_text, minhash, packing, pii, toxicity
+from . import bpe, cap_filters, html_text, minhash, packing, perplexity, pii, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -67,6 +67,11 @@ c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.id = doc_id"""
 
 
+@query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(read(spark, sf_dir, "documents"), shards=8)
