@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cap_filters, html_text, minhash, packing, perplexity, pii, toxicity
+from . import bpe, cap_filters, html_text, minhash, mixing, packing, perplexity, pii, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -88,6 +88,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(read(spark, sf_dir, "documents"), path, pattern)
 
 
+TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+
+
+@query
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.quality_domains(read(spark, sf_dir, "labels"))
+    return mixing.mix(read(spark, sf_dir, "documents"), labelled, TARGETS)
+
+
 @query
 def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
