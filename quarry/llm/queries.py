@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cap_filters, html_text, minhash, mixing, packing, perplexity, pii, toxicity
+from . import bpe, cap_filters, html_text, minhash, mixing, packing, perplexity, pii, suffix_dedup, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -102,6 +102,11 @@ def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
     return QUERIES | {"pipeline": corpus_pipeline.run}
