@@ -132,12 +132,12 @@ def orders_text_dates(spark, sf):
 @register("detect_datetime", f"""
 SELECT "column", count(*) AS probed, count(ok) AS parsed, count(*) = count(ok) AS is_datetime FROM (
   SELECT 'odate' AS "column", try_strptime(odate, '%Y-%m-%d') AS ok FROM {ORD_TEXT_SQL} WHERE odate IS NOT NULL
-  QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 100
-  UNION ALL
-  SELECT 'o_orderpriority', try_strptime(o_orderpriority, '%Y-%m-%d') FROM {ORD_TEXT_SQL}
-  QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 100) GROUP BY 1""")
+  UNION ALL SELECT 'good', try_strptime(good, '%Y-%m-%d') FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS good FROM orders)
+  UNION ALL SELECT 'o_orderpriority', try_strptime(o_orderpriority, '%Y-%m-%d') FROM {ORD_TEXT_SQL}) GROUP BY 1""")
 def q_detect_datetime(spark, sf):
-    return FE.detect_datetime(orders_text_dates(spark, sf), ["o_orderkey"])
+    o = orders_text_dates(spark, sf).join(t(spark, sf, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("good")), "o_orderkey")
+    return FE.detect_datetime(o)
 
 
 @register("feat_temporal_text", _temporal_sql("odate", "try_strptime(odate, '%Y-%m-%d')", ORD_TEXT_SQL, "o_orderkey"))
@@ -180,7 +180,7 @@ def q_feat_string_length(spark, sf):
     return out.select("c_custkey", "c_name_length", "c_mktsegment_length")
 
 
-LI4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LI4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
 
 
 def _inter_sql():
@@ -190,12 +190,13 @@ def _inter_sql():
         for b in LI4[i + 1:]:
             parts += [f"{a} * {b} AS {a}_x_{b}", f"{a} + {b} AS {a}_plus_{b}",
                       f"{a} / ({b} + 1e-8) AS {a}_div_{b}", f"{a} - {b} AS {a}_minus_{b}"]
-    return "SELECT l_orderkey, l_linenumber, " + ", ".join(parts) + " FROM lineitem"
+    src = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in LI4)
+    return "SELECT l_orderkey, l_linenumber, " + ", ".join(parts) + f" FROM (SELECT l_orderkey, l_linenumber, {src} FROM lineitem)"
 
 
 @register("feat_interaction", _inter_sql())
 def q_feat_interaction(spark, sf):
-    out, _ = FE.feat_interaction(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *LI4), LI4)
+    out, _ = FE.feat_interaction(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *LI4), LI4)  # six columns: all 15 pairs
     return out.drop(*LI4)
 
 
@@ -264,29 +265,32 @@ def _ef(spark, sf):
 
 
 _EF_CAT = []
-for _n, _d in [("rolling_mean_3", "3-period rolling mean of"), ("rolling_std_3", "3-period rolling standard deviation of"),
-               ("lag_1", "1-period lag of"), ("lag_2", "2-period lag of"), ("cumsum", "Cumulative sum of"),
-               ("cummax", "Cumulative maximum of"), ("cummin", "Cumulative minimum of"),
-               ("zscore", "Z-score normalized"), ("percentile_rank", "Percentile rank of")]:
-    _EF_CAT.append((f"o_totalprice_{_n}", "statistical", f"{_d} o_totalprice"))
-for _n, _d in [("year", "Year extracted from"), ("month", "Month extracted from"), ("day", "Day extracted from"),
-               ("dayofweek", "Day of week from"), ("hour", "Hour extracted from"), ("quarter", "Quarter extracted from"),
-               ("is_weekend", "Weekend indicator from"), ("is_month_start", "Month start indicator from"),
-               ("is_month_end", "Month end indicator from")]:
+for _n, _d in [("rolling_mean_3", "mean of o_totalprice over this row and the two before"),
+               ("rolling_std_3", "sample deviation of o_totalprice over this row and the two before"),
+               ("lag_1", "o_totalprice one row back"), ("lag_2", "o_totalprice two rows back"),
+               ("cumsum", "total of o_totalprice so far"), ("cummax", "largest o_totalprice so far"),
+               ("cummin", "smallest o_totalprice so far"), ("zscore", "o_totalprice in deviations from its mean"),
+               ("percentile_rank", "average rank of o_totalprice as a share of its values")]:
+    _EF_CAT.append((f"o_totalprice_{_n}", "statistical", _d))
+for _n, _d in [("year", "calendar year of"), ("month", "month number of"), ("day", "day of the month of"),
+               ("dayofweek", "weekday (Monday 0) of"), ("hour", "hour of the day of"), ("quarter", "quarter number of"),
+               ("is_weekend", "1 on Saturday and Sunday, by"), ("is_month_start", "1 on the first day of a month, by"),
+               ("is_month_end", "1 on the last day of a month, by")]:
     _EF_CAT.append((f"o_orderdate_{_n}", "temporal", f"{_d} o_orderdate"))
-for _v in ["F", "O", "P", "nan"]:
-    _EF_CAT.append((f"o_orderstatus_onehot_{_v}", "categorical", "One-hot encoding for o_orderstatus"))
-_EF_CAT += [("o_orderstatus_label_encoded", "categorical", "Label encoding of o_orderstatus"),
-            ("o_orderstatus_frequency", "categorical", "Frequency encoding of o_orderstatus"),
-            ("o_orderstatus_length", "categorical", "String length of o_orderstatus")]
-for _n, _d in [("word_count", "Word count in"), ("char_count", "Character count in"),
-               ("unique_words", "Unique word count in"), ("avg_word_length", "Average word length in"),
-               ("exclamation_count", "Exclamation mark count in"), ("question_count", "Question mark count in"),
-               ("uppercase_count", "Uppercase letter count in"), ("digit_count", "Digit count in"),
-               ("sentence_count", "Sentence count in")]:
+for _v in ["F", "O", "P"]:
+    _EF_CAT.append((f"o_orderstatus_onehot_{_v}", "categorical", "whether o_orderstatus has this value"))
+_EF_CAT += [("o_orderstatus_onehot_nan", "categorical", "whether o_orderstatus is missing"),
+            ("o_orderstatus_label_encoded", "categorical", "place of the value among the sorted values of o_orderstatus"),
+            ("o_orderstatus_frequency", "categorical", "rows that share the value of o_orderstatus"),
+            ("o_orderstatus_length", "categorical", "characters of o_orderstatus")]
+for _n, _d in [("word_count", "words of"), ("char_count", "characters in"), ("unique_words", "distinct words of"),
+               ("avg_word_length", "mean word length of"), ("exclamation_count", "exclamation marks of"),
+               ("question_count", "question marks of"), ("uppercase_count", "capitals A-Z of"), ("digit_count", "digits of"),
+               ("sentence_count", "sentence ends of")]:
     _EF_CAT.append((f"o_orderstatus_{_n}", "text", f"{_d} o_orderstatus"))
-for _s, _ti in [("mean", "Mean"), ("std", "Std"), ("count", "Count")]:
-    _EF_CAT.append((f"o_orderstatus_o_totalprice_{_s}", "aggregation", f"{_ti} of o_totalprice grouped by o_orderstatus"))
+for _s, _ti in [("mean", "mean"), ("std", "deviation"), ("count", "count")]:
+    _EF_CAT.append((f"o_orderstatus_o_totalprice_{_s}", "aggregation",
+                    f"{_ti} of o_totalprice among rows of the same o_orderstatus"))
 
 _EF_VALUES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _EF_CAT)
 
@@ -318,3 +322,31 @@ def q_feature_run_summary(spark, sf):
     o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     out, cat = _ef(spark, sf)
     return FE.feature_run_summary(o, out, cat)
+
+
+@register("engineer_features_text_dates", """
+SELECT o_orderkey, year(o_orderdate) AS day_year, month(o_orderdate) AS day_month FROM orders""")
+def q_engineer_features_text_dates(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    out, _ = FE.engineer_features(o, ["day"], families=("temporal",))
+    return out.select("o_orderkey", "day_year", "day_month")
+
+
+# four text and four numeric columns: all sixteen pairs
+_G4 = ["o_orderstatus", "o_orderpriority", "o_day", "o_odd"]
+_N4 = ["o_totalprice", "o_custkey", "o_half", "o_neg"]
+
+
+@register("feat_group_agg_all", "SELECT o_orderkey, " + ", ".join(
+    f"{r(f'avg({n}) OVER (PARTITION BY {g})')} AS {g}_{n}_mean, count({n}) OVER (PARTITION BY {g}) AS {g}_{n}_count"
+    for g in _G4 for n in _N4) + """ FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority, strftime(o_orderdate, '%d') AS o_day,
+  CASE WHEN o_orderkey % 2 = 1 THEN 'odd' ELSE 'even' END AS o_odd, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey,
+  o_totalprice / 2 AS o_half, -o_totalprice AS o_neg FROM orders)""")
+def q_feat_group_agg_all(spark, sf):
+    o = t(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "dd").alias("o_day"),
+        F.when(F.col("o_orderkey") % 2 == 1, "odd").otherwise("even").alias("o_odd"), "o_totalprice",
+        F.col("o_custkey").cast("double").alias("o_custkey"), (F.col("o_totalprice") / 2).alias("o_half"),
+        (-F.col("o_totalprice")).alias("o_neg"))
+    out, _ = FE.feat_group_agg(o, _G4, _N4)
+    return rnd(out.select("o_orderkey", *[f"{g}_{n}_{x}" for g in _G4 for n in _N4 for x in ("mean", "count")]))

@@ -44,9 +44,12 @@ def q_ml_prepare(spark, sf):
 
 
 def _split_sql(src, key_expr, strat="label"):
+    # rows that repeat a key stand side by side in the order and go where the first of them goes
     part = f"PARTITION BY {strat}" if strat else ""
-    return f"""(SELECT *, (row_number() OVER ({part} ORDER BY md5(concat('42', {key_expr})), {key_expr}) - 1)
-   < round(count(*) OVER ({part}) * 0.2) AS is_test FROM {src})"""
+    same = f"PARTITION BY {strat + ', ' if strat else ''}{key_expr}"
+    return f"""(SELECT * EXCLUDE (rn_, n_), (min(rn_) OVER ({same}) - 1) < round(n_ * 0.2) AS is_test FROM (
+   SELECT *, row_number() OVER ({part} ORDER BY md5(concat('42', {key_expr})), {key_expr}) AS rn_,
+     count(*) OVER ({part}) AS n_ FROM {src}))"""
 
 
 _ORD_SPLIT = _split_sql(_PREP_SQL, "CAST(o_orderkey AS VARCHAR)")
@@ -66,20 +69,46 @@ def _fit(spark, sf, name):
     return pred, model, feats
 
 
+@register("ml_split_dupkey", "SELECT o_orderkey, o_custkey, label, is_test FROM " + _split_sql(
+    "(SELECT o_orderkey, o_custkey, CAST(o_totalprice > 100000 AS INTEGER) AS label FROM orders)", "CAST(o_custkey AS VARCHAR)"))
+def q_ml_split_dupkey(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") > 100000).cast("int").alias("label"))
+    return M.ml_split(o, ["o_custkey"])  # a customer has many orders
+
+
+# What SQL can say of a fitted classifier: the rows it was tested on, by label, and that it is no worse than always
+# answering the commonest label of the test rows.
+_CHECK_SQL = f"""SELECT count(*) FILTER (WHERE label = 0) AS rows_0, count(*) FILTER (WHERE label = 1) AS rows_1,
+  true AS valid, true AS beats_majority FROM {_ORD_SPLIT} WHERE is_test"""
+
+
+def _check(pred, classes=2):
+    most = F.greatest(*[F.count_if(F.col("label") == i) for i in range(classes)])
+    right = F.count_if(F.col("label") == F.col("prediction"))
+    valid = F.count_if(F.col("prediction").isin(*[float(i) for i in range(classes)])) == F.count(F.lit(1))
+    return pred.agg(*[F.count_if(F.col("label") == i).alias(f"rows_{i}") for i in range(classes)], valid.alias("valid"),
+                    (right >= most).alias("beats_majority"))
+
+
 for _qid, _name in [("clf_logistic", "Logistic Regression"), ("clf_tree", "Decision Tree"), ("clf_bayes", "Naive Bayes"),
                     ("clf_forest", "Random Forest"), ("clf_boost", "Gradient Boosting"), ("clf_svm", "SVM"),
                     ("clf_mlp", "Neural Network")]:
-    register(_qid)(lambda spark, sf, _n=_name: _fit(spark, sf, _n)[0])
+    register(_qid, _CHECK_SQL)(lambda spark, sf, _n=_name: _check(_fit(spark, sf, _n)[0]))
+
+
+_STATUS_SPLIT = _split_sql("""(SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS DOUBLE) AS label
+  FROM orders)""", "CAST(o_orderkey AS VARCHAR)")
 
 
-@register("clf_boost_multiclass")
+@register("clf_boost_multiclass", "SELECT " + ", ".join(f"count(*) FILTER (WHERE label = {i}) AS rows_{i}" for i in range(3))
+          + f", true AS valid FROM {_STATUS_SPLIT} WHERE is_test")
 def q_clf_boost_multiclass(spark, sf):
     o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus")
     prep, feats = M.ml_prepare(o, "o_orderstatus", ORD_KEY, ["o_totalprice", "o_custkey"])
     split = pin(M.ml_split(prep, ORD_KEY))
     pred, _, _ = M.fit_predict("Gradient Boosting", "classification", split.where(~F.col("is_test")),
                                split.where(F.col("is_test")), feats, ORD_KEY)
-    return pred
+    return _check(pred, 3).drop("beats_majority")  # the status has nothing to do with the features
 
 
 _NB_SQL = " UNION ALL ".join(
@@ -114,9 +143,23 @@ def _fit_reg(spark, sf, name):
     return pred
 
 
-for _qid, _name in [("reg_linear", "Linear Regression"), ("reg_ridge", "Ridge Regression"), ("reg_tree", "Decision Tree"),
-                    ("reg_forest", "Random Forest"), ("reg_boost", "Gradient Boosting"), ("reg_robust", "SVR")]:
-    register(_qid)(lambda spark, sf, _n=_name: _fit_reg(spark, sf, _n))
+_LI_SPLIT = _split_sql("(SELECT *, 2 * l_quantity + 3 * l_discount AS y FROM lineitem)",
+                       "concat_ws(chr(1), l_orderkey, l_linenumber, l_partkey, l_suppkey)", None)
+_LI_SEL = "l_orderkey, l_linenumber, l_partkey, l_suppkey, round(y, 2) AS label"
+
+# the target is exactly linear: least squares and the robust fit must predict every test row
+for _qid, _name in [("reg_linear", "Linear Regression"), ("reg_robust", "SVR")]:
+    register(_qid, f"SELECT {_LI_SEL}, round(y, 2) AS prediction FROM {_LI_SPLIT} WHERE is_test")(
+        lambda spark, sf, _n=_name: _fit_reg(spark, sf, _n).select(
+            *LI_KEY, F.round("label", 2).alias("label"), F.round("prediction", 2).alias("prediction")))
+
+# the others: rows, and the share of the test rows' variance they explain
+for _qid, _name, _least in [("reg_ridge", "Ridge Regression", 0.999), ("reg_tree", "Decision Tree", 0.9),
+                            ("reg_forest", "Random Forest", 0.9), ("reg_boost", "Gradient Boosting", 0.9)]:
+    register(_qid, f"SELECT count(*) AS rows, round(avg(y), 4) AS mean_label, true AS explains FROM {_LI_SPLIT} WHERE is_test")(
+        lambda spark, sf, _n=_name, _l=_least: _fit_reg(spark, sf, _n).agg(
+            F.count(F.lit(1)).alias("rows"), F.round(F.avg("label"), 4).alias("mean_label"),
+            (F.avg((F.col("label") - F.col("prediction")) ** 2) <= (1 - _l) * F.var_pop("label")).alias("explains")))
 
 
 @register("reg_linear_1f", """
@@ -217,16 +260,36 @@ def q_eval_actual_vs_predicted(spark, sf):
     return E.eval_actual_vs_predicted(_reg_pred(spark, sf))
 
 
-@register("ml_feature_importance")
+@register("ml_feature_importance", "SELECT 4 AS features, 1.0::DOUBLE AS total, 'o_totalprice' AS first, true AS sorted")
 def q_ml_feature_importance(spark, sf):
     _, model, feats = _fit(spark, sf, "Random Forest")
-    return M.ml_feature_importance(model, feats, spark)
+    rows = M.ml_feature_importance(model, feats, spark).agg(
+        F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+        F.max_by("feature", "importance").alias("first"), F.collect_list("importance").alias("i"))
+    return rows.select("features", "total", "first", (F.col("i") == F.reverse(F.array_sort("i"))).alias("sorted"))
+
 
+def _run(spark, sf):
+    return M.ml_run(orders_cls(spark, sf), "price_class", ORD_KEY, "Decision Tree", "classification", ORD_FEATS)
 
-@register("ml_run")
+
+@register("ml_run", f"""
+SELECT 'Decision Tree' AS algorithm, 'classification' AS problem_type, count(*) FILTER (WHERE NOT is_test) AS train_size,
+  count(*) FILTER (WHERE is_test) AS test_size, true AS metrics_in_range, true AS beats_majority FROM {_ORD_SPLIT}""")
 def q_ml_run(spark, sf):
-    metrics, _, _ = M.ml_run(orders_cls(spark, sf), "price_class", ORD_KEY, "Decision Tree", "classification", ORD_FEATS)
-    return metrics.drop("training_time")
+    metrics, pred, _ = _run(spark, sf)
+    scores = ["accuracy", "precision", "recall", "f1_score"]
+    row = metrics.select("algorithm", "problem_type", F.col("train_size").cast("long").alias("train_size"),
+                         F.col("test_size").cast("long").alias("test_size"),
+                         F.least(*scores).between(0, 1).alias("metrics_in_range"))
+    return row.join(F.broadcast(_check(pred).select("beats_majority")))  # one row each
+
+
+# the tree can tell the class where the price is known, and answers the commoner class where it is not
+_RULE_ACC = f"""(SELECT avg(CASE WHEN (label = 0) = known_high THEN 1.0 ELSE 0.0 END) AS accuracy FROM (
+  SELECT s.label, CASE WHEN o.o_orderkey % 3 = 0 THEN o.o_totalprice > 100000 ELSE (SELECT count(*) FILTER (
+    WHERE o_totalprice > 100000) * 2 >= count(*) FROM orders WHERE o_orderkey % 3 <> 0) END AS known_high
+  FROM {_ORD_SPLIT} s JOIN orders o USING (o_orderkey) WHERE s.is_test))"""
 
 
 @register("ml_findings", f"""
@@ -236,6 +299,7 @@ SELECT CASE WHEN accuracy > 0.9 THEN 'Excellent performance' WHEN accuracy > 0.8
   CASE WHEN accuracy > 0.9 THEN 'Model is ready for deployment' WHEN accuracy > 0.8 THEN 'Consider minor tuning for improvement'
   WHEN accuracy > 0.7 THEN 'Try feature engineering or different algorithms'
   ELSE 'Needs significant improvement - check data quality' END AS recommendation,
-  'No feature importance available' AS feature_insights FROM ({_EVAL_CLS})""")
+  'No feature importance available' AS feature_insights FROM {_RULE_ACC}""")
 def q_ml_findings(spark, sf):
-    return E.ml_findings(E.eval_classification(_label_pred(spark, sf)), "classification", "Decision Tree")
+    metrics, _, _ = _run(spark, sf)
+    return E.ml_findings(metrics, "classification", "Decision Tree")

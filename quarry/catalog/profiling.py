@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..sources import io
+from ..session import ensure_checkpoint_dir
 from .base import (CUSTOMER_NULLS_SQL, EVENTS_DUP_SQL, EVENTS_NULLS_SQL, ORDERS_SPARSE_SQL, customer_with_nulls,
                    events_dup, events_with_nulls, orders_sparse, register, rnd, t)
 from .sqlgen import exact_mean, r, union_per_column
@@ -50,10 +53,32 @@ FROM lineitem""")
 def q_write_csv(spark, sf):
     src = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
                                            "l_returnflag", "l_shipdate")
-    path = io.write_csv(src)
+    path = io.write_csv(src, f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}")
+    return rnd(io.read_table(spark, path, fmt="csv"))
+
+
+@register("read_table_csv", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment_name,
+  CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 2 = 0 END AS even, round(c_acctbal, 6) AS acct_bal,
+  TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (c_custkey % 28) AS day FROM customer""")
+def q_read_table_csv(spark, sf):
+    k = F.col("c_custkey")
+    src = t(spark, sf, "customer").select(
+        "c_custkey", F.when(k % 3 == 0, "NA").otherwise(F.col("c_mktsegment")).alias("segment.name"),
+        F.when(k % 5 == 0, "n/a").when(k % 2 == 0, "True").otherwise("False").alias("even"),
+        F.col("c_acctbal").alias("acct.bal"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 28).cast("int")), "yyyy-MM-dd").alias("day"))
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    src.write.option("header", True).csv(path)  # as another tool would write it: missing tokens, booleans, dates, dots
     return rnd(io.read_table(spark, path, fmt="csv"))
 
 
+@register("column_info_negzero", """SELECT 'v' AS "column", 1 AS unique_count FROM events HAVING count(*) > 0""")
+def q_column_info_negzero(spark, sf):
+    e = t(spark, sf, "events").select(F.when(F.col("event_id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("v"))
+    return P.column_info(e).select("column", "unique_count")
+
+
 @register("sample_n", """
 SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice FROM orders
 ORDER BY md5(concat('42', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 1000""")
@@ -131,7 +156,7 @@ SELECT "column", {r('missing_pct')} AS missing_pct,
  CASE WHEN missing_pct > 50 THEN 'Poor' WHEN missing_pct > 20 THEN 'Fair' ELSE 'Good' END AS quality
 FROM ({_column_info_sql(list(ORD_TYPES), ORD_TYPES, ORDERS_SPARSE_SQL)})""")
 def q_column_quality_grade(spark, sf):
-    return rnd(P.column_quality_grade(P.column_info(orders_sparse(spark, sf))))
+    return rnd(P.column_quality_grade(P.missing_info(orders_sparse(spark, sf))))
 
 
 def _sample_sql(cols, key, k, src):

@@ -7,6 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+class WholeWord(str):
+    """A keyword that must stand alone; plain keywords match inside words too."""
+
+
 # ---------------------------------------------------------------- fixed values (rule path)
 
 # sentiment words, matched as substrings of the lower-cased text, each counted at most once
@@ -16,7 +21,7 @@ NEGATIVE_WORDS = ["bad", "terrible", "awful", "hate", "dislike", "horrible", "wo
 # text categories and their keywords, in tie-break order
 CATEGORIES = {
     "business": ["business", "company", "market", "finance", "economy", "profit", "revenue"],
-    "technology": ["technology", "software", "computer", "AI", "digital", "tech", "innovation"],
+    "technology": ["technology", "software", "computer", WholeWord("AI"), "digital", "tech", "innovation"],
     "sports": ["sports", "game", "team", "player", "match", "score", "championship"],
     "entertainment": ["movie", "music", "celebrity", "entertainment", "show", "actor", "film"],
     "politics": ["politics", "government", "election", "policy", "political", "vote", "democracy"],
@@ -41,7 +46,7 @@ LANGUAGE_STOP_WORDS = {
     "fr": ["le", "les", "et", "des", "est", "une", "du", "dans", "pour", "qui", "pas", "au", "sur", "avec", "ce",
            "il", "elle", "sont", "nous", "aux"],
     "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "eine", "zu", "den", "von", "mit", "sich", "auf",
-           "dem", "im", "auch", "wird", "sch", "ich"],
+           "dem", "im", "auch", "wird", "ich"],
     "es": ["el", "los", "las", "y", "por", "con", "para", "del", "se", "lo", "como", "pero", "al", "una",
            "esta", "sus", "muy", "ser", "hay", "donde"],
 }
@@ -88,8 +93,8 @@ def contains_any_count(lower_text: Column, words: Sequence[str]) -> Column:
 
 
 def keyword_hit(lower_text: Column, keyword: str) -> Column:
-    """Substring hit; all-capital acronyms (e.g. 'AI') must match as a whole word instead."""
-    if keyword.isupper() and len(keyword) <= 3:
+    """Substring hit, or a hit as a whole word for keywords marked ``WholeWord``."""
+    if isinstance(keyword, WholeWord):
         kw = keyword.lower()
         return lower_text.rlike(f"(^|[^\\p{{L}}\\p{{N}}_]){kw}([^\\p{{L}}\\p{{N}}_]|$)")
     return F.instr(lower_text, keyword.lower()) > 0

@@ -1,96 +1,88 @@
-"""Batched calls to an external text model, with the rule result as the per-batch fallback.
+"""Batched calls to an external text model, with the rule's answer where the model gives none.
 
-The only Python-side operator: ``mapInPandas`` streams Arrow batches of (key, text) through a
-caller-supplied ``provider(list[str]) -> list[dict]``. Results are matched to the batch's own
-keys; a batch whose call fails or returns the wrong number of answers gets the rule answers.
+``mapInArrow`` streams batches of texts through a caller-supplied ``provider(list[str])``, which returns a list of
+dicts (or that list as JSON text), one answer a text. Every row carries its own rule answer, computed by the native
+expressions of ``operators.text``; the provider's answer replaces it, and ``answered_by`` says which one a row holds.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import text as W
-from .text import _keys, texts
+from .text import TASKS, _keys, texts
 
-Provider = Callable[[list[str]], list[dict]]
+Provider = Callable[[list[str]], "list[dict] | str"]
 
 # texts per provider call for each task (fixed values)
 BATCH_SIZES = {"sentiment": 10, "classification": 10, "entity_extraction": 5, "summarization": 1,
                "language_detection": 20, "keyword_extraction": 1}
 
+#: fields of an answer; the rule operators return columns of these names
 OUTPUT = {
-    "sentiment": [("sentiment", "string"), ("confidence", "double")],
-    "classification": [("category", "string"), ("confidence", "double")],
-    "language_detection": [("language", "string"), ("language_code", "string"), ("confidence", "double")],
-    "summarization": [("summary", "string"), ("compression_ratio", "double")],
+    "sentiment": "sentiment string, confidence double",
+    "classification": "category string, confidence double",
+    "entity_extraction": "entities array<struct<entity:string,type:string,start:int,end:int>>",
+    "summarization": "summary string, compression_ratio double",
+    "language_detection": "language string, language_code string, confidence double",
+    "keyword_extraction": "keywords array<string>, phrases array<string>",
 }
 
 
-def rule_sentiment(batch: list[str]) -> list[dict]:
-    """The sentiment rule in Python: the offline provider and the fallback."""
-    out = []
-    for t in batch:
-        lt = t.lower()
-        p = sum(1 for w in W.POSITIVE_WORDS if w in lt)
-        n = sum(1 for w in W.NEGATIVE_WORDS if w in lt)
-        if p > n:
-            out.append({"sentiment": "positive", "confidence": min(0.9, 0.6 + (p - n) * 0.1)})
-        elif n > p:
-            out.append({"sentiment": "negative", "confidence": min(0.9, 0.6 + (n - p) * 0.1)})
-        else:
-            out.append({"sentiment": "neutral", "confidence": 0.5})
-    return out
+def parse_answers(raw, n: int) -> list[dict] | None:
+    """The n answers of a call (JSON text or a list of dicts); None if they are not that."""
+    if isinstance(raw, (str, bytes)):
+        try:
+            raw = json.loads(raw)
+        except ValueError:
+            return None
+    if isinstance(raw, dict):
+        raw = [raw]
+    return raw if isinstance(raw, list) and len(raw) == n and all(isinstance(a, dict) for a in raw) else None
 
 
-def rule_summary(batch: list[str]) -> list[dict]:
-    out = []
-    for t in batch:
-        parts = t.split(".")
-        raw = t if len(parts) <= 2 else parts[0] + ". " + parts[-1]
-        out.append({"summary": raw.strip(), "compression_ratio": len(raw) / len(t) if t else 1.0})
-    return out
+def batch_inference(df: DataFrame, key: str | Sequence[str], text: str, task: str, provider: Provider | None = None,
+                    batch_size: int | None = None) -> DataFrame:
+    """key..., <task fields>, answered_by ('model' or 'rule'): one provider call per ``batch_size`` texts.
 
-
-RULES: dict[str, Provider] = {"sentiment": rule_sentiment, "summarization": rule_summary}
-
-
-def batch_inference(df: DataFrame, key: str | Sequence[str], text: str, task: str,
-                    provider: Provider | None = None, batch_size: int | None = None,
-                    fallback: Provider | None = None) -> DataFrame:
-    """key..., <task fields>: one provider call per ``batch_size`` texts inside each Arrow batch."""
+    A call that raises, or whose answer is not one object a text with values of the right types, leaves its
+    batch to the rule.
+    """
     if task not in OUTPUT:
         raise ValueError(f"no model output schema for task {task!r}")
     ks = _keys(key)
-    fields = OUTPUT[task]
-    size = batch_size or BATCH_SIZES.get(task, 10)
-    rule = fallback or RULES.get(task)
-    call = provider or rule
-    if call is None:
-        raise ValueError(f"no provider and no rule for task {task!r}")
-    t = texts(df, key, text)
-    key_types = {f.name: f.dataType.simpleString() for f in t.schema.fields if f.name in ks}
-    schema = ", ".join([f"{k} {key_types[k]}" for k in ks] + [f"{n} {ty}" for n, ty in fields])
-    names = [n for n, _ in fields]
+    fields = T._parse_datatype_string(OUTPUT[task]).fields
+    size = batch_size or BATCH_SIZES[task]
+    t = texts(df, key, text).select(*ks, F.col("text"), F.col("text").alias("_text"))
+    ruled = TASKS[task](t, [*ks, "_text"], "text").select(
+        *ks, "_text", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+    if provider is None:
+        return ruled.select(*ks, *[f.name for f in fields], F.lit("rule").alias("answered_by"))
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def ask(items: list[str]) -> list[pa.Array] | None:
+        try:
+            answers = parse_answers(provider(items), len(items))
+            return answers and [pa.array([a.get(f.name) for a in answers], k) for f, k in zip(fields, kinds)]
+        except Exception:  # noqa: BLE001 - the rule answers this batch, and answered_by says so
+            return None
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for start in range(0, len(pdf), size):
-                chunk = pdf.iloc[start:start + size]
-                items = chunk["text"].tolist()
-                try:
-                    answers = call(items)
-                    if len(answers) != len(items):
-                        raise ValueError("answer count differs from batch size")
-                except Exception:  # noqa: BLE001 - the rule answers this batch
-                    if rule is None:
-                        raise
-                    answers = rule(items)
-                for i, a in enumerate(answers):
-                    rows.append([chunk[k].iloc[i] for k in ks] + [a.get(n) for n in names])
-            yield pd.DataFrame(rows, columns=ks + names)
-
-    return t.mapInPandas(run, schema)
+        at = len(ks)
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                rows = batch.slice(start, size)
+                got = ask(rows.column(at).to_pylist())
+                values = got or [c.cast(k) for c, k in zip(rows.columns[at + 1:], kinds)]
+                by = pa.array(["model" if got else "rule"] * rows.num_rows)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:at], *values, by], names)
+
+    schema = T.StructType([*[t.schema[k] for k in ks], *fields, T.StructField("answered_by", T.StringType())])
+    names = [f.name for f in schema.fields]
+    return ruled.mapInArrow(run, schema)

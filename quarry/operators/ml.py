@@ -21,6 +21,7 @@ from ..plans.ranking import ranked
 from ..session import local_table, pin
 from . import evaluate as E
 from .prep import impute_constant, impute_median, label_codes
+from .profile import ALGORITHMS as CATALOGUE
 
 SEED = 42
 
@@ -30,15 +31,24 @@ def ml_prepare(df: DataFrame, target: str, key: Sequence[str], features: Sequenc
     """key..., feature columns (double), label (double); rows with a null target dropped.
 
     Numeric features: nulls -> exact median. Text features: nulls -> 'Unknown', then 0-based
-    sorted codes. A text target is coded the same way. Fitted on all rows (as the reference).
+    sorted codes. Booleans become 0 / 1, null 0. Class targets of any type are coded 0 .. k-1 in sorted order.
+    Fitted on all rows.
     """
     key = list(key)
     df = clean_nan(df).where(F.col(target).isNotNull())
     feats = [c for c in (features or df.columns) if c != target and c not in key]
+    flags = [f.name for f in df.schema.fields if f.name in feats and f.dataType.typeName() == "boolean"]
+    df = df.select(*[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) if c in flags else F.col(c) for c in df.columns])
     num, txt = cols_of(df, "numeric", feats), cols_of(df, "text", feats)
     out = impute_median(df, num, exact) if num else df
     out = impute_constant(out, txt, "Unknown") if txt else out
-    text_target = cols_of(df, "text", [target]) and problem_type == "classification"
+    # class labels are coded 0 .. k-1 whatever their type; numbers keep their order by being coded as numbers
+    text_target = problem_type == "classification"
+    numeric_target = text_target and bool(cols_of(df, "numeric", [target]))
+    if numeric_target:
+        ranks = label_ranks(df, target)
+        out = out.withColumn(target, ranks[F.col(target).cast("double")])
+        text_target = False
     coded = txt + ([target] if text_target else [])
     if coded:
         codes = label_codes(out, coded, "Unknown")
@@ -50,32 +60,41 @@ def ml_prepare(df: DataFrame, target: str, key: Sequence[str], features: Sequenc
     return out.select(*key, *cols, label.cast("double").alias("label")), num + txt
 
 
+def label_ranks(df: DataFrame, target: str, most: int = 1000):
+    """Map expression value -> 0-based rank of a numeric class target; classes are few, so they go inline."""
+    values = [r[0] for r in df.select(F.col(target).cast("double").alias("v")).distinct().orderBy("v").limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{target!r} has more than {most} classes")
+    return F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (float(v), float(i))])
+
+
 def ml_split(df: DataFrame, key: Sequence[str], label: str | None = "label", test_fraction: float = 0.2,
              seed: int = SEED) -> DataFrame:
     """Add ``is_test``: per stratum (label; whole table if None), the round(fraction * n) rows with
     the smallest md5(seed || key). Exact and repeatable; ranks come from the distributed ranking,
-    so a stratum with a third of the rows is still split over many tasks."""
+    so a stratum with a third of the rows is still split over many tasks. Rows that repeat a key in a
+    stratum stay on one side (that of the first), so none leaks from train to test or is multiplied."""
     key = list(key)
     kstr = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key])
     stratum = F.col(label) if label else F.lit(0)
-    cnt = df.select(stratum.alias("_s"), F.struct(seeded_order(seed, kstr).alias("h"), *[F.col(c) for c in key]).alias("v"),
-                    F.lit(1).alias("k"))
+    order = F.struct(seeded_order(seed, kstr).alias("h"), *[F.col(c) for c in key])
+    cnt = df.select(stratum.alias("_s"), order.alias("v")).groupBy("_s", "v").agg(F.count(F.lit(1)).alias("k"))
     rk = ranked(cnt, ["_s"], value="v", weight="k")
-    flags = rk.select(*[F.col("v")[c].alias(c) for c in key],
+    flags = rk.select(F.col("_s"), *[F.col("v")[c].alias(f"_k{i}") for i, c in enumerate(key)],
                       (F.col("cum_before") < F.round(F.col("n") * test_fraction)).alias("is_test"))
-    return df.join(flags, key, "left")
+    on = stratum.eqNullSafe(F.col("_s"))
+    for i, c in enumerate(key):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(flags, on, "left").select(*[df[c] for c in df.columns], "is_test")
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
-ALGORITHMS = {
-    "classification": ["Logistic Regression", "Decision Tree", "Naive Bayes", "Random Forest", "Gradient Boosting",
-                       "SVM", "K-Nearest Neighbors", "Neural Network"],
-    "regression": ["Linear Regression", "Ridge Regression", "Decision Tree", "Random Forest", "Gradient Boosting",
-                   "SVR", "K-Nearest Neighbors"],
-}
+def algorithms(problem_type: str) -> list[str]:
+    """Names of the algorithm catalogue that have an estimator here."""
+    return [a[2] for a in CATALOGUE if a[0] == problem_type]
 
 
 def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_classes: int = 2):
@@ -162,6 +181,8 @@ def knn(train: DataFrame, test: DataFrame, key: str, vector: str, k: int = 3, mo
     """
     n_tr, n_te = train.count(), test.count()
     B, T = max(1, math.ceil(n_tr / block_rows)), max(1, math.ceil(n_te / block_rows))
+    if n_te:  # as many block pairs as the cluster has cores, by cutting the test rows finer
+        T = max(T, min(n_te, math.ceil(train.sparkSession.sparkContext.defaultParallelism / B)))
     tr = train.select(F.col(key).alias("tk"), F.col("label").cast("double").alias("y"),
                       F.col(vector).cast("array<double>").alias("v"))
     te = test.select(F.col(key).alias("qk"), F.col(vector).cast("array<double>").alias("v"))
@@ -178,11 +199,13 @@ def knn(train: DataFrame, test: DataFrame, key: str, vector: str, k: int = 3, mo
         kk = min(k, X.shape[0])
         for s in range(0, len(Q), 16):  # 16 query rows x one train block at a time
             d2 = ((Q[s:s + 16, None, :] - X[None, :, :]) ** 2).sum(axis=2)
-            # per row: ascending distance, then train key; keep the first k
-            order = np.lexsort((np.broadcast_to(tk, d2.shape), d2), axis=-1)[:, :kk]
-            rows = np.arange(d2.shape[0])[:, None]
-            out.append(pd.DataFrame({"qk": np.repeat(q["qk"].to_numpy()[s:s + 16], kk), "tk": tk[order].ravel(),
-                                     "y": ty[order].ravel(), "d": d2[rows, order].ravel()}))
+            # per row: ascending distance, then train key; only what can be among the first k is sorted
+            r, c = np.nonzero(d2 <= np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk])
+            order = np.lexsort((tk[c], d2[r, c], r))
+            r, c = r[order], c[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < kk
+            r, c = r[keep], c[keep]
+            out.append(pd.DataFrame({"qk": q["qk"].to_numpy()[s:s + 16][r], "tk": tk[c], "y": ty[c], "d": d2[r, c]}))
         return pd.concat(out, ignore_index=True)
 
     cands = te.groupBy("tb", "b").cogroup(tr.groupBy("tb", "b")).applyInPandas(

@@ -10,25 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.types import clean_nan, cols_of, family, type_name
 from ..plans.ranking import _small, quantiles, ranked
 from ..session import local_table, pin
-from .profile import column_info, skew_kurt_exprs, value_counts
+from .profile import column_info, missing_info, skew_kurt_exprs, value_counts
 
 
-_STATS_CACHE: dict[int, dict] = {}
+def _by_column(small: DataFrame) -> dict:
+    """Rows of a per-column statistics table (one row per column, already local) by column."""
+    return {r["column"]: r for r in small.collect()}
 
 
-def _lookup(small: DataFrame, column: str, field: str) -> Column:
-    """One field of a per-column statistics table (one row per column) as a typed literal.
-
-    The table is already materialised on the driver side (``_small``); reading it once and
-    inlining the numbers avoids one scalar-subquery job per reference.
-    """
-    key = id(small)
-    if key not in _STATS_CACHE:
-        _STATS_CACHE.clear()  # keep only the table in use
-        _STATS_CACHE[key] = {"df": small, "rows": {r["column"]: r for r in small.collect()}}
-    row = _STATS_CACHE[key]["rows"].get(column)
-    value = None if row is None else row[field]
-    return F.lit(value).cast(small.schema[field].dataType)
+def _lookup(rows: dict, small: DataFrame, column: str, field: str) -> Column:
+    """One field of such a table as a typed literal: no scalar-subquery job per reference."""
+    row = rows.get(column)
+    return F.lit(None if row is None else row[field]).cast(small.schema[field].dataType)
 
 
 def medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
@@ -49,13 +42,26 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
                   med: DataFrame | None = None) -> DataFrame:
-    """Numeric nulls -> exact median of the column (imputed columns become double)."""
+    """Numeric nulls -> exact median of the column.
+
+    Columns without a null stay as they are. A filled integer column becomes decimal(38,6), which holds every
+    value exactly (a double would merge ids above 2**53); floats become double, decimals keep their type.
+    """
     df = clean_nan(df)
     cols = cols_of(df, "numeric", cols)
+    if not cols:
+        return df
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    cols = [c for c in cols if holes[c]]
     if not cols:
         return df
     med = med if med is not None else medians(df, cols, exact)
-    fill = {c: F.coalesce(F.col(c).cast("double"), _lookup(med, c, "median")).alias(c) for c in cols}
+    rows, fill = _by_column(med), {}
+    for c in cols:
+        kind = df.schema[c].dataType.typeName()
+        to = "double" if kind in ("float", "double") else (
+            df.schema[c].dataType.simpleString() if kind == "decimal" else "decimal(38,6)")
+        fill[c] = F.coalesce(F.col(c).cast(to), _lookup(rows, med, c, "median").cast(to)).alias(c)
     return df.select(*[fill.get(c, F.col(c)) for c in df.columns])
 
 
@@ -67,9 +73,9 @@ def impute_mode(df: DataFrame, cols: Sequence[str] | None = None, default: str =
     if not cols:
         return df
     md = md if md is not None else modes(df, cols)
-    fill = {}
+    rows, fill = _by_column(md), {}
     for c in cols:
-        m = _lookup(md, c, "mode")
+        m = _lookup(rows, md, c, "mode")
         if family(df.schema[c].dataType) == "text":
             fill[c] = F.coalesce(F.col(c), m, F.lit(default)).alias(c)
         else:
@@ -155,10 +161,10 @@ def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None, exact: bool =
         "column", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
         (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
-    counts = []
+    counts, rows = [], _by_column(q)
     for c in cols:
         x = F.col(c).cast("double")
-        lo, hi = _lookup(q, c, "lower_bound"), _lookup(q, c, "upper_bound")
+        lo, hi = _lookup(rows, q, c, "lower_bound"), _lookup(rows, q, c, "upper_bound")
         counts.append(F.struct(F.lit(c).alias("column"), F.count_if((x < lo) | (x > hi)).alias("outlier_count")))
     n = F.count(F.lit(1))
     cnt = df.agg(F.array(*counts).alias("a"), n.alias("rows")).select(F.explode("a").alias("s"), "rows").select(
@@ -171,7 +177,8 @@ def outlier_rows(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """Rows whose ``column`` lies outside the 1.5 IQR fences."""
     df = clean_nan(df)
     q = quantiles(df, [column], {"q1": 0.25, "q3": 0.75}, exact=exact)
-    q1, q3 = _lookup(q, column, "q1"), _lookup(q, column, "q3")
+    rows = _by_column(q)
+    q1, q3 = _lookup(rows, q, column, "q1"), _lookup(rows, q, column, "q3")
     x = F.col(column)
     return df.where((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1)))
 
@@ -181,10 +188,10 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
     df = clean_nan(df)
     cols = cols_of(df, "numeric", cols)
     q = quantiles(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75}, exact=exact)
-    items = []
+    items, rows = [], _by_column(q)
     for c in cols:
         x = F.col(c).cast("double")
-        q1, q3 = _lookup(q, c, "q1"), _lookup(q, c, "q3")
+        q1, q3 = _lookup(rows, q, c, "q1"), _lookup(rows, q, c, "q3")
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         inside = (x >= lo) & (x <= hi)
         items.append(F.struct(F.lit(c).alias("column"), F.min(F.when(inside, x)).alias("whisker_low"),
@@ -196,7 +203,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
 
 def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """column, missing_count, missing_pct, data_type."""
-    return column_info(df, cols).select("column", F.col("missing").alias("missing_count"),
+    return missing_info(df, cols).select("column", F.col("missing").alias("missing_count"),
                                         F.col("missing_pct"), F.col("type").alias("data_type"))
 
 
@@ -335,4 +342,3 @@ def prep_operation(name: str, df: DataFrame, cols: Sequence[str] | None = None,
     return ops[name]()
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["type_name"]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """
     df = clean_nan(df)
     cols = list(cols or df.columns)
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+    df = df.select(*[(F.col(c) + F.lit(0).cast(df.schema[c].dataType)).alias(c) if c in floats else F.col(c)
+                     for c in cols])  # -0.0 and 0.0 are one value
     return (long_values(df, cols, value="value", cast="string", keep_nulls=True)
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("k")))
 
@@ -62,6 +67,18 @@ def column_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                     F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count")))
 
 
+def missing_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """column, position, type, family, rows, missing, missing_pct: one aggregate, no value is shuffled."""
+    df = clean_nan(df)
+    cols = list(cols or df.columns)
+    got = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*[
+        F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("missing")) for c in cols]).alias("a"))
+    counts = got.select("rows", F.explode("a").alias("s")).select("rows", "s.*")
+    return F.broadcast(_meta(df, cols)).join(counts, "column").select(
+        "column", "position", "type", "family", "rows", "missing",
+        F.try_divide(F.col("missing") * 100.0, F.col("rows")).alias("missing_pct"))
+
+
 def target_suitability(info: DataFrame) -> DataFrame:
     fam, u = F.col("family"), F.col("unique_count")
     tt = (F.when((fam == "numeric") & u.between(2, 20), "classification")
@@ -278,9 +295,8 @@ def histogram_auto(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
 def density_curve(df: DataFrame, cols: Sequence[str] | None = None, points: int = 200) -> DataFrame:
     """Gaussian KDE (Scott bandwidth std * n^-1/5) on ``points`` grid points over [min, max].
 
-    Exact: the data is first reduced to (value, multiplicity), then every distinct value adds its
-    weighted kernel to all grid points through an array; the per-task partial sums are
-    combined map-side, so the shuffle carries ``points`` rows per task and column.
+    Exact: the data is first reduced to (value, multiplicity); every task sums the weighted kernels of its values
+    into one array of ``points`` slots a column and hands on only that.
     """
     df = clean_nan(df)
     cols = cols_of(df, "numeric", cols)
@@ -291,16 +307,32 @@ def density_curve(df: DataFrame, cols: Sequence[str] | None = None, points: int
     st = st.where((F.col("n") > 1) & (F.col("sd") > 0)).select(
         "column", "mn", "mx", "n", (F.col("sd") * F.pow(F.col("n"), -0.2)).alias("h"))
     vc = long_values(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("k"))
+
+    def kernels(batches):
+        sums: dict = {}
+        for batch in batches:
+            name, v, k = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            mn, mx, h = (batch.column(i).to_numpy() for i in (3, 4, 5))
+            name = np.array(name, dtype=object)
+            for c in set(name.tolist()):
+                at = np.flatnonzero(name == c)
+                first = at[0]
+                x = mn[first] + np.arange(points) * ((mx[first] - mn[first]) / (points - 1))
+                total = sums.setdefault(c, np.zeros(points))
+                for i in range(0, len(at), 1000):
+                    part = at[i:i + 1000]
+                    z = (x[:, None] - v[part][None, :]) / h[first]
+                    total += np.exp(-0.5 * z * z) @ k[part].astype(np.float64)
+        for c, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * points, pa.string()), pa.array(np.arange(points, dtype=np.int32)),
+                                              pa.array(total)], ["column", "point", "s"])
+
+    sums = (vc.join(F.broadcast(st), "column").select("column", "v", "k", "mn", "mx", "h")
+            .mapInArrow(kernels, "column string, point int, s double").groupBy("column", "point").agg(F.sum("s").alias("s")))
     step = (F.col("mx") - F.col("mn")) / (points - 1)
-    x = vc.join(F.broadcast(st), "column").select(
-        "column", "n", "h", "k", "v",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                                 lambda i: F.col("mn") + i * step)).alias("point", "x"))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    kern = F.col("k") * F.exp(-0.5 * z * z)
-    dens = x.groupBy("column", "point", "x", "n", "h").agg(F.sum(kern).alias("s"))
-    return dens.select("column", "point", "x",
-                       (F.col("s") / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
+    return sums.join(F.broadcast(st), "column").select(
+        "column", "point", (F.col("mn") + F.col("point") * step).alias("x"),
+        (F.col("s") / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.types import clean_nan, cols_of
 from .prep import outliers_iqr
-from .profile import column_info, table_profile
+from ..session import local_table
+from .profile import column_info, table_profile, missing_info
 
 # fixed values: finding texts and confidences
 HIGH_MISSING = ("High Missing Values in {c}", "Column {c} has {p}% missing values", 95)
@@ -77,7 +78,7 @@ def _finding(df: DataFrame, kind, column, description, confidence, metric) -> Da
 
 
 def anomaly_high_missing(df: DataFrame, info: DataFrame | None = None) -> DataFrame:
-    info = info if info is not None else column_info(df)
+    info = info if info is not None else missing_info(df)
     hit = info.where(F.col("missing_pct") > 50)
     t, d, conf = HIGH_MISSING
     return _finding(hit, _tmpl(t, c=F.col("column")), F.col("column"),
@@ -112,7 +113,8 @@ def anomaly_constant(df: DataFrame, info: DataFrame | None = None) -> DataFrame:
 def anomaly_report(df: DataFrame, exact: bool = True) -> DataFrame:
     """Union of the four detectors; the column statistics are computed once and reused."""
     df = clean_nan(df)
-    info = column_info(df).persist()  # one row per column
+    info = column_info(df)
+    info = local_table(df.sparkSession, [tuple(r) for r in info.collect()], info.schema)  # one row per column
     return (anomaly_high_missing(df, info).unionByName(anomaly_duplicates(df))
             .unionByName(anomaly_outliers(df, exact=exact)).unionByName(anomaly_constant(df, info)))
 

@@ -6,8 +6,11 @@ Null texts are dropped; an input with no text is the caller's concern (``require
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +80,8 @@ def parse_labels(labels: str, keywords: Mapping[str, Sequence[str]] | None = Non
     return out
 
 
-def entities(df: DataFrame, key: Key, text: str = "text", limit: int = 5) -> DataFrame:
-    """key, entities: array<struct<entity,type,start,end>>: names, then dates, then money; first ``limit``.
+def entities(df: DataFrame, key: Key, text: str = "text", limit: int | None = None) -> DataFrame:
+    """key, entities: array<struct<entity,type,start,end>>: names, then dates, then money (the first ``limit`` if given).
 
     ``start`` is the first occurrence of the entity string (0-based), ``end`` = start + length.
     """
@@ -92,26 +95,26 @@ def entities(df: DataFrame, key: Key, text: str = "text", limit: int = 5) -> Dat
             (F.instr(s, e) - 1 + F.length(e)).alias("end")))
 
     allx = F.concat(tagged(PERSON_PATTERN, "PERSON"), tagged(DATE_PATTERN, "DATE"), tagged(MONEY_PATTERN, "MONEY"))
-    return t.select(*_keys(key), F.slice(allx, 1, limit).alias("entities"))
+    return t.select(*_keys(key), (allx if limit is None else F.slice(allx, 1, limit)).alias("entities"))
 
 
 def embedding(df: DataFrame, key: Key, text: str = "text", dim: int = EMBEDDING_DIM) -> DataFrame:
     """key, embedding (array<float>, L2-normalised hashed bag of words), dimension.
 
-    Tokens are exploded and counted per (key, bucket) with map-side combining; one text's row
-    of at most ``dim`` bucket counts is then gathered (bounded by ``dim``, not by the text).
+    A row's result depends on its own text only: buckets are native expressions, counting them is one Arrow batch
+    function, so nothing is shuffled.
     """
-    ks = _keys(key)
-    t = texts(df, key, text)
-    tok = t.select(*ks, F.explode(word_tokens(F.col("text"))).alias("w"))
-    cnt = tok.groupBy(*ks, md5_bucket(F.col("w"), dim).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    per = cnt.groupBy(*ks).agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"),
-                               F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    joined = t.select(*ks).join(per, ks, "left")
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(
-        F.col("norm") > 0, F.coalesce(F.element_at(F.col("m"), i), F.lit(0)) / F.col("norm")).otherwise(F.lit(0.0))
-        .cast("float"))
-    return joined.select(*ks, vec.alias("embedding"), F.lit(dim).alias("dimension"))
+    @F.pandas_udf("array<float>")
+    def weights(buckets: pd.Series) -> pd.Series:
+        out = []
+        for b in buckets:
+            c = np.bincount(np.asarray(b, np.int64), minlength=dim).astype(np.float64)
+            n = np.sqrt((c * c).sum())
+            out.append((c / n if n > 0 else c).astype(np.float32))
+        return pd.Series(out)
+
+    buckets = F.transform(word_tokens(F.col("text")), lambda w: md5_bucket(w, dim))
+    return texts(df, key, text).select(*_keys(key), weights(buckets).alias("embedding"), F.lit(dim).alias("dimension"))
 
 
 def summary(df: DataFrame, key: Key, text: str = "text", short_passthrough: bool = False,
@@ -186,42 +189,50 @@ def language(df: DataFrame, key: Key, text: str = "text") -> DataFrame:
                     F.when(best > 0, best / total).otherwise(F.lit(0.5)).alias("confidence"))
 
 
-def _top_terms(t: DataFrame, ks: list[str], terms: Column, k: int, out: str) -> DataFrame:
-    """Top-k terms per text by count, ties by first position; texts without terms get []."""
-    ex = t.select(*ks, F.posexplode(terms).alias("pos", "term")).where(F.col("term").isNotNull())
-    c = ex.groupBy(*ks, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p"))
-    w = Window.partitionBy(*ks).orderBy(F.col("n").desc(), F.col("p"))
-    top = c.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    agg = top.groupBy(*ks).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"])
-                               .alias(out))
-    return t.select(*ks).join(agg, ks, "left").select(*ks, F.coalesce(F.col(out), F.array().cast("array<string>")).alias(out))
+def _top_terms(terms: Column, k: int) -> Column:
+    """Top-k of an array of terms by count, ties by first position; nulls are no terms."""
+    @F.pandas_udf("array<string>")
+    def top(rows: pd.Series) -> pd.Series:
+        out = []
+        for r in rows:
+            seen = Counter(x for x in r if x is not None)  # keeps the order of first use
+            out.append([w for w, _ in sorted(seen.items(), key=lambda p: -p[1])[:k]])
+        return pd.Series(out)
+
+    return top(terms)
 
 
 def keywords(df: DataFrame, key: Key, text: str = "text", k: int = 5) -> DataFrame:
     """key, keywords: the k most frequent non-stop words (3+ ASCII letters), ties by first position."""
-    ks = _keys(key)
-    t = texts(df, key, text)
     words = F.filter(alpha3_tokens(F.col("text")), lambda w: ~in_words(w, STOP_WORDS))
-    return _top_terms(t, ks, words, k, "keywords")
+    return texts(df, key, text).select(*_keys(key), _top_terms(words, k).alias("keywords"))
 
 
-def phrases(df: DataFrame, key: Key, text: str = "text", k: int = 3) -> DataFrame:
-    """key, phrases: the k most frequent adjacent word pairs where neither word is a stop word."""
-    ks = _keys(key)
-    t = texts(df, key, text)
-    t = t.select(*ks, alpha3_tokens(F.col("text")).alias("_w"))  # tokenised once
-    w = F.col("_w")
+def _pairs(w: Column) -> Column:
+    """Adjacent pairs of an array of words; null where one of the two is a stop word."""
     n = F.greatest(F.size(w) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.when(
         ~in_words(a, STOP_WORDS) & ~in_words(b, STOP_WORDS), F.concat(a, F.lit(" "), b)))
-    return _top_terms(t.select(*ks, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))
-                               .alias("text")), ks, F.col("text"), k, "phrases")
+    return F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def phrases(df: DataFrame, key: Key, text: str = "text", k: int = 3) -> DataFrame:
+    """key, phrases: the k most frequent adjacent word pairs where neither word is a stop word."""
+    t = texts(df, key, text).select(*_keys(key), alpha3_tokens(F.col("text")).alias("_w"))  # tokenised once
+    return t.select(*_keys(key), _top_terms(_pairs(F.col("_w")), k).alias("phrases"))
+
+
+def keywords_and_phrases(df: DataFrame, key: Key, text: str = "text", k: int = 5, pairs: int = 3) -> DataFrame:
+    """key, keywords, phrases in one pass."""
+    t = texts(df, key, text).select(*_keys(key), alpha3_tokens(F.col("text")).alias("_w"))
+    words = F.filter(F.col("_w"), lambda w: ~in_words(w, STOP_WORDS))
+    return t.select(*_keys(key), _top_terms(words, k).alias("keywords"), _top_terms(_pairs(F.col("_w")), pairs).alias("phrases"))
 
 
 TASKS = {
     "sentiment": sentiment, "classification": classify, "entity_extraction": entities, "embedding": embedding,
     "summarization": summary, "topic_modeling": topics, "language_detection": language,
-    "keyword_extraction": lambda df, key, text="text": keywords(df, key, text).join(phrases(df, key, text), _keys(key)),
+    "keyword_extraction": keywords_and_phrases,
 }
 
 

@@ -84,18 +84,23 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 def local_table(spark: SparkSession, rows, schema) -> DataFrame:
-    """A small table from driver-side rows, built from literals (no Python worker round trip).
+    """A small table from driver-side rows as one local relation (an Arrow table, no expression per cell).
 
-    Only for tables bounded by the schema: columns, classes, per-column statistics.
+    Only for tables bounded by the schema or the partition count: columns, classes, statistics.
     """
-    from pyspark.sql import functions as F
+    import pyarrow as pa
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    st = T.StructType([T.StructField(f.name, f.dataType) for f in st.fields])
     if not rows:
-        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, st.fields)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+        return spark.createDataFrame([], st)
+    arrow = to_arrow_schema(st)
+    cols = list(zip(*rows))
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow), st)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A table by name. ``quarry.spread`` (off unless the session sets it) spreads files of one split."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spark.conf.get("quarry.spread", "false") == "true" else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,29 +9,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import seeded_order
-from ..session import ensure_checkpoint_dir
 
 # fixed values: the tokens pandas' CSV reader treats as missing by default
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-# order in which a text column is tried: whole numbers, then decimals, then timestamps
-_INFER_ORDER = ["bigint", "double", "timestamp_ntz"]
+# order in which a text column is tried: whole numbers, then decimals, booleans (True / False), then timestamps
+_INFER_ORDER = ["bigint", "double", "boolean", "timestamp_ntz"]
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _parsed(name: str, kind: str) -> str:
+    if kind == "boolean":
+        return f"CASE {_q(name)} WHEN 'True' THEN true WHEN 'False' THEN false END"
+    return f"try_cast(trim({_q(name)}) AS {kind})"
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None,
-               infer: bool = True) -> DataFrame:
+               infer: bool = True, multi_line: bool = False) -> DataFrame:
     """Read a headered CSV (pandas-style missing tokens and type inference) or a Parquet table.
 
     CSV is read as text, the missing tokens become NULL, then every column takes the narrowest
-    of bigint / double / timestamp that all its values parse as (one aggregate pass), else stays
-    text. A given ``schema`` skips inference and casts with ``try_cast``.
+    of bigint / double / boolean / timestamp that all its values parse as (one aggregate pass), else
+    stays text; text dates become timestamps (pandas would leave them as text). A given ``schema``
+    skips inference and casts with ``try_cast``. Files are split over tasks; quoted values that hold
+    line breaks need ``multi_line``, which reads each file in one task. A dot in a header becomes an
+    underscore, as Spark reads a dot in a column's name as a field access.
     """
     if fmt == "parquet":
         return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r} (csv or parquet)")
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    names = []
+    for c in raw.columns:
+        c = c.replace(".", "_")
+        while c in names:
+            c += "_"
+        names.append(c)
+    raw = raw.toDF(*names)
     na = F.array(*[F.lit(x) for x in NA_TOKENS])
     clean = raw.select(*[F.when(F.array_contains(na, F.col(c)) | F.col(c).isNull(), None)
                          .otherwise(F.col(c)).alias(c) for c in raw.columns])
@@ -45,7 +63,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
     checks = []
     for c in clean.columns:
         for ty in _INFER_ORDER:
-            parsed = F.expr(f"try_cast(trim(`{c}`) AS {ty})")
+            parsed = F.expr(_parsed(c, ty))
             checks.append(F.count_if(F.col(c).isNotNull() & parsed.isNull()).alias(f"{c}\u0001{ty}"))
         checks.append(F.count(F.col(c)).alias(f"{c}\u0001n"))
     bad = clean.agg(*checks).first().asDict()  # one row: 4 counters per column
@@ -57,7 +75,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
                 if bad[f"{c}\u0001{ty}"] == 0:
                     chosen = ty
                     break
-        out.append(F.col(c) if chosen == "string" else F.expr(f"try_cast(trim(`{c}`) AS {chosen})").alias(c))
+        out.append(F.col(c) if chosen == "string" else F.expr(_parsed(c, chosen)).alias(c))
     return clean.select(*out)
 
 
@@ -71,14 +89,8 @@ def _flatten_for_csv(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
-    """Write a headered CSV without index; nested columns go through ``to_json``.
-
-    Without a path, the result goes to a new folder under the shared checkpoint folder.
-    """
-    if path is None:
-        base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-        path = f"{base}/csv-{uuid.uuid4().hex}"
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Write a headered CSV without index; nested columns go through ``to_json``."""
     (_flatten_for_csv(df).write.mode(mode).option("header", True)
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
     return path
