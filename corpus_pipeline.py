@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, minhash, mixing, pii, toxicity
-from quarry.llm.common import read, save
+from quarry.llm.common import fresh, read, save
 from quarry.llm.queries import TARGETS, tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores below 0.5."""
     net = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, column="_score").where("_score < 0.5").select(*docs.columns)
+    column = fresh(docs, "_score")
+    return toxicity.score(docs, net, column=column).where(F.col(column) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

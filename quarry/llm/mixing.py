@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, byte_lengths, portions, prefix_hash, save, span_hash
+from .common import SPACE, byte_lengths, fresh, portions, prefix_hash, save, span_hash
 from .perplexity import SYMBOL, _bytes
 
 GRAMS = 1 << 14
@@ -158,10 +158,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text",
              **options) -> DataFrame:
     """``docs`` with every row as often as its copies say; rows with a null key stay once."""
+    n, i = fresh(docs, "_copies"), fresh(docs, "_i")
     copies = mix(docs.where(F.col(key).isNotNull()), labelled, targets, key, text, **options).groupBy(key).agg(
-        F.max("copies").alias("_copies"))
-    return (docs.join(copies, key, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0")
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+        F.max("copies").alias(n))
+    return (docs.join(copies, key, "left").withColumn(n, F.coalesce(n, F.lit(1))).where(F.col(n) > 0)
+            .withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns))
 
 
 def quality_domains(labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import fresh, save
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -236,11 +236,12 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with every found span replaced; null texts stay null. Same rows and columns."""
-    found = scan(docs, [F.col(key).alias("_k"), F.xxhash64(text).alias("_h")], text)
-    extra = (discover(found, **options).join(found.select("uid", "_k", "_h"), "uid")
-             .groupBy("_k", "_h").agg(F.collect_set(F.struct("start", "end")).alias("_x")))
-    joined = docs.join(extra, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_h")), "left")
-    joined = joined.select(*[docs[c] for c in docs.columns], "_x")
+    k, h, x = fresh(docs, "_k"), fresh(docs, "_h"), fresh(docs, "_x")
+    found = scan(docs, [F.col(key).alias(k), F.xxhash64(text).alias(h)], text)
+    extra = (discover(found, **options).join(found.select("uid", k, h), "uid")
+             .groupBy(k, h).agg(F.collect_set(F.struct("start", "end")).alias(x)))
+    joined = docs.join(extra, docs[key].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
+    joined = joined.select(*[docs[c] for c in docs.columns], x)
 
     def run(batches):
         for batch in batches:
@@ -248,10 +249,10 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
             for part in range(0, batch.num_rows, 2000):
                 rows = batch.slice(part, 2000)
                 new = []
-                for t, x in zip(rows.column(at), rows.column("_x")):
+                for t, more in zip(rows.column(at), rows.columns[-1]):
                     value = t.as_py()
                     if value:
-                        value = redacted(value, base_spans(value) + [("context", s["start"], s["end"]) for s in x.as_py() or ()])
+                        value = redacted(value, base_spans(value) + [("context", s["start"], s["end"]) for s in more.as_py() or ()])
                     new.append(value)
                 cols = rows.columns[:-1]
                 cols[at] = pa.array(new, batch.schema.field(at).type)

@@ -12,7 +12,7 @@ round takes the windows that now score highest in every text, and some at random
 are read only from rows that ``train`` admits.
 
 Null and empty texts, and texts without words, score the share of positive labels. With no labelled rows, or only one
-class, every text scores that share (0 without any). Rows are independent, so repeated rows repeat their score.
+class, every text scores that share (0 without any). Rows with a null key or label are not learned from; a null key is held out. Rows are independent, so repeated rows repeat their score.
 """
 
 from __future__ import annotations
@@ -378,4 +378,4 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """key, held_out, score, predicted for every row."""
     net = fit(docs, labels, key, text)
     return score(docs.select(key, text), net, text).select(
-        key, (~admitted(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        key, F.coalesce(~admitted(key), F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -213,7 +213,7 @@ def test_perplexity_as_brute_force(spark):
     texts = {i: " ".join(r.choice("the cat sat on a mat and then left".split()) for _ in range(30)) for i in range(40)}
     texts |= {100: "zq xv " * 15, 101: None, 102: "", 103: " ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(30))}
     df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
-    got = {x["doc_id"]: x for x in perplexity.judge(df, low=6, high=6).collect()}
+    got = {x["doc_id"]: x for x in perplexity.judge(df, low=1.5, high=1.5).collect()}
     p = kneser_ney([t for t in texts.values() if t])
     for i, t in texts.items():
         x = got[i]
@@ -221,7 +221,12 @@ def test_perplexity_as_brute_force(spark):
         if t:
             b = b"\x02" * 4 + t.encode()
             assert x["log_perplexity"] == pytest.approx(-np.mean([np.log(p[b[k:k + 5]]) for k in range(len(b) - 4)]), rel=1e-4)
-    assert got[0]["kept"] and not got[103]["kept"] and not got[101]["kept"] and got[100]["base_failed"]
+    assert got[100]["base_failed"] and got[101]["base_failed"] and not got[103]["base_failed"]
+    good = sorted(x["deviations"] for x in got.values() if not x["base_failed"])
+    assert abs(good[(len(good) - 1) // 2]) < 1e-9 and 0.4 < sorted(map(abs, good))[len(good) // 2] < 0.9
+    for x in got.values():
+        assert x["kept"] == (not x["base_failed"] and abs(x["deviations"]) <= 1.5)
+    assert {x["kept"] for x in got.values() if not x["base_failed"]} == {True, False}
 
 
 def test_quality_of_odd_rows(docs, nothing):
