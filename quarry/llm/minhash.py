@@ -2,8 +2,8 @@
 
 Every document has a set of word shingles (64-bit hashes) and, for each of ``trees`` sorted orders, a signature of
 ``depth`` minima. Documents that share the first ``base`` minima of an order are neighbours by longest common
-prefix. The depth adapts to the region: where more than ``region`` documents share a prefix, it is extended minimum
-by minimum, up to ``depth``, so dense regions are cut finer and sparse ones keep their recall.
+prefix. The depth adapts to the region: where more than ``region`` documents share a prefix, it is extended two
+minima at a time, up to ``depth``, so dense regions are cut finer and sparse ones keep their recall.
 
 1. Equal sets are one class; only its smallest key goes on, so any number of exact copies costs one row.
 2. Every document is compared with the smallest key of each of its base regions (at most one pair a tree).
@@ -16,7 +16,8 @@ similarity 0.85 in a sparse region is (1 - 0.85**5)**20, below 0.001 %.
 
 Null and empty texts and texts without words have the empty set and no link. With fewer words than a shingle, the
 whole sequence is the one shingle. Of rows with equal keys the largest set counts (ties: the larger hashes). An empty
-table gives an empty result. Extra columns are ignored here and kept by ``keep_first``.
+table gives an empty result. Rows with a null key have no result; ``keep_first`` keeps them. Extra columns are ignored
+here and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -134,9 +135,10 @@ def cross_counts(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, trees: int = 20,
-         base: int = 5, depth: int = 10, region: int = 256) -> DataFrame:
+         base: int = 5, depth: int = 9, region: int = 256) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable), kept; one row per key."""
     mul, add = _seeds(trees * depth)
+    docs = docs.where(F.col(key).isNotNull())
 
     def named(s: np.ndarray) -> tuple[int, int, int]:
         """Size and two 64-bit sums: the identity of a set."""
@@ -192,14 +194,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     todo = members.join(comp, "id", "left").select("id", "tree", "k", F.coalesce("component_id", "id").alias("c"))
     leaves = None
-    for d in range(base, depth + 1):
+    levels = list(range(base, depth + 1, 2))
+    for d in levels:
         here = save(tagged(todo), "forest-level")
-        leaf = here if d == depth else here.where(F.col("m") <= region)
+        leaf = here if d == levels[-1] else here.where(F.col("m") <= region)
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if d == depth:
+        if d == levels[-1]:
             break
         todo = (here.where(F.col("m") > region).select("id", "tree", "c").join(classes.select("id", "sig"), "id")
-                .select("id", "tree", prefix(d + 1).alias("k"), "c"))
+                .select("id", "tree", prefix(d + 2).alias("k"), "c"))
     half = region // 2
     blocks = F.ceil(F.col("m") / half)
     mine = F.pmod(F.xxhash64("id"), blocks)
@@ -242,5 +245,5 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its component. Same columns; rows without a key stay."""
-    gone = link(docs.where(F.col(key).isNotNull()), key, text, **options).where(~F.col("kept")).select(key)
+    gone = link(docs, key, text, **options).where(~F.col("kept")).select(key)
     return docs.join(gone, key, "left_anti").select(*docs.columns)
