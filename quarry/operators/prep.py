@@ -282,13 +282,14 @@ def label_codes(df: DataFrame, cols: Sequence[str], missing: str = "missing") ->
     return pin(rk.select("column", F.col("v").alias("value"), F.col("cum_before").cast("int").alias("code")))
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded", missing: str = "missing") -> DataFrame:
-    """Append ``{c}{suffix}`` integer codes (sorted order, null -> ``missing``).
+def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded", missing: str = "missing",
+                 source: DataFrame | None = None) -> DataFrame:
+    """Append ``{c}{suffix}`` integer codes (sorted order, null -> ``missing``) of the values of ``source`` (default ``df``).
 
     One join per column on the value; AQE picks broadcast when the code table is small and
     splits skewed values otherwise.
     """
-    codes = label_codes(df, cols, missing)
+    codes = label_codes(df if source is None else source, cols, missing)
     out = df
     for c in cols:
         key = F.coalesce(F.col(c).cast("string"), F.lit(missing))

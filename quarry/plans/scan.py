@@ -2,11 +2,12 @@
 
 ``Window.partitionBy(key).orderBy(t)`` sends each key to one task, and with no key at all the
 whole table goes to one task. If one key holds a third of the rows, that task holds a third
-of the table. The scan here is split instead:
+of the table. The scan here is split instead, with one shuffle of the table:
 
-1. range-partition on (keys, order) - a hot key is cut into many contiguous slices - and pin
-   the layout with a checkpoint (partition ids must not move if a stage is recomputed);
-2. run the window inside each (partition, key) slice;
+1. range-partition on (keys, order) - a hot key is cut into many contiguous slices - and sort;
+2. in the same stage, stream each partition once in order and add the running values of every
+   (partition, key) slice, then pin the result with a checkpoint (partition ids must not move if
+   a stage is recomputed);
 3. summarise the last key of every partition (one row per partition), chain the running
    totals and the last two values across partitions on that collected summary, and join the
    carry (bounded by the partition count, broadcast) into the first rows of the next partition.
@@ -17,9 +18,12 @@ inside each key (add a unique tie-breaker).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +36,48 @@ def _add(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
 
 
+def _running(x: pd.Series, seg: np.ndarray, before: dict | None, same: np.ndarray) -> dict[str, np.ndarray]:
+    """Running values of one column over a batch; ``same``: rows that go on with the slice of the batch before."""
+    g = x.groupby(seg)
+    out = {"l1": g.shift(1), "l2": g.shift(2), "s": g.cumsum(), "mx": g.cummax(), "mn": g.cummin()}
+    for k in ("s", "mx", "mn"):
+        out[k] = out[k].groupby(seg).ffill()
+    out = {k: v.to_numpy(copy=True) for k, v in out.items()}
+    if same[0]:
+        out["s"][same] = np.where(np.isnan(out["s"][same]), before["s"], np.where(np.isnan(before["s"]), 0, before["s"]) + out["s"][same])
+        out["mx"][same] = np.fmax(out["mx"][same], before["mx"])
+        out["mn"][same] = np.fmin(out["mn"][same], before["mn"])
+        out["l1"][0], out["l2"][0] = before["x"], before["l1"]
+        if len(same) > 1 and same[1]:
+            out["l2"][1] = before["x"]
+    return out
+
+
+def _slices(cols: list[str], names: list[str]):
+    """Streams a partition that is sorted by key and order, adding the running values of every slice."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_before, rn_before, state, done = None, 0, {}, 0
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            key = b.column(b.schema.get_field_index("_key")).to_numpy()
+            new = np.concatenate(([key_before is None or key[0] != key_before], key[1:] != key[:-1]))
+            seg = np.cumsum(new)
+            same = seg == 0
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            rn = np.arange(n) - first + 1 + np.where(same, rn_before, 0)
+            added = [pa.array(rn), pa.array(np.arange(done, done + n))]
+            for c in cols:
+                x = b.column(b.schema.get_field_index(f"{c}__x")).to_pandas().astype("float64")
+                got = _running(x, seg, state.get(c), same)
+                added += [pa.array(got[k], mask=np.isnan(got[k])) for k in ("l1", "l2", "s", "mx", "mn")]
+                state[c] = {"x": x.iloc[-1], **{k: got[k][-1] for k in ("l1", "s", "mx", "mn")}}
+            key_before, rn_before, done = key[-1], int(rn[-1]), done + n
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names)
+    return scan
+
+
 def ordered_scan(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
                  partition_by: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Return ``df`` plus, for each c in ``cols``: c__lag1, c__lag2, c__cumsum, c__cummax, c__cummin.
@@ -44,26 +90,21 @@ def ordered_scan(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df if keys else df.withColumn("_g", F.lit(0))
     gkeys = keys or ["_g"]
-    laid = pin(base.repartitionByRange(P, *gkeys, *order_by).withColumn("_pid", F.spark_partition_id()))
-
-    slice_w = Window.partitionBy("_pid", *gkeys).orderBy(*order_by)
-    run = slice_w.rowsBetween(Window.unboundedPreceding, 0)
-    local_cols = [F.row_number().over(slice_w).alias("_rn"), F.count(F.lit(1)).over(Window.partitionBy("_pid", *gkeys)).alias("_n")]
-    for c in cols:
-        x = F.col(c).cast("double")
-        local_cols += [F.lag(x, 1).over(slice_w).alias(f"{c}__l1"), F.lag(x, 2).over(slice_w).alias(f"{c}__l2"),
-                       F.sum(x).over(run).alias(f"{c}__s"), F.max(x).over(run).alias(f"{c}__mx"),
-                       F.min(x).over(run).alias(f"{c}__mn")]
-    local = laid.select("*", *local_cols)
+    ready = base.repartitionByRange(P, *gkeys, *order_by).sortWithinPartitions(*gkeys, *order_by).select(
+        "*", F.spark_partition_id().alias("_pid"), F.xxhash64(*gkeys).alias("_key"),
+        *[F.col(c).cast("double").alias(f"{c}__x") for c in cols])
+    more = [T.StructField("_rn", T.LongType()), T.StructField("_idx", T.LongType())]
+    more += [T.StructField(f"{c}__{k}", T.DoubleType()) for c in cols for k in ("l1", "l2", "s", "mx", "mn")]
+    schema = T.StructType([*ready.schema.fields, *more])
+    local = pin(ready.mapInArrow(_slices(cols, schema.names), schema))
 
     # one row per partition: the slice of its last key
-    order_struct = F.struct(*[F.col(k) for k in gkeys], *[F.col(o) for o in order_by])
-    last_fields = [F.col(k).alias(k) for k in gkeys] + [F.col("_n").alias("_n")]
+    last_fields = [F.col(k).alias(k) for k in gkeys] + [F.col("_rn").alias("_n")]
     for c in cols:
-        last_fields += [F.col(c).cast("double").alias(f"{c}__x"), F.col(f"{c}__l1").alias(f"{c}__x2"),
+        last_fields += [F.col(f"{c}__x").alias(f"{c}__x"), F.col(f"{c}__l1").alias(f"{c}__x2"),
                         F.col(f"{c}__s").alias(f"{c}__s"), F.col(f"{c}__mx").alias(f"{c}__mx"),
                         F.col(f"{c}__mn").alias(f"{c}__mn")]
-    summary = (local.groupBy("_pid").agg(F.max_by(F.struct(*last_fields), order_struct).alias("z"))
+    summary = (local.groupBy("_pid").agg(F.max_by(F.struct(*last_fields), F.col("_idx")).alias("z"))
                .select("_pid", "z.*"))
     # Carry chain over the partitions, on the collected summary (one row per partition): the
     # running totals and last two values of a key through partition p go to the next non-empty
