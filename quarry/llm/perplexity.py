@@ -1,15 +1,18 @@
 """Quality rules and n-gram perplexity.
 
-The language model is modified Kneser-Ney of a fixed order over the UTF-8 bytes of each language. Tasks count the
-n-grams of the highest order of all documents with sorted arrays; Spark sums the counts, derives the continuation
-counts of the lower orders, the three discounts of each order and the interpolated probabilities by grouped sums,
-windows over the at most 256 followers of a context, and joins. The model is stored as sorted arrays of hashes and
-log-probabilities: hashes have ``bits`` bits, so it has at most 2**bits entries whatever the corpus; n-grams that
-share a hash share their mean probability. Workers spread the arrays to a direct-address table.
-
-A document's score is its mean log-probability per byte. For each language, the median and the median deviation over
-all documents that pass the base rules give the band; documents below ``low`` or above ``high`` deviations of
-log-perplexity are rejected. A null language is a language of its own.
+The language model is modified Kneser-Ney of a fixed order over the UTF-8 bytes of each language. Tasks cut their rows
+into chunks and count the chunk's n-grams of the highest order with sorted arrays; Spark sums the counts and derives the
+continuation counts of the lower orders and, by windows over the at most 256 followers of a context, what every
+context counts. N-grams are exact (packed bytes, none are hashed or folded) and stay in tables on Spark: each chunk's
+distinct n-grams are joined to them, so a worker gets the part of the model that its chunk needs. Nothing of the model
+reaches the driver or is broadcast, and its size is not capped.
+
+``log_perplexity`` is the mean log-perplexity per byte under the model of all documents. ``held_out`` is the same with
+the document's own counts, and those of all rows with equal text in its language, taken out of every order: n-grams
+that only it has are unseen and back off to lower orders, down to uniform bytes. (The discounts stay those of all
+documents.) For each language, the median and the median deviation of ``held_out`` over all documents that pass the base
+rules give the band; documents below ``low`` or above ``high`` deviations are rejected. The lower band is wide, as a near
+copy is predicted by its twin, which says nothing against it. A null language is a language of its own.
 
 Null and empty texts have no words and fail the base rules (fewer than 20 words). Repeated rows count as often as they
 occur, and get equal results. Lines are compared whole, words byte for byte. An empty table gives an empty result.
@@ -17,14 +20,16 @@ occur, and get equal results. Lines are compared whole, words byte for byte. An
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, byte_lengths, mix64, portions, prefix_hash, save, span_hash
+from .common import SPACE, binary_parts, byte_lengths, mix64, portions, prefix_hash, save, span_hash
 
 ORDER = 5
 SYMBOL = np.zeros(256, bool)
@@ -58,110 +63,159 @@ def _grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return k[np.arange(len(row)) + row * (ORDER - 1)], row, n
 
 
-def count(docs: DataFrame, text: str, group: Column, limit: int = 1_500_000) -> DataFrame:
-    """g, k, c: the n-grams of the highest order by language, over all documents."""
+def gather(docs: DataFrame, key: str, text: str, group: Column, size: int) -> DataFrame:
+    """Chunks of about ``size`` bytes of text of one language, written: chunk, g, body (compressed rows), the distinct
+    n-grams of the highest order (k, sorted) with counts (c), and the hashes of the texts (h)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def drain():
-            for g, (k, c) in held.items():
-                for i in range(0, len(k), 50_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k[i:i + 50_000]), g)), pa.array(k[i:i + 50_000]), pa.array(c[i:i + 50_000])],
-                        ["g", "k", "c"])
-            held.clear()
+        held: dict[int, list] = {}  # rows, hashes, n-grams, counts, bytes
+
+        def drain(g: int) -> pa.RecordBatch:
+            rows, hashes, k, c, _ = held.pop(g)
+            table = pa.Table.from_batches(rows).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().int >> 65]), pa.array([g]), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                 pa.array([k], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64())),
+                 pa.array([np.concatenate(hashes)], pa.list_(pa.int64()))], ["chunk", "g", "body", "k", "c", "h"])
 
         for batch in batches:
-            for i, j in portions(byte_lengths(batch.column(0)), rows=5000):
+            lengths = byte_lengths(batch.column(1))
+            for i, j in portions(lengths, rows=5000):
                 rows = batch.slice(i, j - i)
-                gs = rows.column(1).to_numpy()
-                k, row, _ = _grams(rows.column(0))
-                for g in np.unique(gs):
-                    new, c = np.unique(k[gs[row] == g], return_counts=True)
-                    if g in held:
-                        new = np.concatenate((held[g][0], new))
-                        c = np.concatenate((held[g][1], c))
-                        new, at = np.unique(new, return_inverse=True)
-                        c = np.bincount(at, c, len(new)).astype(np.int64)
-                    held[int(g)] = new, c
-                if sum(len(x[0]) for x in held.values()) > limit:
-                    yield from drain()
-        yield from drain()
-
-    part = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), group.alias("g")).mapInArrow(run, "g long, k long, c long")
-    return part.groupBy("g", "k").agg(F.sum("c").alias("c"))
-
-
-def _discount(c: Column) -> Column:
-    return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-
-
-def probabilities(counts: DataFrame) -> DataFrame:
-    """g, k, p of every n-gram of the highest order; modified Kneser-Ney, interpolated down to uniform bytes."""
-    tables = [counts]
-    for n in range(ORDER - 1, 0, -1):  # continuation counts
-        k = F.col("k").bitwiseAND(F.lit((1 << 8 * n) - 1))
-        tables.append(save(tables[-1].select("g", k.alias("k")).groupBy("g", "k").agg(F.count(F.lit(1)).alias("c")), "kn"))
-    lower = None
-    for n, table in enumerate(reversed(tables), 1):
-        few = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+                gs = rows.column(2).to_numpy()
+                for g in np.unique(gs).tolist():
+                    mine = rows.filter(pa.array(gs == g))
+                    k, _, n = _grams(mine.column(1))
+                    k, c = _runs(np.sort(k))
+                    have = held.setdefault(g, [[], [], np.empty(0, np.int64), np.empty(0, np.int64), 0])
+                    have[0].append(mine.select([key, "t"]))
+                    have[1].append(text_hashes(mine.column(1)))
+                    both, counts = np.concatenate((have[2], k)), np.concatenate((have[3], c))
+                    order = np.argsort(both, kind="stable")
+                    have[2], first = np.unique(both[order], return_index=True)
+                    have[3] = np.add.reduceat(counts[order], first) if len(first) else first
+                    have[4] += int(n.sum())
+                if sum(x[4] for x in held.values()) > size:
+                    yield from [drain(g) for g in list(held)]
+        yield from [drain(g) for g in list(held)]
+
+    return save(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"), group.alias("g")).mapInArrow(
+        run, "chunk long, g long, body binary, k array<long>, c array<long>, h array<long>"), "kn-chunks")
+
+
+def text_hashes(col: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(b) for b in binary_parts(col)], np.uint64).view(np.int64)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array and how often each occurs."""
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def model(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each chunk's n-grams of all orders count (chunk, n, k, c, and of the context: s and n1 to n3, the
+    followers with counts of 1, 2 and more; n = 0: rows with equal text), and the discounts of each language (g, d)."""
+    table = save(chunks.select("g", F.explode(F.arrays_zip("k", "c")).alias("x")).groupBy("g", F.col("x.k").alias("k"))
+                 .agg(F.sum("x.c").alias("c")), "kn")
+    hashes = chunks.select("chunk", "g", F.explode("h").alias("k"))
+    copies = hashes.groupBy("g", "k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    zero = [F.lit(0).cast("long").alias(x) for x in ("s", "n1", "n2", "n3")]
+    parts = hashes.distinct().join(copies, ["g", "k"]).select("chunk", F.lit(0).alias("n"), "k", "c", *zero)
+    cuts = None
+    for n in range(ORDER, 0, -1):
+        mask = F.lit((1 << 8 * n) - 1)
+        if n < ORDER:  # continuation counts
+            table = save(table.select("g", F.col("k").bitwiseAND(mask).alias("k")).groupBy("g", "k").agg(
+                F.count(F.lit(1)).alias("c")), "kn")
+        d = table.groupBy("g").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
         def cut(i: int) -> Column:
             raw = F.lit(float(i)) - F.lit(i + 1.0) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
             safe = (F.col("n1") > 0) & (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0)  # else half of the smallest count
-            return F.when(safe, F.greatest(F.lit(0.05), F.least(raw, F.lit(i - 0.05)))).otherwise(F.lit(0.5)).alias(f"d{i}")
+            return F.when(safe, F.greatest(F.lit(0.05), F.least(raw, F.lit(i - 0.05)))).otherwise(F.lit(0.5))
 
-        d = table.groupBy("g").agg(*few).select("g", cut(1), cut(2), cut(3))
+        d = d.select("g", F.lit(n).alias("n"), F.array(F.lit(0.0), cut(1), cut(2), cut(3)).alias("d"))
+        cuts = d if cuts is None else cuts.unionByName(d)
         w = Window.partitionBy("g", F.shiftright("k", 8))  # at most 256 followers
-        t = table.join(d, "g").withColumn("s", F.sum("c").over(w)).withColumn(
-            "left", F.sum(_discount(F.col("c"))).over(w) / F.col("s")).select(
-            "g", "k", ((F.col("c") - _discount(F.col("c"))) / F.col("s")).alias("own"), "left")
-        if lower is None:
-            t = t.withColumn("p", F.col("own") + F.col("left") / 256)
-        else:
-            low = lower.select("g", F.col("k").alias("_k"), F.col("p").alias("_p"))
-            t = (t.withColumn("_k", F.col("k").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(low, ["g", "_k"])
-                 .withColumn("p", F.col("own") + F.col("left") * F.col("_p")))
-        lower = t.select("g", "k", "p")
-    return lower
-
-
-class Model:
-    """Sorted hashes and log-probabilities; the log-probability of what is not in them."""
-
-    def __init__(self, hashes: np.ndarray, logs: np.ndarray, bits: int):
-        self.hashes, self.logs, self.bits = hashes, logs, bits
-        self.unknown = np.float32(np.log(1 / 256) * 2)
-        self._table: np.ndarray | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_table": None}
-
-    def look_up(self, h: np.ndarray) -> np.ndarray:
-        if self._table is None:
-            self._table = np.full(1 << self.bits, self.unknown, np.float32)
-            self._table[self.hashes] = self.logs
-        return self._table[h]
-
-
-def hashed(g: np.ndarray, k: np.ndarray, bits: int) -> np.ndarray:
-    h = mix64(k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ g.astype(np.uint64))
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def fit(docs: DataFrame, text: str, group: Column, bits: int = 24) -> Model:
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = hashed(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(2)], ["h", "p"])
-
-    probs = probabilities(save(count(docs, text, group), "kn"))
-    # at most 2**bits rows reach the driver, and from it the workers
-    got = probs.mapInArrow(fold, "h long, p double").groupBy("h").agg(F.log(F.avg("p")).cast("float").alias("l")).toArrow()
-    h, logs = got.column("h").to_numpy().astype(np.int32), got.column("l").to_numpy().astype(np.float32)
-    order = np.argsort(h)
-    return Model(h[order], logs[order], bits)
+        full = table.select("g", "k", "c", F.sum("c").over(w).alias("s"), F.count_if(F.col("c") == 1).over(w).alias("n1"),
+                            F.count_if(F.col("c") == 2).over(w).alias("n2"), F.count_if(F.col("c") > 2).over(w).alias("n3"))
+        asked = chunks.select("chunk", "g", F.explode(
+            "k" if n == ORDER else F.array_distinct(F.transform("k", lambda x: x.bitwiseAND(mask)))).alias("k"))
+        parts = parts.unionByName(asked.join(full, ["g", "k"]).select("chunk", F.lit(n).alias("n"), "k", "c", "s", "n1", "n2", "n3"))
+    return parts, cuts.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "d"))), lambda x: x["d"]).alias("d"))
+
+
+class Level:
+    """The n-grams of one order that a chunk needs: sorted keys, counts, sums and discounted mass of their contexts."""
+
+    def __init__(self, part: pa.Table, cuts: np.ndarray):
+        k = part.column("k").to_numpy()
+        order = np.argsort(k)
+        self.cuts, self.k = cuts, k[order]
+        self.c, self.s, n1, n2, n3 = (part.column(x).to_numpy()[order] for x in ("c", "s", "n1", "n2", "n3"))
+        self.mass = cuts[1] * n1 + cuts[2] * n2 + cuts[3] * n3
+
+    def cut(self, c: np.ndarray) -> np.ndarray:
+        return self.cuts[np.minimum(c, 3)]
+
+
+class Slice:
+    """The part of the model that one chunk needs."""
+
+    def __init__(self, part: pa.Table, cuts: list):
+        n = part.column("n").to_numpy()
+        self.levels = {i: Level(part.filter(pa.array(n == i)), np.array(cuts[i - 1])) for i in range(1, ORDER + 1)}
+        same = part.filter(pa.array(n == 0))
+        self.copies = dict(zip(same.column("k").to_pylist(), same.column("c").to_pylist()))
+        p = None
+        for i, t in self.levels.items():  # probabilities by all documents
+            low = 1 / 256 if p is None else p[np.searchsorted(self.levels[i - 1].k, t.k & ((1 << 8 * (i - 1)) - 1))]
+            p = (t.c - t.cut(t.c) + t.mass * low) / t.s
+        self.logs = np.log(p)
+
+    def score(self, k: np.ndarray, row: np.ndarray, n: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log-perplexity per byte of each row: by all documents, and with its own counts left out."""
+        rows = len(n)
+        key, times = _runs(np.sort(row << 8 * ORDER | k))
+        at, key = key >> 8 * ORDER, key & ((1 << 8 * ORDER) - 1)
+        place = np.searchsorted(self.levels[ORDER].k, key)
+        full = -np.bincount(at, times * self.logs[place], rows) / np.maximum(n, 1)
+        top, r, own, steps = at, at, times * copies[at], []
+        for i in range(ORDER, 0, -1):
+            t = self.levels[i]
+            if i < ORDER:
+                place = np.searchsorted(t.k, key)
+            c = t.c[place]
+            left = c - own
+            context = key >> 8
+            first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (r[1:] != r[:-1]))))
+            cut = t.cut(left)
+            s = t.s[place[first]] - np.add.reduceat(own, first)
+            mass = t.mass[place[first]] + np.add.reduceat(cut - t.cut(c), first)
+            seen, size = s > 0, np.diff(np.append(first, len(key)))
+            over = 1 / np.maximum(s, 1)
+            steps.append([(left - cut) * np.repeat(np.where(seen, over, 0), size),
+                          np.repeat(np.where(seen, mass * over, 1), size), None])
+            if i > 1:
+                # sorted by row and shorter n-gram, with the place in the low bits
+                bits, low = len(key).bit_length(), 8 * (i - 1)
+                packed = np.sort((r << low | key & ((1 << low) - 1)) << bits | np.arange(len(key)))
+                order, value = packed & ((1 << bits) - 1), packed >> bits
+                fresh = np.concatenate(([True], value[1:] != value[:-1]))
+                first = np.flatnonzero(fresh)
+                back = np.empty(len(key), np.int64)
+                back[order] = np.cumsum(fresh) - 1
+                steps[-1][2] = back
+                own = np.add.reduceat((left == 0)[order].astype(np.int64), first)  # n-grams that only this text has
+                r, key = value[first] >> low, value[first] & ((1 << low) - 1)
+        p = None
+        for own_share, rest, back in reversed(steps):
+            p = own_share + rest * (1 / 256 if p is None else p[back])
+        return full, -np.bincount(top, times * np.log(p), rows) / np.maximum(n, 1)
 
 
 def base_counts(col: pa.Array) -> dict[str, np.ndarray]:
@@ -209,26 +263,38 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", low: float = 15.0,
-          high: float = 12.0, bits: int = 24) -> DataFrame:
-    """key, the base counts, base_failed, log_perplexity, deviations, kept: one row per row."""
+          high: float = 12.0, size: int = 32 << 20) -> DataFrame:
+    """key, the base counts, base_failed, log_perplexity, held_out, deviations, kept: one row per row."""
     group = F.coalesce(F.xxhash64(lang), F.lit(0).cast("long"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, text, group, bits))
+    chunks = gather(docs, key, text, group, size)
+    parts, cuts = model(chunks)
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in portions(byte_lengths(batch.column(1))):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        with pa.ipc.open_stream(left.column("body")[0].as_buffer()) as body:
+            table = body.read_all().combine_chunks()
+        cuts = left.column("d")[0].as_py()
+        part, out = Slice(right, cuts) if cuts else None, []
+        for batch in table.to_batches():
+            for i, j in portions(byte_lengths(batch.column(1)), size=1 << 20):
                 rows = batch.slice(i, j - i)
                 c = base_counts(rows.column(1))
                 k, row, n = _grams(rows.column(1))
-                logs = model.value.look_up(hashed(rows.column(2).to_numpy()[row], k, model.value.bits))
-                mean = np.bincount(row, logs, len(n)) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(2), *[pa.array(c[x].astype(np.int64)) for x in COUNTS],
-                     pa.array(-mean, mask=n == 0)], [key, "g", *COUNTS, "log_perplexity"])
-
-    scored = save(docs.select(key, text, group.alias("g")).mapInArrow(
-        run, f"`{key}` {kind}, g long, " + ", ".join(f"{c} long" for c in COUNTS) + ", log_perplexity double"), "kn-scored")
+                full = held = np.zeros(len(n))
+                if len(k):
+                    copies = np.array([part.copies.get(h, 1) for h in text_hashes(rows.column(1)).tolist()])
+                    full, held = part.score(k, row, n, copies)
+                out.append(pa.Table.from_arrays(
+                    [rows.column(0), pa.array(np.full(len(n), left.column("g")[0].as_py())),
+                     *[pa.array(c[x].astype(np.int64)) for x in COUNTS],
+                     pa.array(full, mask=n == 0), pa.array(held, mask=n == 0)],
+                    [key, "g", *COUNTS, "log_perplexity", "held_out"]))
+        return pa.concat_tables(out)
+
+    bodies = chunks.select("chunk", "g", "body").join(cuts, "g", "left")
+    scored = save(bodies.groupBy("chunk").cogroup(parts.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(
+        run, f"`{key}` {kind}, g long, " + ", ".join(f"{c} long" for c in COUNTS)
+        + ", log_perplexity double, held_out double"), "kn-scored")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     good = scored.where(~failed)
     middle = good.groupBy("g").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
@@ -237,5 +303,5 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         .select("g", "mid", F.greatest(1.4826 * F.col("mad"), F.lit(0.01)).alias("unit")))
     z = (F.col("log_perplexity") - F.col("mid")) / F.col("unit")
     return scored.join(spread, "g", "left").select(
-        key, *COUNTS, failed.alias("base_failed"), "log_perplexity", z.alias("deviations"),
+        key, *COUNTS, failed.alias("base_failed"), "log_perplexity", "held_out", z.alias("deviations"),
         (~failed & F.coalesce(z.between(-low, high), F.lit(True))).alias("kept"))

@@ -229,6 +229,16 @@ def test_perplexity_as_brute_force(spark):
     assert {x["kept"] for x in got.values() if not x["base_failed"]} == {True, False}
 
 
+def test_model_is_exact_in_any_chunks(spark):
+    r = random.Random(14)
+    texts = [" ".join(r.choice("the cat sat on a mat and then left".split()) for _ in range(30)) for _ in range(12)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    p = kneser_ney(texts)
+    for x in perplexity.judge(df, size=500).collect():
+        b = b"\x02" * 4 + texts[x["doc_id"]].encode()
+        assert x["log_perplexity"] == pytest.approx(-np.mean([np.log(p[b[k:k + 5]]) for k in range(len(b) - 4)]), rel=1e-9)
+
+
 def test_quality_of_odd_rows(docs, nothing):
     got = perplexity.judge(docs).collect()
     assert len(got) == docs.count() and perplexity.judge(nothing).count() == 0
