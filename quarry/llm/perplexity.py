@@ -263,7 +263,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", low: float = 15.0,
-          high: float = 12.0, size: int = 32 << 20) -> DataFrame:
+          high: float = 6.0, size: int = 32 << 20) -> DataFrame:
     """key, the base counts, base_failed, log_perplexity, held_out, deviations, kept: one row per row."""
     group = F.coalesce(F.xxhash64(lang), F.lit(0).cast("long"))
     chunks = gather(docs, key, text, group, size)
@@ -297,11 +297,11 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         + ", log_perplexity double, held_out double"), "kn-scored")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     good = scored.where(~failed)
-    middle = good.groupBy("g").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
+    middle = good.groupBy("g").agg(F.percentile_approx("held_out", 0.5, 10000).alias("mid"))
     spread = (good.join(middle, "g").groupBy("g", "mid").agg(
-        F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")), 0.5, 10000).alias("mad"))
+        F.percentile_approx(F.abs(F.col("held_out") - F.col("mid")), 0.5, 10000).alias("mad"))
         .select("g", "mid", F.greatest(1.4826 * F.col("mad"), F.lit(0.01)).alias("unit")))
-    z = (F.col("log_perplexity") - F.col("mid")) / F.col("unit")
+    z = (F.col("held_out") - F.col("mid")) / F.col("unit")
     return scored.join(spread, "g", "left").select(
         key, *COUNTS, failed.alias("base_failed"), "log_perplexity", "held_out", z.alias("deviations"),
         (~failed & F.coalesce(z.between(-low, high), F.lit(True))).alias("kept"))

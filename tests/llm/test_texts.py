@@ -239,6 +239,69 @@ def test_model_is_exact_in_any_chunks(spark):
         assert x["log_perplexity"] == pytest.approx(-np.mean([np.log(p[b[k:k + 5]]) for k in range(len(b) - 4)]), rel=1e-9)
 
 
+def test_held_out_score_is_that_of_the_other_texts(spark):
+    """A text's score with its own counts out equals brute force over the other texts (discounts of all texts)."""
+    r = random.Random(12)
+    texts = [" ".join(r.choice("the cat sat on a mat and then left".split()) for _ in range(30)) for _ in range(12)]
+    texts += [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(25))] * 2  # a text and its copy
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["held_out"] for x in perplexity.judge(df, size=500).collect()}
+    n = perplexity.ORDER
+
+    def tables(some):
+        out = {n: Counter(g for t in some for b in [b"\x02" * (n - 1) + t.encode()] for g in (b[i:i + n] for i in range(len(b) - n + 1)))}
+        for k in range(n - 1, 0, -1):
+            out[k] = Counter(g[1:] for g in out[k + 1])
+        return out
+
+    cuts = {}
+    for k, c in tables(texts).items():
+        m = Counter(c.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
+        cuts[k] = [0] + [max(0.05, min(i - (i + 1) * y * m[i + 1] / m[i], i - 0.05)) if m[1] and m[i] and m[i + 1] else 0.5 for i in (1, 2, 3)]
+    for i, t in enumerate(texts):
+        left = tables([x for x in texts if x != t])
+        total = {k: Counter() for k in left}
+        mass = {k: Counter() for k in left}
+        for k, c in left.items():
+            for g, x in c.items():
+                total[k][g[:-1]] += x
+                mass[k][g[:-1]] += cuts[k][min(x, 3)]
+
+        def p(g):
+            if not g:
+                return 1 / 256
+            k, s = len(g), total[len(g)][g[:-1]]
+            if not s:
+                return p(g[1:])
+            x = left[k][g]
+            return (x - cuts[k][min(x, 3)] + mass[k][g[:-1]] * p(g[1:])) / s
+
+        b = b"\x02" * (n - 1) + t.encode()
+        assert got[i] == pytest.approx(-np.mean([np.log(p(b[j:j + n])) for j in range(len(b) - n + 1)]), rel=1e-6)
+
+
+def test_production_bands_reject_planted_noise(spark):
+    r = random.Random(13)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").collect()
+    long = [[x["text"] for x in rows if x["lang"] == g and len(x["text"] or "") > 800 and len(set(x["text"].split())) > 100]
+            for g in ("en", "fr")]
+    noise = {}
+    for i in range(4):
+        noise[1000 + i] = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in long[0][i])
+        code = base64.b64encode(r.randbytes(900)).decode()
+        noise[1100 + i] = " ".join(code[j:j + 12] for j in range(0, len(code), 12))
+        noise[1200 + i] = "".join(r.sample(long[0][10 + i], len(long[0][10 + i])))
+        noise[1300 + i] = long[1][i]  # off language
+    docs = [(i, x["text"], x["lang"]) for i, x in enumerate(rows) if x["text"] not in noise.values()]
+    df = spark.createDataFrame(docs + [(1_000_000 + i, t, "en") for i, t in noise.items()], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in perplexity.judge(df).collect()}
+    wrong = [(i, got[1_000_000 + i]["deviations"]) for i in noise if got[1_000_000 + i]["kept"]]
+    assert not wrong
+    good = [x for i, x in got.items() if i < 1_000_000 and not x["base_failed"]]
+    assert np.mean([x["kept"] for x in good]) > 0.9
+
+
 def test_quality_of_odd_rows(docs, nothing):
     got = perplexity.judge(docs).collect()
     assert len(got) == docs.count() and perplexity.judge(nothing).count() == 0
