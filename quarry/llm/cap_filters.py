@@ -11,6 +11,11 @@ blocks; nothing in it is dropped. Tasks return one row a vector (its links there
 never one a pair. ``recall`` measures the search against brute force. For ten times the vectors of a label, raise
 ``codes`` by a quarter or ``alpha`` by 0.02: the vectors that pass a filter by chance then stay as few.
 
+``alpha`` holds for 64 dimensions or fewer. Inner products with a random direction shrink with the square root of the
+dimension, so in more dimensions the threshold is the one at which as many filters are expected to pass as at 64
+(``threshold``); how alike two vectors' filters are depends on their cosine, not on the dimension. A vector that passes no
+filter takes its nearest one of every turn.
+
 Cosines are in double precision. Vectors that are null, zero, or hold null or non-finite components, and rows with a
 null label, link with nothing. Vectors of different lengths do not link. Of rows with equal ids one counts (the smallest
 label, then hash); a null id is left out. An empty table gives an empty result. Other columns are ignored.
@@ -18,6 +23,7 @@ label, then hash); a null id is left out. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +49,57 @@ def directions(dim: int, blocks: int, codes: int, seed: int) -> tuple[np.ndarray
     return got
 
 
+@functools.cache
+def threshold(dim: int, blocks: int, codes: int, alpha: float) -> float:
+    """The inner product that as large a share of filters reaches in ``dim`` dimensions as ``alpha`` in 64."""
+    if dim <= 64:
+        return alpha
+    r = np.random.default_rng(99)
+
+    def reached(d: int) -> np.ndarray:
+        """Sorted inner products of random vectors with sums of half of the code vectors, for either half."""
+        turn, c = directions(d, blocks, codes, 0)
+        x = unit(r.standard_normal((400, d))) @ turn
+        dots = np.einsum("nbp,bkp->nbk", x.reshape(400, blocks, -1), c)
+        return dots / np.sqrt(blocks)
+
+    def share(dots: np.ndarray, at: float) -> float:
+        """Share of the filters that reach ``at``; the parts are drawn at random where there are more than two."""
+        total = 0.0
+        for d in dots:
+            a = sum((r.choice(x, codes) for x in d[1:blocks // 2]), d[0])
+            b = np.sort(sum((r.choice(x, codes) for x in d[blocks // 2 + 1:]), d[blocks // 2])) if blocks > 1 else np.zeros(1)
+            total += np.sum(len(b) - np.searchsorted(b, at - a)) / (len(a) * len(b))
+        return total / len(dots)
+
+    want, here = share(reached(64), alpha), reached(dim)
+    low, high = 0.0, alpha
+    for _ in range(20):
+        middle = (low + high) / 2
+        low, high = (middle, high) if share(here, middle) > want else (low, middle)
+    return high
+
+
 def decode(x: np.ndarray, blocks: int, codes: int, turns: int, alpha: float) -> list[np.ndarray]:
     """For each row of unit vectors the sorted numbers of all filters it passes."""
+    alpha = threshold(x.shape[1], blocks, codes, alpha)
     each = [_decode(x, blocks, codes, t, alpha) for t in range(turns)]
-    return [np.concatenate(f) for f in zip(*each)]
+    out = [np.concatenate(f) for f in zip(*each)]
+    none = [i for i, f in enumerate(out) if not len(f)]
+    if none:
+        for i, f in zip(none, np.stack([_nearest(x[none], blocks, codes, t) for t in range(turns)], axis=1)):
+            out[i] = f
+    return out
+
+
+def _nearest(x: np.ndarray, blocks: int, codes: int, turn_no: int) -> np.ndarray:
+    """For each row the number of the filter with the largest inner product."""
+    turn, c = directions(x.shape[1], blocks, codes, turn_no)
+    best = np.einsum("nbp,bkp->nbk", (x @ turn).reshape(len(x), blocks, -1), c).argmax(axis=2)
+    number = np.zeros(len(x), np.int64)
+    for b in range(blocks):
+        number = number * codes + best[:, b]
+    return turn_no * codes ** blocks + number
 
 
 def _decode(x: np.ndarray, blocks: int, codes: int, turn_no: int, alpha: float) -> list[np.ndarray]:

@@ -108,6 +108,24 @@ def test_caps_recall_at_the_threshold():
     assert cap_filters.recall(np.concatenate((x, y))) >= 0.99
 
 
+@pytest.mark.parametrize("dim", [128, 384, 768])
+def test_caps_recall_in_more_dimensions(dim):
+    r = np.random.default_rng(2)
+    x = cap_filters.unit(r.standard_normal((200, dim)))
+    z = r.standard_normal(x.shape)
+    z = cap_filters.unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    y = 0.9801 * x + np.sqrt(1 - 0.9801 ** 2) * z
+    assert cap_filters.recall(np.concatenate((x, y))) >= 0.99
+    passed = [len(f) for f in cap_filters.decode(x, 2, 256, 8, 0.44)]
+    assert min(passed) > 0 and 30 < np.mean(passed) < 130  # 66 at 64 dimensions
+
+
+def test_caps_without_a_filter_take_the_nearest():
+    x = cap_filters.unit(np.random.default_rng(3).standard_normal((20, 64)))
+    passed = cap_filters.decode(x, 2, 256, 8, 0.95)
+    assert all(len(f) == 8 for f in passed)
+
+
 def test_caps_of_an_empty_table(spark):
     assert cap_filters.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
