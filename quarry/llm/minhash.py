@@ -3,16 +3,19 @@
 Every document has a set of word shingles (64-bit hashes) and, for each of ``trees`` sorted orders, a signature of
 ``depth`` minima. Documents that share the first ``base`` minima of an order are neighbours by longest common
 prefix. The depth adapts to the region: where more than ``region`` documents share a prefix, it is extended two
-minima at a time, up to ``depth``, so dense regions are cut finer and sparse ones keep their recall.
+minima at a time, up to ``depth``. Longer prefixes only find links early: what they leave in different components is
+compared over the whole base region, so dense regions have the recall of sparse ones.
 
 1. Equal sets are one class; only its smallest key goes on, so any number of exact copies costs one row.
 2. Every document is compared with the smallest key of each of its base regions (at most one pair a tree).
 3. The links found give components. Regions that still hold several components are compared all against all in
    blocks of at most ``region`` documents, except pairs already connected: such a pair can change no component.
    A region that is still larger at full depth is dealt out as pairs of blocks, none of it is dropped.
+4. Base regions that were cut and still hold several components are dealt out as pairs of blocks. A large component has
+   blocks of its own, which are not paired with each other; small components share blocks.
 
 Links are confirmed on the full sets: ``100 * intersection >= percent * union``. Chance of missing a pair at
-similarity 0.85 in a sparse region is (1 - 0.85**5)**20, below 0.001 %.
+similarity 0.85 is (1 - 0.85**5)**20, below 0.001 %, in any region.
 
 Null and empty texts and texts without words have the empty set and no link. With fewer words than a shingle, the
 whole sequence is the one shingle. Of rows with equal keys the largest set counts (ties: the larger hashes). An empty
@@ -212,7 +215,6 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
              .select("id", "c", "k", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
              .join(full, "id"))
     P = shuffle_partitions(docs.sparkSession)
-    blocked = dealt.repartition(P, "k", "p", "q").sortWithinPartitions("k", "p", "q", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["k", "p", "q"]):
@@ -235,8 +237,32 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    more = blocked.select("k", "p", "q", "id", "c", "body").mapInArrow(compare, "a long, b long")
-    comp = components(links.unionByName(more))
+    def compared(dealt: DataFrame) -> DataFrame:
+        blocked = dealt.repartition(P, "k", "p", "q").sortWithinPartitions("k", "p", "q", "id")
+        return blocked.select("k", "p", "q", "id", "c", "body").mapInArrow(compare, "a long, b long")
+
+    early = save(links.unionByName(compared(dealt)), "forest-early")
+    comp = save(components(early), "forest-comp")
+
+    # the base regions that were cut: pairs of different components, all of them
+    dense = save(tagged(members.where(F.col("m") > region).join(comp, "id", "left")
+                        .select("id", "k", F.coalesce("component_id", "id").alias("c"))).drop("m"), "forest-dense")
+    if not dense.isEmpty():
+        sizes = dense.groupBy("k", "c").agg(F.count(F.lit(1)).alias("own"))
+        small = sizes.where(F.col("own") < half).groupBy("k").agg(F.sum("own").alias("rest"))
+        large = F.col("own") >= half
+        placed = save(dense.join(sizes, ["k", "c"]).join(small, "k", "left").select(
+            "id", "k", "c", F.when(large, F.col("c")).alias("pure"),
+            F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / half)))
+            .otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("rest") / half))).alias("b"))
+            .withColumn("b", F.xxhash64(F.coalesce(F.col("pure").cast("string"), F.lit("")), "b")), "forest-placed")
+        cells = save(placed.select("k", "pure", "b").distinct(), "forest-cells")
+        other = cells.select("k", F.col("pure").alias("pure2"), F.col("b").alias("q"))
+        met = (cells.join(other, "k").where((F.col("b") <= F.col("q")) & ~F.coalesce(F.col("pure") == F.col("pure2"), F.lit(False)))
+               .select("k", F.col("b").alias("p"), "q"))
+        late = (met.select("k", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
+                .join(placed.select("k", "b", "id", "c"), ["k", "b"]).select("id", "c", "k", "p", "q").join(full, "id"))
+        comp = components(early.unionByName(compared(late)))
     found = classes.join(comp, "id", "left").select("n", "h1", "h2", F.coalesce("component_id", "id").alias("component_id"))
     return per_key.join(found, ["n", "h1", "h2"], "left").select(
         key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"),

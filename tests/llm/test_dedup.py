@@ -58,6 +58,23 @@ def test_forest_splits_dense_regions(spark):
     assert sum(got[i] != want[i] for i in want) <= 1
 
 
+@pytest.mark.parametrize("words, percent, base, tail, change, trees",
+                         [(3, 85, 5, 20, 13, 20), (5, 80, 4, 30, 17, 20), (5, 80, 1, 30, 17, 6)])
+def test_forest_is_exact_in_dense_regions(spark, words, percent, base, tail, change, trees):
+    """Pairs at the threshold among texts that all share most of their shingles: deeper prefixes miss some."""
+    core, rows = [f"w{i}" for i in range(200)], []
+    for i in range(200):
+        text = core[:200 - tail] + [f"t{i}x{j}" for j in range(tail)]
+        rows.append((2 * i, " ".join(text)))
+        text[60:60 + change] = [f"m{i}x{j}" for j in range(change)]
+        rows.append((2 * i + 1, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x[0]: tuple(x[1:]) for x in minhash.link(df, words=words, percent=percent, base=base, trees=trees, region=32).collect()}
+    want = linked(dict(rows), words, percent)
+    assert all(want[2 * i + 1][1] == 2 * i for i in range(200))
+    assert got == want
+
+
 def test_forest_keeps_columns_and_handles_an_empty_table(docs, nothing):
     assert minhash.link(nothing).count() == 0
     kept = minhash.keep_first(docs)
