@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, html_text, minhash, mixing, packing, perplexity, pii, suffix_dedup, toxicity
+from . import (align, bpe, cap_filters, collision, hard_negatives, html_text, minhash, mixing, packing, perplexity, pii,
+               suffix_dedup, toxicity)
 from .common import read
 
 QUERIES: dict = {}
@@ -107,6 +109,41 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.search(read(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0, k=20)
+
+
+@query
+def op12_incidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return align.link(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                      public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+@query
+def op13_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, lambda key: key % 100 == 0)
+
+
+ORACLE["op13_strassen_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, s.b AS n, p.score AS ps, s.score AS ns,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT s.same WHERE 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE r <= 10"""
+
+
 def queries() -> dict:
     import corpus_pipeline
     return QUERIES | {"pipeline": corpus_pipeline.run}
