@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from .common import byte_lengths, portions, save
 
 LONG = 200  # characters of a part that is not remembered
-KNOWN = 400_000  # parts whose alignment a worker remembers
+KNOWN = 250_000  # parts whose alignment a worker remembers
 CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 SPACES = re.compile(r"  |\n\n| \n|\n |[ \n]$|[^\S \n]|\x00")
 OTHER = re.compile(r"\s|\x00")
@@ -168,6 +168,8 @@ class Aligner:
         self.feed = self.b.encode("\n")
         self.cuts = self.cuts and [self.bytes_b[i] for i in self.feed] == [b" ", b"\n"]
         self.ranks = self._ranks(json.loads(file), vocab, pattern) if pattern else None
+        if self.ranks is not None:
+            self.a = None  # not needed any more; it is the largest object here
         self.known: dict[str, Part] = {}
 
     def _ranks(self, file: dict, vocab: dict[str, int], pattern: str):
@@ -228,7 +230,7 @@ class Aligner:
             known.clear()
         new = [p for p in parts if p not in known]
         fresh: dict[str, Part] = {}
-        for lo, hi in portions(np.array([len(p) for p in new]), rows=50_000, size=1 << 20):
+        for lo, hi in portions(np.array([len(p) for p in new]), rows=20_000, size=1 << 20):
             fresh.update(zip(new[lo:hi], self._work_out(new[lo:hi])))
         known.update((p, x) for p, x in fresh.items() if len(p) <= LONG)
         return [fresh[p] if p in fresh else known[p] for p in parts]
@@ -308,7 +310,7 @@ def _chunk(aligner: Aligner, texts: list[str | None]) -> tuple[dict, dict]:
 
 
 def link(table: DataFrame, json_path: str, model_path: str, pattern: str | None = None, key: str = "doc_id", text: str = "text",
-         chunk: int = 8 << 20) -> DataFrame:
+         chunk: int = 4 << 20) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_group_links: one row per row.
 
     The two vocabulary files are read on the driver and broadcast; their size is fixed and unrelated to the corpus.
@@ -341,6 +343,7 @@ def link(table: DataFrame, json_path: str, model_path: str, pattern: str | None
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(have[f.name], f.type) if f.name in have else pa.nulls(1, f.type) for f in arrow], names=names)
                 no += 1
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)

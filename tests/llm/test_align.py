@@ -6,6 +6,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 
 from quarry.llm import align, queries
 
@@ -18,7 +19,10 @@ ODD = ["a  b", "\n\n x", "a\n b", "  lead", "trail ", "trail  ", "x\ny z", "a \n
 @pytest.fixture(scope="module")
 def aligner():
     with open(A, encoding="utf-8") as f, open(B, "rb") as g:
-        return align.Aligner(f.read(), g.read(), public_tokenizers.PATTERN)
+        x = align.Aligner(f.read(), g.read(), public_tokenizers.PATTERN)
+    x.a = tokenizers.Tokenizer.from_file(A)
+    x.a.encode_special_tokens = True
+    return x
 
 
 def plain(x, text):
