@@ -338,6 +338,30 @@ def q_correlation_matrix(spark, sf):
     return rnd(P.correlation_matrix(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
+# twenty columns of lineitem, each with holes of its own: multiples of the four numbers plus line numbers
+_WIDE = [(f"w{k}", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"][k % 4], k // 4, k) for k in range(20)]
+_WIDE_SQL = "(SELECT " + ", ".join(
+    f"CASE WHEN (l_orderkey + {k}) % 7 <> 0 THEN {c} * (1 + {m}) + l_linenumber * {m} END AS {w}" for w, c, m, k in _WIDE) + " FROM lineitem)"
+
+
+def lineitem_wide(spark, sf):
+    return t(spark, sf, "lineitem").select(*[F.when((F.col("l_orderkey") + k) % 7 != 0, F.col(c) * (1 + m) + F.col("l_linenumber") * m
+                                                    ).alias(w) for w, c, m, k in _WIDE])
+
+
+@register("correlation_matrix_wide", "SELECT s.col_a, s.col_b, s.r FROM (SELECT unnest([" + ", ".join(
+    f"{{'col_a': '{a[0]}', 'col_b': '{b[0]}', 'r': {r(f'corr({a[0]}, {b[0]})')}}}" for a in _WIDE for b in _WIDE) + f"]) AS s FROM {_WIDE_SQL})")
+def q_correlation_matrix_wide(spark, sf):
+    return rnd(P.correlation_matrix(lineitem_wide(spark, sf)))
+
+
+@register("correlation_pairs_wide", "SELECT s.column1, s.column2, s.correlation FROM (SELECT unnest([" + ", ".join(
+    f"{{'column1': '{a[0]}', 'column2': '{b[0]}', 'correlation': {r(f'corr({a[0]}, {b[0]})')}}}"
+    for i, a in enumerate(_WIDE) for b in _WIDE[i + 1:]) + f"]) AS s FROM {_WIDE_SQL}) WHERE abs(s.correlation) > 0.7")
+def q_correlation_pairs_wide(spark, sf):
+    return rnd(P.correlation_pairs(lineitem_wide(spark, sf)))
+
+
 def _corr_pairs_sql(cols, src, thr=0.7):
     parts = []
     for i, a in enumerate(cols):

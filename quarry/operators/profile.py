@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..functions.types import clean_nan, cols_of, family, type_name
+from ..plans.gram import correlations
 from ..plans.ranking import long_values, quantiles
 
 
@@ -335,10 +336,19 @@ def density_curve(df: DataFrame, cols: Sequence[str] | None = None, points: int
         (F.col("s") / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
 
 
+WIDE = 12  # columns
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """col_a, col_b, r: pairwise-complete Pearson for every ordered pair (one aggregate)."""
+    """col_a, col_b, r: pairwise-complete Pearson for every ordered pair.
+
+    A few columns are one aggregate of JVM expressions; from ``WIDE`` on, whose square would swamp the plan, they are blocked
+    matrix products (``plans/gram.py``) with the same results.
+    """
     df = clean_nan(df)
     cols = cols_of(df, "numeric", cols)
+    if len(cols) >= WIDE:
+        return correlations(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
                    for i, (a, b) in enumerate(pairs)])
