@@ -44,6 +44,43 @@ def q_feat_lag(spark, sf):
     return rnd(out.select("event_id", "value_lag_1", "value_lag_2"))
 
 
+# keys of orders moved above 2**53, where a double cannot tell neighbours apart, as whole numbers and as decimals
+_BIG = 9007199254740993
+_W_CUST = "PARTITION BY o_custkey ORDER BY o_orderkey"
+_BIG_SQL = f"""(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey + {_BIG} END AS big FROM orders)"""
+
+
+def orders_big(spark, sf):
+    big = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") + F.lit(_BIG))
+    return t(spark, sf, "orders").select("o_orderkey", "o_custkey", big.alias("big"),
+                                         (big.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(20,2)").alias("exact"))
+
+
+@register("feat_lag_bigint", f"""
+SELECT o_orderkey, lag(big, 1) OVER ({_W_CUST}) AS big_lag_1, lag(big, 2) OVER ({_W_CUST}) AS big_lag_2 FROM {_BIG_SQL}""")
+def q_feat_lag_bigint(spark, sf):
+    out, _ = FE.feat_lag(orders_big(spark, sf), ["big"], ["o_orderkey"], ["o_custkey"])
+    return out.select("o_orderkey", "big_lag_1", "big_lag_2")
+
+
+@register("feat_cumulative_bigint", "SELECT o_orderkey, " + ", ".join(
+    f"CASE WHEN big IS NOT NULL THEN CAST({f}(big) OVER ({_W_CUST} ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS big_cum{f}"
+    for f in ("sum", "max", "min")) + f" FROM {_BIG_SQL}")
+def q_feat_cumulative_bigint(spark, sf):
+    out, _ = FE.feat_cumulative(orders_big(spark, sf), ["big"], ["o_orderkey"], ["o_custkey"])
+    return out.select("o_orderkey", "big_cumsum", "big_cummax", "big_cummin")
+
+
+@register("feat_cumulative_decimal", "SELECT o_orderkey, " + ", ".join(
+    f"CASE WHEN big IS NOT NULL THEN CAST({f}(big) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS VARCHAR) END AS cum{f}"
+    for f in ("sum", "max", "min")) + f" FROM (SELECT o_orderkey, CAST(big AS HUGEINT) AS big FROM {_BIG_SQL})")
+def q_feat_cumulative_decimal(spark, sf):
+    # one running total over the whole table, beyond 64 bits: as decimals, shown as whole hundredths
+    out, _ = FE.feat_cumulative(orders_big(spark, sf), ["exact"], ["o_orderkey"], None)
+    whole = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.", "")
+    return out.select("o_orderkey", *[whole(f"exact_cum{f}").alias(f"cum{f}") for f in ("sum", "max", "min")])
+
+
 def _cum_sql(w, src=EVENTS_NULLS_SQL):
     frame = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     return f"""SELECT event_id,
