@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import ml as M
 from .base import ORDERS_SPARSE_SQL, orders_sparse, register, rnd, t
-from ..session import pin
+from ..operators.prepare import ModelRecord, train_record
+from ..session import ensure_checkpoint_dir, pin
 from .sqlgen import r, r_sig
 
 # planted classification target on orders: price class; the price feature has holes
@@ -61,6 +62,34 @@ def q_ml_split(spark, sf):
     return M.ml_split(prep, ORD_KEY).select("o_orderkey", "label", "is_test")
 
 
+# fitted on the train rows only: the split comes first, then medians and codes of the rows that are not tested
+_RAW_SPLIT = _split_sql(ORD_CLS_SQL, "CAST(o_orderkey AS VARCHAR)", "price_class")
+
+
+@register("ml_prepare_train", f"""
+WITH s AS {_RAW_SPLIT}, tr AS (SELECT * FROM s WHERE NOT is_test),
+st AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(o_orderstatus, 'Unknown') AS v FROM tr)),
+pr AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(o_orderpriority, 'Unknown') AS v FROM tr))
+SELECT o_orderkey, is_test, CAST(o_custkey AS DOUBLE) AS o_custkey,
+  {r('coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM tr))')} AS o_totalprice,
+  CAST(coalesce(st.code, (SELECT count(*) FROM st)) AS DOUBLE) AS o_orderstatus,
+  CAST(coalesce(pr.code, (SELECT count(*) FROM pr)) AS DOUBLE) AS o_orderpriority,
+  CAST(dense_rank() OVER (ORDER BY price_class) - 1 AS DOUBLE) AS label
+FROM s LEFT JOIN st ON st.v = coalesce(o_orderstatus, 'Unknown') LEFT JOIN pr ON pr.v = coalesce(o_orderpriority, 'Unknown')""")
+def q_ml_prepare_train(spark, sf):
+    return rnd(M.ml_prepare(orders_cls(spark, sf), "price_class", ORD_KEY, ORD_FEATS, fit_on="train")[0])
+
+
+@register("ml_record_scores")
+def q_ml_record_scores(spark, sf):
+    """The record is saved, loaded and given raw rows; predictions of all of them, known target or not."""
+    import uuid
+    record, _ = train_record(orders_cls(spark, sf), "price_class", ORD_KEY, "Naive Bayes", "classification", ORD_FEATS)
+    path = f"{ensure_checkpoint_dir(spark)}/record-{uuid.uuid4().hex}"
+    record.save(spark, path)
+    return ModelRecord.load(spark, path).score(orders_sparse(spark, sf), ORD_KEY)
+
+
 def _fit(spark, sf, name):
     prep, feats = _prep(spark, sf)
     split = pin(M.ml_split(prep, ORD_KEY))

@@ -27,14 +27,21 @@ SEED = 42
 
 
 def ml_prepare(df: DataFrame, target: str, key: Sequence[str], features: Sequence[str] | None = None,
-               problem_type: str = "classification", exact: bool = True) -> tuple[DataFrame, list[str]]:
+               problem_type: str = "classification", exact: bool = True, fit_on: str = "all") -> tuple[DataFrame, list[str]]:
     """key..., feature columns (double), label (double); rows with a null target dropped.
 
     Numeric features: nulls -> exact median. Text features: nulls -> 'Unknown', then 0-based
     sorted codes. Booleans become 0 / 1, null 0. Class targets of any type are coded 0 .. k-1 in sorted order.
-    Fitted on all rows.
+    Fitted on all rows; with ``fit_on='train'`` the table is split first (``is_test`` joins the columns) and statistics
+    come from the train rows only (``prepare.prepare_on_train``, which also returns what was fitted).
     """
     key = list(key)
+    if fit_on == "train":
+        from .prepare import prepare_on_train
+        prepared, fitted = prepare_on_train(df, target, key, features, problem_type, exact=exact)
+        return prepared, fitted.features
+    if fit_on != "all":
+        raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
     df = clean_nan(df).where(F.col(target).isNotNull())
     feats = [c for c in (features or df.columns) if c != target and c not in key]
     flags = [f.name for f in df.schema.fields if f.name in feats and f.dataType.typeName() == "boolean"]

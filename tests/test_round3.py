@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import profile
+from quarry.operators import ml, prepare, profile
 from quarry.plans import gram
 from quarry.plans.scan import ordered_scan
 
@@ -93,3 +93,43 @@ def test_a_sum_beyond_64_bits_is_an_error_and_fits_a_decimal(spark):
         ordered_scan(df, ["big"], ["id"], None, partitions=4).count()
     wide = ordered_scan(df.withColumn("big", F.col("big").cast("decimal(20,0)")), ["big"], ["id"], None, partitions=4)
     assert int(wide.agg(F.max("big__cumsum")).first()[0]) == sum(9007199254740993 + i for i in range(2000))
+
+
+def _people(spark):
+    rows = [(i, None if i % 5 == 0 else float(i % 37), ["a", "b", None, "c"][i % 4], None if i % 9 == 0 else i % 2 == 0,
+             None if i % 50 == 49 else ("yes" if i % 37 > 18 else "no")) for i in range(400)]
+    return spark.createDataFrame(rows, "k long, x double, s string, f boolean, y string")
+
+
+def test_preparation_is_fitted_on_train_rows_only(spark):
+    df = _people(spark)
+    got, fitted = prepare.prepare_on_train(df, "y", ["k"])
+    rows = {r["k"]: r for r in got.collect()}
+    raw = [r for r in df.collect() if r["y"] is not None]
+    assert set(rows) == {r["k"] for r in raw}
+    train = [r for r in raw if not rows[r["k"]]["is_test"]]
+    assert fitted.medians["x"] == np.median([r["x"] for r in train if r["x"] is not None])
+    # values of test rows change nothing
+    moved = df.join(got.select("k", "is_test"), "k", "left").withColumn("x", F.when(F.col("is_test"), F.col("x") + 1e6).otherwise(F.col("x")))
+    assert prepare.prepare_on_train(moved.drop("is_test"), "y", ["k"])[1].medians == fitted.medians
+    assert rows[0]["x"] == fitted.medians["x"] and rows[0]["f"] == 0.0
+    assert fitted.classes == ["no", "yes"] and fitted.known == {"s": 4}
+    assert {r["s"]: rows[r["k"]]["s"] for r in raw} == {"a": 1.0, "b": 2.0, "c": 3.0, None: 0.0}
+    with pytest.raises(ValueError):
+        ml.ml_prepare(df, "y", ["k"], fit_on="test")
+
+
+@pytest.mark.parametrize("name", ["Naive Bayes", "Decision Tree"])
+def test_a_saved_record_scores_unseen_rows(spark, tmp_path, name):
+    df = _people(spark)
+    record, pred = prepare.train_record(df, "y", ["k"], name, "classification")
+    record.save(spark, str(tmp_path))
+    back = prepare.ModelRecord.load(spark, str(tmp_path))
+    assert back.metrics == record.metrics and back.algorithm == name and back.preparation.medians == record.preparation.medians
+    new = spark.createDataFrame([(1000, 30.0, "never seen", None), (1001, None, None, True), (1002, 2.0, "a", False)],
+                                "k long, x double, s string, f boolean")
+    a, b = ({r["k"]: (r["prediction"], r["predicted"]) for r in m.score(new, ["k"]).collect()} for m in (record, back))
+    assert a == b and len(a) == 3 and {p for _, p in a.values()} <= {"no", "yes"}
+    assert back.preparation.transform(new, ["k"]).where("k = 1000").first()["s"] == 4.0
+    again = {r["k"]: r["prediction"] for r in back.score(df, ["k"]).collect()}
+    assert all(again[r["k"]] == r["prediction"] for r in pred.collect())
