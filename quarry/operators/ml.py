@@ -9,10 +9,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +20,14 @@ from ..functions.types import clean_nan, cols_of, seeded_order
 from ..plans.ranking import ranked
 from ..session import local_table, pin
 from . import evaluate as E
+from . import trees
 from .prep import impute_constant, impute_median, label_codes
 from .profile import ALGORITHMS as CATALOGUE
 
 SEED = 42
+# fixed values: depth, rows to split a node, rounds and rate of the catalogue's tree models
+TREES = {"Decision Tree": {"kind": "tree", "depth": 3, "least": 10},
+         "Gradient Boosting": {"kind": "boost", "depth": 3, "rounds": 20, "rate": 0.1}}
 
 
 def ml_prepare(df: DataFrame, target: str, key: Sequence[str], features: Sequence[str] | None = None,
@@ -105,20 +109,15 @@ def algorithms(problem_type: str) -> list[str]:
 
 
 def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_classes: int = 2):
-    """The MLlib estimator standing for one algorithm of the catalogue (reference parameters)."""
+    """The MLlib estimator standing for one algorithm of the catalogue (its parameters); trees: see ``TREES``."""
     if problem_type == "classification":
         if name == "Logistic Regression":  # L2 with C=1: Spark's loss is a mean, so lambda = 1/n
             return LogisticRegression(maxIter=50, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                       standardization=False)
-        if name == "Decision Tree":
-            return DecisionTreeClassifier(maxDepth=3, seed=SEED)
         if name == "Naive Bayes":
             return NaiveBayes(modelType="gaussian")
         if name == "Random Forest":
             return RandomForestClassifier(numTrees=20, maxDepth=5, seed=SEED)
-        if name == "Gradient Boosting":
-            gbt = GBTClassifier(maxIter=20, maxDepth=3, seed=SEED)
-            return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
         if name == "SVM":
             svc = LinearSVC(maxIter=100)
             return svc if n_classes <= 2 else OneVsRest(classifier=svc)
@@ -130,12 +129,8 @@ def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_cla
         if name == "Ridge Regression":  # alpha=1 on a sum of squares = alpha/n on Spark's mean loss
             return LinearRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
                                     solver="normal")
-        if name == "Decision Tree":
-            return DecisionTreeRegressor(maxDepth=3, seed=SEED)
         if name == "Random Forest":
             return RandomForestRegressor(numTrees=20, maxDepth=5, seed=SEED)
-        if name == "Gradient Boosting":
-            return GBTRegressor(maxIter=20, maxDepth=3, seed=SEED)
         if name == "SVR":  # re-aimed: robust linear fit
             return LinearRegression(loss="huber", maxIter=100)
     raise ValueError(f"unknown algorithm {name!r} for {problem_type}")
@@ -144,8 +139,13 @@ def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_cla
 def fit_predict(name: str, problem_type: str, train: DataFrame, test: DataFrame, features: Sequence[str],
                 key: Sequence[str]) -> tuple[DataFrame, object, float]:
     """(predictions: key..., label, prediction), fitted model, training seconds."""
-    n_train = train.count()
-    n_classes = int(train.agg(F.max("label")).first()[0] or 0) + 1 if problem_type == "classification" else 0
+    n_train, top = train.agg(F.count(F.lit(1)), F.max("label")).first()
+    n_classes = int(top or 0) + 1 if problem_type == "classification" else 0
+    t0 = time.time()
+    if name in TREES:  # trees on histograms: a least number of rows to split, softmax boosting
+        model = trees.fit(train, features, classes=n_classes, **TREES[name])
+        secs = time.time() - t0
+        return model.transform(test).select(*key, "label", "prediction"), model, secs
     est = estimator(name, problem_type, n_train, len(features), n_classes)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), est])
     t0 = time.time()
@@ -157,6 +157,9 @@ def fit_predict(name: str, problem_type: str, train: DataFrame, test: DataFrame,
 
 def ml_feature_importance(model, features: Sequence[str], spark, top: int = 10) -> DataFrame:
     """feature, importance: the top tree importances, descending (empty for other models)."""
+    if isinstance(model, trees.Trees):
+        rows = sorted(zip(features, model.importances().tolist()), key=lambda r: -r[1])[:top]
+        return local_table(spark, rows, "feature string, importance double")
     last = model.stages[-1] if hasattr(model, "stages") else model
     imp = getattr(last, "featureImportances", None)
     rows = [] if imp is None else sorted(zip(features, [float(x) for x in imp.toArray()]), key=lambda r: -r[1])[:top]

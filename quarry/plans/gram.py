@@ -22,9 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PART = "bi int, bj int, task int, m binary"
-_NAMES = ["bi", "bj", "task", "m"]
-
+from .merge import PART, merged, part
 
 def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """6 x columns of x x columns of y: counts, sums of x, of y, products, squares of x, of y, over rows with both."""
@@ -34,26 +32,6 @@ def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([mx.T @ my, x.T @ my, mx.T @ y, x.T @ y, (x * x).T @ my, mx.T @ (y * y)])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the matrices of rows that stand side by side with equal (bi, bj, task)."""
-    key, total = None, None
-    for batch in batches:
-        for bi, bj, task, m in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            x = np.frombuffer(m, np.float64)
-            if (bi, bj, task) == key:
-                total += x
-                continue
-            if key is not None:
-                yield _row(*key, total)
-            key, total = (bi, bj, task), x.copy()
-    if key is not None:
-        yield _row(*key, total)
-
-
-def _row(bi: int, bj: int, task: int, m: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (bi, bj, task)] + [pa.array([m.tobytes()], pa.binary())], _NAMES)
-
-
 def correlations(df: DataFrame, cols: Sequence[str], block: int = 256) -> DataFrame:
     """col_a, col_b, r: pairwise-complete Pearson correlation of every ordered pair of ``cols``.
 
@@ -77,17 +55,17 @@ def correlations(df: DataFrame, cols: Sequence[str], block: int = 256) -> DataFr
             total = np.zeros((6, i1 - i0, j1 - j0))
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    x = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(np.float64, copy=False)
+                    rows = batch.slice(at, 4096)
+                    x = np.stack([c.to_numpy(zero_copy_only=False) for c in rows.columns], axis=1).astype(np.float64, copy=False)
                     with np.errstate(invalid="ignore", over="ignore"):
                         x = (x - own_mean) / own_scale
                         total += _moments(x[:, :i1 - i0], x if bi == bj else x[:, i1 - i0:])
-            yield _row(bi, bj, TaskContext.get().partitionId(), total)
+            yield part(bi * n_blocks + bj, TaskContext.get().partitionId(), total)
 
         own_mean = mean[i0:i1] if bi == bj else np.concatenate([mean[i0:i1], mean[j0:j1]])
         own_scale = scale[i0:i1] if bi == bj else np.concatenate([scale[i0:i1], scale[j0:j1]])
         names = [f"c{i}" for i in [*range(i0, i1), *(range(j0, j1) if bi != bj else ())]]
-        return wide.select(*names).mapInArrow(run, _PART)
+        return wide.select(*names).mapInArrow(run, PART)
 
     parts = None
     for bi in range(n_blocks):
@@ -95,16 +73,13 @@ def correlations(df: DataFrame, cols: Sequence[str], block: int = 256) -> DataFr
             p = sums(bi, bj)
             parts = p if parts is None else parts.unionAll(p)
     fan = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    keys = ["bi", "bj", "task"]
-
-    def merge(x: DataFrame) -> DataFrame:
-        return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merged, _PART)
-
-    total = merge(merge(parts.withColumn("task", F.pmod("task", F.lit(fan)).cast("int"))).withColumn("task", F.lit(0)))
+    # a few slots with large arrays: by pair of blocks and about the root of the task count, then by pair
+    total = merged(merged(parts.withColumn("task", F.pmod("task", F.lit(fan)).cast("int"))).withColumn("task", F.lit(0)))
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bi, bj, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            for slot, m in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                bi, bj = divmod(slot, n_blocks)
                 (i0, i1), (j0, j1) = spans[bi], spans[bj]
                 n, sx, sy, xy, xx, yy = np.frombuffer(m, np.float64).reshape(6, i1 - i0, j1 - j0)
                 with np.errstate(all="ignore"):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import ml, prepare, profile
+from quarry.operators import ml, prepare, profile, trees
 from quarry.plans import gram
 from quarry.plans.scan import ordered_scan
 
@@ -133,3 +133,148 @@ def test_a_saved_record_scores_unseen_rows(spark, tmp_path, name):
     assert back.preparation.transform(new, ["k"]).where("k = 1000").first()["s"] == 4.0
     again = {r["k"]: r["prediction"] for r in back.score(df, ["k"]).collect()}
     assert all(again[r["k"]] == r["prediction"] for r in pred.collect())
+
+
+def _grow(x, y, classes, depth, least):
+    """A plain recursive tree on all distinct values: {node: (feature, threshold, rows)} and the leaf of each row."""
+    out, leaf = {}, np.ones(len(y), int)
+
+    def score(v):
+        if not len(v):
+            return 0.0
+        s = np.array([np.sum(v == k) for k in range(classes)], float) if classes else np.array([v.sum()])
+        return float((s ** 2).sum() / len(v))
+
+    def split(node, at, level):
+        leaf[at] = node
+        if level == depth or len(at) < least:
+            return
+        best = None
+        for f in range(x.shape[1]):
+            for c in np.unique(x[at, f])[:-1]:
+                left = x[at, f] <= c
+                gain = score(y[at][left]) + score(y[at][~left]) - score(y[at])
+                if best is None or gain > best[0] + 1e-9:
+                    best = gain, f, c
+        if best and best[0] > 1e-6:
+            out[node] = (best[1], best[2], len(at))
+            left = x[at, best[1]] <= best[2]
+            split(2 * node, at[left], level + 1)
+            split(2 * node + 1, at[~left], level + 1)
+
+    split(1, np.arange(len(y)), 0)
+    return out, leaf
+
+
+def _planted(n=500, seed=3):
+    r = np.random.default_rng(seed)
+    x = np.round(r.uniform(0, 10, (n, 3)), 0)
+    y = ((x[:, 0] > 4) + 2 * (x[:, 1] > 6)).astype(float)
+    flip = r.random(n) < 0.1
+    y[flip] = r.integers(0, 4, flip.sum())
+    return x, y
+
+
+@pytest.mark.parametrize("classes,least", [(4, 2), (4, 60), (0, 2)])
+def test_tree_equals_a_plain_grower(spark, classes, least):
+    x, y = _planted()
+    if not classes:
+        y = 3 * y - x[:, 2]
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "label": y})).repartition(5)
+    model = trees.fit(df, ["a", "b", "c"], kind="tree", classes=classes, depth=3, least=least)
+    want, leaf = _grow(x, y, classes, 3, least)
+    got = {node: ("abc".index(f), c, rows) for _, _, node, f, c, rows, _ in model.splits()}
+    assert got == want
+    pred = {tuple(r)[:3]: r["prediction"] for r in model.transform(df).collect()}
+    for node in np.unique(leaf):
+        values = y[leaf == node]
+        p = pred[tuple(x[leaf == node][0])]
+        assert p == np.argmax(np.bincount(values.astype(int), minlength=4)) if classes else abs(p - values.mean()) < 1e-4
+
+
+def _boost(x, y, classes, rounds, rate):
+    """Plain second-order boosting with the same loss on all distinct values; margins of the rows."""
+    n, k = len(y), 1 if classes in (0, 2) else classes
+    if classes == 0:
+        f = np.full((n, 1), y.mean())
+    else:
+        p = np.bincount(y.astype(int), minlength=classes) / n
+        f = np.tile([np.log(p[1] / p[0])] if classes == 2 else np.log(p), (n, 1))
+    for _ in range(rounds):
+        if classes == 0:
+            g, h = y[:, None] - f, np.ones((n, 1))
+        elif classes == 2:
+            p = 1 / (1 + np.exp(-f))
+            g, h = y[:, None] - p, p * (1 - p)
+        else:
+            p = np.exp(f) / np.exp(f).sum(axis=1, keepdims=True)
+            g, h = (y[:, None] == np.arange(k)) - p, p * (1 - p)
+        step = np.zeros((n, k))
+        for j in range(k):
+            def grow(at, level):
+                s = lambda m: g[m, j].sum() ** 2 / h[m, j].sum()
+                best = None
+                if level < 3 and len(at) >= 2:
+                    for c in range(x.shape[1]):
+                        for v in np.unique(x[at, c])[:-1]:
+                            m = x[at, c] <= v
+                            gain = s(at[m]) + s(at[~m]) - s(at)
+                            if best is None or gain > best[0] * (1 + 1e-9):
+                                best = gain, c, v
+                if best and best[0] > 1e-6:
+                    m = x[at, best[1]] <= best[2]
+                    grow(at[m], level + 1)
+                    grow(at[~m], level + 1)
+                else:
+                    step[at, j] = g[at, j].sum() / h[at, j].sum()
+            grow(np.arange(n), 0)
+        f = f + rate * step
+    return f
+
+
+@pytest.mark.parametrize("classes", [0, 2, 4])
+def test_boosting_equals_a_plain_version(spark, classes):
+    x, y = _planted(300, 5)
+    y = y + 0.5 * x[:, 2] if classes == 0 else np.minimum(y, classes - 1)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "label": y})).repartition(4)
+    model = trees.fit(df, ["a", "b", "c"], classes=classes, rounds=3, rate=0.3)
+    want = _boost(x, y, classes, 3, 0.3)
+    got = model.margins(np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(model.cuts)], axis=1).astype(np.uint8))
+    assert np.allclose(got, want, atol=1e-3)
+    if classes:
+        rows = model.transform(df).collect()
+        assert all(abs(sum(r["probability"]) - 1) < 1e-9 for r in rows)
+        most = np.bincount(y.astype(int)).max() / len(y)
+        assert np.mean([r["prediction"] == r["label"] for r in rows]) > most + 0.15
+
+
+def test_cuts_are_exact_quantiles_and_results_do_not_depend_on_partitions(spark):
+    r = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": r.standard_normal(3000), "b": r.integers(0, 5, 3000).astype(float)})
+    pdf["label"] = (pdf["a"] + pdf["b"] > 2).astype(float)
+    pdf.loc[::17, "a"] = np.nan
+    one, many = (trees.fit(spark.createDataFrame(pdf).repartition(n), ["a", "b"], classes=2, rounds=2, bins=16) for n in (1, 9))
+    assert one.splits() == many.splits() and one.splits()
+    a = np.sort(pdf["a"].dropna())
+    steps = np.floor(np.arange(len(a) + 1) * 16 / len(a))
+    assert one.cuts[0].tolist() == a[np.flatnonzero(steps[1:] > steps[:-1])][:-1].tolist()
+    assert one.cuts[1].tolist() == [0.0, 1.0, 2.0, 3.0]
+    assert abs(one.importances().sum() - 1) < 1e-9
+
+
+def test_trees_of_empty_constant_and_one_class_tables(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (1.0, 0.0), (1.0, None)], "a double, label double")
+    for source in (df, df.where("1 = 0")):
+        for kind in ("tree", "boost"):
+            model = trees.fit(source, ["a"], kind=kind, classes=2, rounds=2)
+            assert model.splits() == [] and {r["prediction"] for r in model.transform(df).collect()} == {0.0}
+
+
+def test_saved_trees_predict_the_same(spark, tmp_path):
+    x, y = _planted(200)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "label": y}))
+    model = trees.fit(df, ["a", "b"], classes=4, rounds=2)
+    model.save(spark, str(tmp_path))
+    back = trees.Trees.load(spark, str(tmp_path))
+    assert back.splits() == model.splits()
+    assert [r["probability"] for r in back.transform(df).collect()] == [r["probability"] for r in model.transform(df).collect()]
