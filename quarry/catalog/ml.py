@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import ml as M
+from ..operators import trees as T
 from .base import ORDERS_SPARSE_SQL, orders_sparse, register, rnd, t
 from ..operators.prepare import ModelRecord, train_record
-from ..session import ensure_checkpoint_dir, pin
+from ..session import ensure_checkpoint_dir, local_table, pin
 from .sqlgen import r, r_sig
 
 # planted classification target on orders: price class; the price feature has holes
@@ -191,6 +192,39 @@ for _qid, _name, _least in [("reg_ridge", "Ridge Regression", 0.999), ("reg_tree
             (F.avg((F.col("label") - F.col("prediction")) ** 2) <= (1 - _l) * F.var_pop("label")).alias("explains")))
 
 
+# ridge in closed form: (X'X + I) w = X'y of centred columns, three unknowns by Cramer's rule
+_RX = ["l_quantity", "l_discount", "l_tax"]
+_det = lambda m: (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                  f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+_A = [[f"a{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+_W = [f"{_det([[f'b{i}' if j == k else _A[i][j] for j in range(3)] for i in range(3)])} / {_det(_A)}" for k in range(3)]
+_RIDGE_SQL = f"""WITH sp AS MATERIALIZED (SELECT * FROM {_LI_SPLIT}), tr AS (SELECT * FROM sp WHERE NOT is_test),
+g AS (SELECT {', '.join(f"covar_pop({a}, {b}) * count(*){' + 1' if i == j else ''} AS a{i}{j}" for i, a in enumerate(_RX) for j, b in enumerate(_RX) if i <= j)},
+  {', '.join(f'covar_pop({a}, y) * count(*) AS b{i}' for i, a in enumerate(_RX))}, {', '.join(f'avg({a}) AS m{i}' for i, a in enumerate(_RX))},
+  avg(y) AS my FROM tr),
+w AS (SELECT {', '.join(f'{e} AS w{i}' for i, e in enumerate(_W))}, {', '.join(f'm{i}' for i in range(3))}, my FROM g)"""
+
+
+@register("reg_ridge_predictions", f"""{_RIDGE_SQL}
+SELECT {_LI_SEL}, round(my + {' + '.join(f'w{i} * ({a} - m{i})' for i, a in enumerate(_RX))}, 4) AS prediction FROM sp, w WHERE is_test""")
+def q_reg_ridge_predictions(spark, sf):
+    return _fit_reg(spark, sf, "Ridge Regression").select(
+        *LI_KEY, F.round("label", 2).alias("label"), F.round("prediction", 4).alias("prediction"))
+
+
+@register("reg_predictions")
+def q_reg_predictions(spark, sf):
+    """algorithm, key, label, prediction of every test row, for the regressions that SQL cannot follow."""
+    prep, feats = M.ml_prepare(lineitem_reg(spark, sf), "y", LI_KEY, ["l_quantity", "l_discount", "l_tax"], "regression")
+    split = pin(M.ml_split(prep, LI_KEY, None))
+    out = None
+    for name in ("Decision Tree", "Random Forest", "Gradient Boosting"):
+        pred = M.fit_predict(name, "regression", split.where(~F.col("is_test")), split.where(F.col("is_test")), feats, LI_KEY)[0].select(
+            F.lit(name).alias("algorithm"), "*")
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
 @register("reg_linear_1f", """
 SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")
@@ -289,6 +323,91 @@ def q_eval_actual_vs_predicted(spark, sf):
     return E.eval_actual_vs_predicted(_reg_pred(spark, sf))
 
 
+# ---- predictions, splits, importances and metrics themselves
+
+def _gini(n, n1):
+    return f"(({n} - {n1}) * CAST({n} - {n1} AS DOUBLE) + {n1} * CAST({n1} AS DOUBLE)) / {n}"
+
+
+def _tree_sql(depth=3, least=10, bins=64):
+    """CTEs of a tree grown level by level on the train rows: splits s0, s1, ... and rows r0, r1, ... with their node."""
+    long = " UNION ALL ".join(f"SELECT {j} AS f, {c} AS v FROM sp WHERE NOT is_test" for j, c in enumerate(ORD_TREE))
+    out = f"""WITH sp AS MATERIALIZED (SELECT * FROM {_ORD_SPLIT}),
+vc AS (SELECT f, v, count(*) AS k FROM ({long}) GROUP BY f, v),
+rk AS (SELECT f, v, k, sum(k) OVER (PARTITION BY f ORDER BY v) - k AS before, sum(k) OVER (PARTITION BY f) AS n,
+  count(*) OVER (PARTITION BY f) AS d, max(v) OVER (PARTITION BY f) AS top FROM vc),
+cuts AS MATERIALIZED (SELECT f, v AS cut FROM rk WHERE v < top AND (d <= {bins} OR floor(before * {bins} / n) < floor((before + k) * {bins} / n))),
+r0 AS MATERIALIZED (SELECT o_orderkey, is_test, CAST(label AS BIGINT) AS label, [{", ".join(ORD_TREE)}] AS x, 1 AS node FROM sp)"""
+    for d in range(depth):
+        out += f""",
+t{d} AS (SELECT node, count(*) AS n, sum(label) AS n1 FROM r{d} WHERE NOT is_test AND node >= {1 << d} GROUP BY node HAVING count(*) >= {least}),
+l{d} AS (SELECT r.node, c.f, c.cut, count(*) AS nl, sum(r.label) AS l1 FROM r{d} r JOIN cuts c ON r.x[c.f + 1] <= c.cut
+  WHERE NOT r.is_test GROUP BY 1, 2, 3),
+s{d} AS MATERIALIZED (SELECT node, f, cut, n, gain FROM (SELECT t.node, f, cut, n, {_gini('n', 'n1')} AS whole,
+    {_gini('nl', 'l1')} + {_gini('(n - nl)', '(n1 - l1)')} - {_gini('n', 'n1')} AS gain FROM l{d} JOIN t{d} t USING (node) WHERE nl < n)
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) = 1 AND gain > 1e-9 * greatest(1, whole)),
+r{d + 1} AS MATERIALIZED (SELECT o_orderkey, is_test, label, x, CASE WHEN s.f IS NULL THEN r.node
+  ELSE 2 * r.node + CAST(r.x[s.f + 1] > s.cut AS INTEGER) END AS node FROM r{d} r LEFT JOIN s{d} s ON s.node = r.node)"""
+    return out
+
+
+ORD_TREE = ["o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+
+
+def _ord_split(spark, sf):
+    prep, feats = _prep(spark, sf)
+    split = pin(M.ml_split(prep, ORD_KEY))
+    return split.where(~F.col("is_test")), split.where(F.col("is_test")), feats
+
+
+@register("clf_tree_splits", _tree_sql() + " " + " UNION ALL ".join(
+    f"SELECT node, [{', '.join(repr(c) for c in ORD_TREE)}][f + 1] AS feature, {r('cut')} AS threshold, CAST(n AS BIGINT) AS rows, {r('gain')} AS gain "
+    f"FROM s{d}" for d in range(3)))
+def q_clf_tree_splits(spark, sf):
+    train, _, feats = _ord_split(spark, sf)
+    model = T.fit(train, feats, classes=2, **M.TREES["Decision Tree"])
+    # at most 2 ** depth - 1 rows
+    return rnd(local_table(spark, [s[2:] for s in model.splits()], "node int, feature string, threshold double, rows long, gain double"))
+
+
+@register("clf_tree_predictions", _tree_sql() + """,
+leaf AS (SELECT node, CAST(sum(label) * 2 > count(*) AS DOUBLE) AS prediction FROM r3 WHERE NOT is_test GROUP BY node)
+SELECT o_orderkey, CAST(label AS DOUBLE) AS label, prediction FROM r3 JOIN leaf USING (node) WHERE is_test""")
+def q_clf_tree_predictions(spark, sf):
+    return _fit(spark, sf, "Decision Tree")[0]
+
+
+_BAYES_F = ", ".join(f"avg({c}) AS m{j}, var_pop({c}) AS v{j}" for j, c in enumerate(ORD_TREE))
+_BAYES_TERM = " + ".join(f"ln(2 * pi() * (v{j} + eps)) + ({c} - m{j}) * ({c} - m{j}) / (v{j} + eps)" for j, c in enumerate(ORD_TREE))
+
+
+@register("clf_bayes_predictions", f"""
+WITH sp AS MATERIALIZED (SELECT * FROM {_ORD_SPLIT}), tr AS (SELECT * FROM sp WHERE NOT is_test),
+e AS (SELECT 1e-9 * greatest({', '.join(f'var_samp({c})' for c in ORD_TREE)}) AS eps, count(*) AS n FROM tr),
+p AS (SELECT label AS y, ln(count(*)) AS nc, {_BAYES_F} FROM tr GROUP BY label)
+SELECT o_orderkey, label, y AS prediction FROM (SELECT o_orderkey, label, y, nc - ln(n) - 0.5 * ({_BAYES_TERM}) AS score
+  FROM sp, p, e WHERE is_test) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, y) = 1""")
+def q_clf_bayes_predictions(spark, sf):
+    return _fit(spark, sf, "Naive Bayes")[0]
+
+
+@register("clf_predictions")
+def q_clf_predictions(spark, sf):
+    """algorithm, o_orderkey, label, prediction of every test row, for the classifiers that SQL cannot follow."""
+    train, test, feats = _ord_split(spark, sf)
+    out = None
+    for name in ("Logistic Regression", "Random Forest", "Gradient Boosting", "SVM", "Neural Network"):
+        pred = M.fit_predict(name, "classification", train, test, feats, ORD_KEY)[0].select(F.lit(name).alias("algorithm"), "*")
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+@register("ml_feature_importance_values")
+def q_ml_feature_importance_values(spark, sf):
+    _, model, feats = _fit(spark, sf, "Random Forest")
+    return M.ml_feature_importance(model, feats, spark)
+
+
 @register("ml_feature_importance", "SELECT 4 AS features, 1.0::DOUBLE AS total, 'o_totalprice' AS first, true AS sorted")
 def q_ml_feature_importance(spark, sf):
     _, model, feats = _fit(spark, sf, "Random Forest")
@@ -302,6 +421,21 @@ def _run(spark, sf):
     return M.ml_run(orders_cls(spark, sf), "price_class", ORD_KEY, "Decision Tree", "classification", ORD_FEATS)
 
 
+@register("ml_run_metrics", _tree_sql() + """,
+leaf AS (SELECT node, CAST(sum(label) * 2 > count(*) AS BIGINT) AS p FROM r3 WHERE NOT is_test GROUP BY node),
+pr AS (SELECT label AS y, p, count(*) AS n FROM r3 JOIN leaf USING (node) WHERE is_test GROUP BY 1, 2),
+per AS (SELECT c, coalesce((SELECT sum(n) FROM pr WHERE y = c), 0) AS support, coalesce((SELECT sum(n) FROM pr WHERE p = c), 0) AS predicted,
+  coalesce((SELECT sum(n) FROM pr WHERE y = c AND p = c), 0) AS tp FROM (VALUES (0), (1)) v(c)),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM per)
+SELECT 'Decision Tree' AS algorithm, (SELECT count(*) FROM r0 WHERE NOT is_test) AS train_size, (SELECT count(*) FROM r0 WHERE is_test) AS test_size,
+""" + f"""  {r('sum(tp) / sum(support)')} AS accuracy, {r('sum(prec * support) / sum(support)')} AS precision,
+  {r('sum(rec * support) / sum(support)')} AS recall,
+  {r('sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END * support) / sum(support)')} AS f1_score FROM m""")
+def q_ml_run_metrics(spark, sf):
+    return rnd(_run(spark, sf)[0].select("algorithm", F.col("train_size").cast("long").alias("train_size"),
+                                         F.col("test_size").cast("long").alias("test_size"), "accuracy", "precision", "recall", "f1_score"))
+
+
 @register("ml_run", f"""
 SELECT 'Decision Tree' AS algorithm, 'classification' AS problem_type, count(*) FILTER (WHERE NOT is_test) AS train_size,
   count(*) FILTER (WHERE is_test) AS test_size, true AS metrics_in_range, true AS beats_majority FROM {_ORD_SPLIT}""")

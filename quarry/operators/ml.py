@@ -108,7 +108,7 @@ def algorithms(problem_type: str) -> list[str]:
     return [a[2] for a in CATALOGUE if a[0] == problem_type]
 
 
-def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_classes: int = 2):
+def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_classes: int = 2, label_std: float = 1.0):
     """The MLlib estimator standing for one algorithm of the catalogue (its parameters); trees: see ``TREES``."""
     if problem_type == "classification":
         if name == "Logistic Regression":  # L2 with C=1: Spark's loss is a mean, so lambda = 1/n
@@ -126,8 +126,8 @@ def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_cla
     else:
         if name == "Linear Regression":
             return LinearRegression(solver="normal")
-        if name == "Ridge Regression":  # alpha=1 on a sum of squares = alpha/n on Spark's mean loss
-            return LinearRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
+        if name == "Ridge Regression":  # alpha=1 on a sum of squares = alpha/n on Spark's mean loss, whose labels have deviation 1
+            return LinearRegression(regParam=(label_std or 1.0) / max(n_train, 1), elasticNetParam=0.0, standardization=False,
                                     solver="normal")
         if name == "Random Forest":
             return RandomForestRegressor(numTrees=20, maxDepth=5, seed=SEED)
@@ -139,14 +139,14 @@ def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_cla
 def fit_predict(name: str, problem_type: str, train: DataFrame, test: DataFrame, features: Sequence[str],
                 key: Sequence[str]) -> tuple[DataFrame, object, float]:
     """(predictions: key..., label, prediction), fitted model, training seconds."""
-    n_train, top = train.agg(F.count(F.lit(1)), F.max("label")).first()
+    n_train, top, spread = train.agg(F.count(F.lit(1)), F.max("label"), F.stddev_pop("label")).first()
     n_classes = int(top or 0) + 1 if problem_type == "classification" else 0
     t0 = time.time()
     if name in TREES:  # trees on histograms: a least number of rows to split, softmax boosting
         model = trees.fit(train, features, classes=n_classes, **TREES[name])
         secs = time.time() - t0
         return model.transform(test).select(*key, "label", "prediction"), model, secs
-    est = estimator(name, problem_type, n_train, len(features), n_classes)
+    est = estimator(name, problem_type, n_train, len(features), n_classes, spread or 1.0)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), est])
     t0 = time.time()
     model = pipe.fit(train)
