@@ -8,6 +8,7 @@ from ..operators import evaluate as E
 from ..operators import ml as M
 from ..operators import trees as T
 from .base import ORDERS_SPARSE_SQL, orders_sparse, register, rnd, t
+from ..operators.neighbours import knn_indexed
 from ..operators.prepare import ModelRecord, train_record
 from ..session import ensure_checkpoint_dir, local_table, pin
 from .sqlgen import r, r_sig
@@ -269,6 +270,23 @@ def q_reg_knn(spark, sf):
     return rnd(_knn(spark, sf, "regress"))
 
 
+def _knn_indexed(spark, sf, mode):
+    e = t(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("label"))
+    split = pin(M.ml_split(e, ["vec_id"]))
+    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    return test.select("vec_id", "label").join(knn_indexed(train, test, "vec_id", "embedding", 3, mode), "vec_id")
+
+
+@register("clf_knn_indexed")
+def q_clf_knn_indexed(spark, sf):
+    return _knn_indexed(spark, sf, "classify")
+
+
+@register("reg_knn_indexed")
+def q_reg_knn_indexed(spark, sf):
+    return rnd(_knn_indexed(spark, sf, "regress"))
+
+
 # evaluation on labels: quality = truth, toxic = prediction
 _PAIRS = "(SELECT quality AS y, toxic AS p FROM labels)"
 _EVAL_CLS = f"""WITH pr AS (SELECT y, p, count(*) AS n FROM {_PAIRS} GROUP BY y, p),

@@ -200,35 +200,40 @@ def knn(train: DataFrame, test: DataFrame, key: str, vector: str, k: int = 3, mo
     te = te.withColumn("tb", F.pmod(F.xxhash64("qk"), F.lit(T))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
     key_type = dict(train.dtypes)[key]
 
-    def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"qk": [], "tk": [], "y": [], "d": []})
-        Q, X = np.stack(q["v"].to_numpy()), np.stack(t["v"].to_numpy())
-        tk, ty = t["tk"].to_numpy(), t["y"].to_numpy()
-        out = []
-        kk = min(k, X.shape[0])
-        for s in range(0, len(Q), 16):  # 16 query rows x one train block at a time
-            d2 = ((Q[s:s + 16, None, :] - X[None, :, :]) ** 2).sum(axis=2)
-            # per row: ascending distance, then train key; only what can be among the first k is sorted
-            r, c = np.nonzero(d2 <= np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk])
-            order = np.lexsort((tk[c], d2[r, c], r))
-            r, c = r[order], c[order]
-            keep = np.arange(len(r)) - np.searchsorted(r, r) < kk
-            r, c = r[keep], c[keep]
-            out.append(pd.DataFrame({"qk": q["qk"].to_numpy()[s:s + 16][r], "tk": tk[c], "y": ty[c], "d": d2[r, c]}))
-        return pd.concat(out, ignore_index=True)
-
     cands = te.groupBy("tb", "b").cogroup(tr.groupBy("tb", "b")).applyInPandas(
-        nearest, f"qk {key_type}, tk {key_type}, y double, d double")
+        lambda q, t: nearest_rows(q, t, k), f"qk {key_type}, tk {key_type}, y double, d double")
     w = Window.partitionBy("qk").orderBy("d", "tk")
     nn = cands.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    return vote(nn, mode).withColumnRenamed("qk", key)
+
+
+def vote(nn: DataFrame, mode: str) -> DataFrame:
+    """qk, prediction: the commonest label of a row's neighbours (ties: the smaller), or their mean."""
     if mode == "classify":
         votes = nn.groupBy("qk", "y").agg(F.count(F.lit(1)).alias("c"))
         vw = Window.partitionBy("qk").orderBy(F.col("c").desc(), F.col("y"))
-        pred = votes.withColumn("r", F.row_number().over(vw)).where("r = 1").select("qk", F.col("y").alias("prediction"))
-    else:
-        pred = nn.groupBy("qk").agg(F.avg("y").alias("prediction"))
-    return pred.withColumnRenamed("qk", key)
+        return votes.withColumn("r", F.row_number().over(vw)).where("r = 1").select("qk", F.col("y").alias("prediction"))
+    return nn.groupBy("qk").agg(F.avg("y").alias("prediction"))
+
+
+def nearest_rows(q: pd.DataFrame, t: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of a train block (tk, y, v) for every row of a test block (qk, v), by exact distance."""
+    if q.empty or t.empty:
+        return pd.DataFrame({"qk": [], "tk": [], "y": [], "d": []})
+    Q, X = np.stack(q["v"].to_numpy()), np.stack(t["v"].to_numpy())
+    tk, ty = t["tk"].to_numpy(), t["y"].to_numpy()
+    out = []
+    kk = min(k, X.shape[0])
+    for s in range(0, len(Q), 16):  # 16 query rows x one train block at a time
+        d2 = ((Q[s:s + 16, None, :] - X[None, :, :]) ** 2).sum(axis=2)
+        # per row: ascending distance, then train key; only what can be among the first k is sorted
+        r, c = np.nonzero(d2 <= np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk])
+        order = np.lexsort((tk[c], d2[r, c], r))
+        r, c = r[order], c[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < kk
+        r, c = r[keep], c[keep]
+        out.append(pd.DataFrame({"qk": q["qk"].to_numpy()[s:s + 16][r], "tk": tk[c], "y": ty[c], "d": d2[r, c]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def ml_run(df: DataFrame, target: str, key: Sequence[str], algorithm: str, problem_type: str,

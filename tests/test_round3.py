@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import ml, prepare, profile, trees
+from quarry.operators import ml, neighbours, prepare, profile, trees
 from quarry.plans import gram
 from quarry.plans.scan import ordered_scan
 
@@ -278,3 +278,52 @@ def test_saved_trees_predict_the_same(spark, tmp_path):
     back = trees.Trees.load(spark, str(tmp_path))
     assert back.splits() == model.splits()
     assert [r["probability"] for r in back.transform(df).collect()] == [r["probability"] for r in model.transform(df).collect()]
+
+
+def _vectors(spark, n=1200, groups=12, seed=8):
+    r = np.random.default_rng(seed)
+    centre = r.standard_normal((groups, 16)) * 3
+    rows = [(i, [float(v) for v in centre[i % groups] + r.standard_normal(16)], float(i % groups)) for i in range(n)]
+    rows += [(n + i, rows[0][1], 0.0) for i in range(60)]  # copies: one cell holds many rows
+    return spark.createDataFrame(rows, "k long, v array<double>, label double").repartition(4)
+
+
+def _found(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["qk"], set()).add(r["tk"])
+    return out
+
+
+def test_index_finds_the_wanted_share_and_with_all_cells_everything(spark):
+    df = _vectors(spark)
+    train, test = df.where("k % 5 <> 0"), df.where("k % 5 = 0").select(F.col("k").alias("qk"), "v")
+    index = neighbours.VectorIndex.fit(train, "k", "v")
+    assert index.rows.count() == train.count() and len(index.centres) == int(train.count() ** 0.5)
+    probes = index.probes_for(test, 3, 0.95)
+    exact = _found(neighbours.best(index.candidates(test, 3, len(index.centres), block_rows=40), 3))
+    found = _found(neighbours.best(index.candidates(test, 3, probes, block_rows=40), 3))
+    share = np.mean([len(exact[q] & found[q]) / 3 for q in exact])
+    assert share >= 0.9 and probes < len(index.centres) / 3
+    whole = ml.knn(train, df.where("k % 5 = 0"), "k", "v")
+    all_cells = neighbours.knn_indexed(train, df.where("k % 5 = 0"), "k", "v", probes=10 ** 6)
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in all_cells.collect()}
+
+
+def test_index_on_the_given_vectors(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", F.col("label").cast("double").alias("label"))
+    train, test = e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("qk"), F.col("embedding").cast("array<double>").alias("v"))
+    index = neighbours.VectorIndex.fit(train, "vec_id", "embedding")
+    probes = index.probes_for(test, 3, 0.95)
+    exact = _found(neighbours.best(index.candidates(test, 3, len(index.centres)), 3))
+    found = _found(neighbours.best(index.candidates(test, 3, probes), 3))
+    assert np.mean([len(exact[q] & found[q]) / 3 for q in exact]) >= 0.9
+
+
+def test_index_of_few_rows(spark):
+    df = _vectors(spark).where("k < 4")
+    got = neighbours.knn_indexed(df, df, "k", "v", k=9, mode="regress")
+    assert {r["prediction"] for r in got.collect()} == {1.5}
+    assert neighbours.knn_indexed(df, df.where("1 = 0"), "k", "v").collect() == []
+    assert neighbours.knn_indexed(df.where("1 = 0"), df, "k", "v").collect() == []
+    assert neighbours.auto_knn(df, df, "k", "v", pairs=0, recall=1.0).count() == neighbours.auto_knn(df, df, "k", "v").count() == 4
