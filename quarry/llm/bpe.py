@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE = 400_000  # distinct pieces, chunks and id runs each, before a worker starts that cache again
+CACHE = 900_000  # distinct chunks, and pieces and id runs of them, before a worker starts that cache again
 LONG = 200  # characters of a chunk that is not remembered
-PREFIXES = 1_000_000  # byte prefixes whose last token a worker remembers
+SHORT = (2, 1)  # lengths of tokens where none of three bytes or more can end
 PAIRS = 3_000_000  # token pairs whose test a worker remembers
 
 
@@ -36,12 +36,17 @@ class Vocabulary:
     def __init__(self, tokens: list[bytes], left: np.ndarray | None = None, right: np.ndarray | None = None):
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens) if t}
-        self.longest = max(map(len, tokens))
         if left is None:
             left, right = self._splits()
         self.left, self.right = left.tolist(), right.tolist()
         self.merged = {(a, b): i for i, (a, b) in enumerate(zip(self.left, self.right)) if len(tokens[i]) > 1}
         self.size = len(tokens)
+        # by its last three bytes, the lengths of the tokens that end so (the first levels of a trie of reversed tokens)
+        found: dict[bytes, set[int]] = {}
+        for t in tokens:
+            if len(t) > 2:
+                found.setdefault(t[-3:], {1, 2}).add(len(t))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
         self.fits: dict[int, bool] = {}
 
     @classmethod
@@ -101,22 +106,23 @@ class Prefixes:
 
     def append(self, more: bytes) -> Prefixes:
         v, last, size = self.vocab, self.last, self.vocab.size
-        rank, fits, longest = v.rank.get, v.fits.get, v.longest
+        rank, fits, lengths = v.rank.get, v.fits.get, v.lengths.get
         start, self.data = len(self.data), self.data + more
         data = self.data
+        put, adjacent = last.append, v.adjacent
         for end in range(start + 1, len(data) + 1):
-            for at in range(end - longest if end > longest else 0, end):
-                t = rank(data[at:end])
-                if t is None:
-                    continue
-                if at:
-                    ok = fits(last[at] * size + t)
-                    if ok is None:
-                        ok = v.adjacent(last[at], t)
-                    if not ok:
-                        continue
-                last.append(t)
-                break
+            for n in lengths(data[end - 3:end], SHORT) if end > 2 else SHORT:
+                if n <= end:
+                    t = rank(data[end - n:end])
+                    if t is not None:
+                        if n == end:
+                            put(t)
+                            break
+                        u = last[end - n]
+                        ok = fits(u * size + t)
+                        if adjacent(u, t) if ok is None else ok:
+                            put(t)
+                            break
             else:
                 raise ValueError("the vocabulary lacks a byte")
         return self
@@ -137,45 +143,6 @@ class Prefixes:
         return out[::-1]
 
 
-class PrefixTable:
-    """The prefix tables of many pieces as one map, byte prefix -> last token: what pieces share is filled in once."""
-
-    def __init__(self, vocab: Vocabulary):
-        self.vocab, self.last = vocab, {}
-
-    def ids(self, data: bytes) -> list[int]:
-        v, size, longest = self.vocab, self.vocab.size, self.vocab.longest
-        rank, fits = v.rank.get, v.fits.get
-        if len(self.last) > PREFIXES:
-            self.last.clear()
-        last = self.last
-        known = len(data)
-        while known and data[:known] not in last:
-            known -= 1
-        for end in range(known + 1, len(data) + 1):
-            for at in range(end - longest if end > longest else 0, end):
-                t = rank(data[at:end])
-                if t is None:
-                    continue
-                if at:
-                    u = last[data[:at]]
-                    ok = fits(u * size + t)
-                    if ok is None:
-                        ok = v.adjacent(u, t)
-                    if not ok:
-                        continue
-                last[data[:end]] = t
-                break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        out, at = [], len(data)
-        while at:
-            t = last[data[:at]]
-            out.append(t)
-            at -= len(v.tokens[t])
-        return out[::-1]
-
-
 class Encoder:
     """Encodes texts piece by piece; remembers pieces, and whole chunks between single white-space characters.
 
@@ -188,7 +155,6 @@ class Encoder:
         self.other = re.compile("[\x00\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.pieces: dict[str, str] = {}
         self.chunks: dict[str, str] = {}
-        self.table = PrefixTable(vocab)
         self.bytes_of = {str(i): t for i, t in enumerate(vocab.tokens)}
         self.decoded: dict[str, bytes] = {}
 
@@ -197,11 +163,14 @@ class Encoder:
         whole = self.vocab.rank.get(data)
         if whole is not None:
             return [whole]
-        return self.table.ids(data) if len(data) <= LONG else Prefixes(self.vocab, data).ids()
+        return Prefixes(self.vocab, data).ids()
 
     def _chunk(self, chunk: str) -> str:
+        found = self.split.findall(chunk)
+        if len(found) == 1:  # remembered as a chunk
+            return " ".join(map(str, self.encode_piece(chunk)))
         out = []
-        for p in self.split.findall(chunk):
+        for p in found:
             ids = self.pieces.get(p)
             if ids is None:
                 if len(self.pieces) > CACHE:
