@@ -27,6 +27,14 @@ def save(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove the files of a table that ``save`` wrote, once nothing reads it any more (its successors are written)."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     have = {c.lower() for c in df.columns}
@@ -61,7 +69,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = big.groupBy("v").agg(F.min("u").alias("m"))
         small = (big.join(low, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
                  .unionByName(low.select("v", F.col("m").alias("u"))).where("v > u").distinct())
-        e = save(small, "cc")
+        e, old = save(small, "cc"), e
+        drop(old)
         nxt = state(e)
         if nxt == now:
             break

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (binary_parts, components, forest, group_starts, grouped, mix64, prefix_hash, save,
+from .common import (binary_parts, components, drop, forest, group_starts, grouped, mix64, prefix_hash, save,
                      shuffle_partitions, span_hash, word_bounds)
 
 
@@ -151,9 +151,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     same = ["id", "n", "h1", "h2"]
     sigs = save(sets(docs, key, text, words, "n long, h1 long, h2 long, sig binary",
                      lambda s: (*named(s), signature(s, mul, add).tobytes() if len(s) else b"")), "forest-sig")
-    per_key = sigs.groupBy(key).agg(F.max(F.struct("n", "h1", "h2")).alias("s")).select(key, "s.*")
+    per_key = save(sigs.groupBy(key).agg(F.max(F.struct("n", "h1", "h2")).alias("s")).select(key, "s.*"), "forest-keys")
     firsts = per_key.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(key).alias("id"))
     classes = save(firsts.join(sigs.withColumnRenamed(key, "id"), same).dropDuplicates(same), "forest-classes")
+    drop(sigs)
 
     def prefix(d: int):
         return F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * (4 * depth) + 1, F.lit(4 * d)))
@@ -169,10 +170,6 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     full = save(full.withColumnRenamed(key, "id").join(classes.select(same), same, "left_semi").dropDuplicates(same)
                 .select("id", "body"), "forest-sets")
 
-    # each document with the first of its regions
-    pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    sides = (pairs.join(full.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-             .join(full.select(F.col("id").alias("a"), F.col("body").alias("x")), "a"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +182,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 yield pa.RecordBatch.from_arrays(
                     [t.column(t.schema.get_field_index("a")).filter(ok), t.column(t.schema.get_field_index("b")).filter(ok)], ["a", "b"])
 
-    links = save(sides.mapInArrow(confirm, "a long, b long"), "forest-links")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sides = (pairs.distinct().join(full.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+                 .join(full.select(F.col("id").alias("a"), F.col("body").alias("x")), "a"))
+        return sides.mapInArrow(confirm, "a long, b long")
+
+    # each document with the first of its regions
+    links = save(confirmed(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))), "forest-links")
     comp = save(components(links), "forest-comp")
 
     # regions that hold several components, cut finer while they are large
@@ -196,24 +199,23 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         return df.join(mixed, "k")
 
     todo = members.join(comp, "id", "left").select("id", "tree", "k", F.coalesce("component_id", "id").alias("c"))
-    leaves = None
+    leaves, stars = None, None
     levels = list(range(base, depth + 1, 2))
     for d in levels:
         here = save(tagged(todo), "forest-level")
-        leaf = here if d == levels[-1] else here.where(F.col("m") <= region)
+        leaf = here.where(F.col("m") <= region)
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         if d == levels[-1]:
+            # what is dense at the deepest level is nearly equal: each with the first of it is enough to find most links early,
+            # and the dense regions are compared whole below
+            large = here.where(F.col("m") > region)
+            stars = large.join(large.groupBy("k").agg(F.min_by(F.struct("id", "c"), "id").alias("first")), "k").where(
+                F.col("c") != F.col("first.c")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
             break
         todo = (here.where(F.col("m") > region).select("id", "tree", "c").join(classes.select("id", "sig"), "id")
                 .select("id", "tree", prefix(d + 2).alias("k"), "c"))
     half = region // 2
-    blocks = F.ceil(F.col("m") / half)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    dealt = (leaves.withColumn("nb", F.when(F.col("m") <= region, 1).otherwise(blocks))
-             .withColumn("b", F.when(F.col("nb") == 1, 0).otherwise(mine))
-             .select("id", "c", "k", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o"))
-             .select("id", "c", "k", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
-             .join(full, "id"))
+    dealt = leaves.select("id", "c", "k", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q")).join(full, "id")
     P = shuffle_partitions(docs.sparkSession)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         blocked = dealt.repartition(P, "k", "p", "q").sortWithinPartitions("k", "p", "q", "id")
         return blocked.select("k", "p", "q", "id", "c", "body").mapInArrow(compare, "a long, b long")
 
-    early = save(links.unionByName(compared(dealt)), "forest-early")
+    early = save(links.unionByName(compared(dealt)).unionByName(confirmed(stars)), "forest-early")
     comp = save(components(early), "forest-comp")
 
     # the base regions that were cut: pairs of different components, all of them
