@@ -238,8 +238,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     """``docs`` with every found span replaced; null texts stay null. Same rows and columns."""
     k, h, x = fresh(docs, "_k"), fresh(docs, "_h"), fresh(docs, "_x")
     found = scan(docs, [F.col(key).alias(k), F.xxhash64(text).alias(h)], text)
-    extra = (discover(found, **options).join(found.select("uid", k, h), "uid")
-             .groupBy(k, h).agg(F.collect_set(F.struct("start", "end")).alias(x)))
+    # written, so that its size is known: few documents have such spans, and a small table is broadcast instead of moving all texts
+    extra = save(discover(found, **options).join(found.select("uid", k, h), "uid")
+                 .groupBy(k, h).agg(F.collect_set(F.struct("start", "end")).alias(x)), "pii-extra")
     joined = docs.join(extra, docs[key].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
     joined = joined.select(*[docs[c] for c in docs.columns], x)
 
