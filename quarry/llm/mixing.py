@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, byte_lengths, fresh, portions, prefix_hash, save, span_hash
+from .common import SPACE, byte_lengths, portions, prefix_hash, save, span_hash
 from .perplexity import SYMBOL, _bytes
 
 GRAMS = 1 << 14
@@ -131,12 +131,13 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], bud
     return rate
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text",
-        budget: float = 1.0, **options) -> DataFrame:
-    """key, n_tokens, p_<domain> for every domain with labels, rate, copies; one row per row."""
-    model = fit(docs, labelled, list(targets), key, text, **options)
+def _with_posteriors(docs: DataFrame, model, text: str) -> DataFrame:
+    """(row: the columns of ``docs``, n_tokens, p_<domain>) of every row, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: GRAMS x domains
-    names = [f"p_{d}" for d in model.domains]
+    names = ["n_tokens", *[f"p_{d}" for d in model.domains]]
+    rows_of = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    schema = T.StructType([rows_of.schema["row"], T.StructField("n_tokens", T.LongType()),
+                           *[T.StructField(x, T.DoubleType()) for x in names[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,24 +146,41 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
                 gram, row, shares, words = features(rows.column(1))
                 p = shared.value.posteriors(gram, row, shares).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(words.astype(np.int64)),
-                                                  *[pa.array(p[:, x]) for x in range(p.shape[1])]], [key, "n_tokens", *names])
+                                                  *[pa.array(p[:, x]) for x in range(p.shape[1])]], ["row", *names])
 
-    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()),
-                           *[T.StructField(x, T.DoubleType()) for x in names]])
-    members = save(docs.select(key, text).mapInArrow(run, schema), "mixing")
-    rate = rates(members, model.domains, targets, budget)
+    return rows_of.mapInArrow(run, schema)
+
+
+def _copies(key: str) -> Column:
+    """Whole copies for a rate; the rest is drawn by the hash of the key."""
     draw = F.pmod(F.xxhash64(F.lit("mixing"), key), F.lit(1 << 40)) / float(1 << 40)
-    return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    return F.floor(F.col("rate") + draw).cast("int")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text",
+        budget: float = 1.0, **options) -> DataFrame:
+    """key, n_tokens, p_<domain> for every domain with labels, rate, copies; one row per row."""
+    model = fit(docs, labelled, list(targets), key, text, **options)
+    scored = _with_posteriors(docs.select(key, text), model, text).select(F.col(f"row.`{key}`").alias(key), "n_tokens",
+                                                                         *[f"p_{d}" for d in model.domains])
+    members = save(scored, "mixing")
+    return members.withColumn("rate", rates(members, model.domains, targets, budget)).withColumn("copies", _copies(key))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text",
-             **options) -> DataFrame:
-    """``docs`` with every row as often as its copies say; rows with a null key stay once."""
-    n, i = fresh(docs, "_copies"), fresh(docs, "_i")
-    copies = mix(docs.where(F.col(key).isNotNull()), labelled, targets, key, text, **options).groupBy(key).agg(
-        F.max("copies").alias(n))
-    return (docs.join(copies, key, "left").withColumn(n, F.coalesce(n, F.lit(1))).where(F.col(n) > 0)
-            .withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns))
+             budget: float = 1.0, **options) -> DataFrame:
+    """``docs`` with every row as often as its own copies say; rows with a null key stay once.
+
+    Rates are fitted on narrow rows. A rate is an expression of a row's posteriors, so copies are made in one more pass over the
+    texts, which are not shuffled.
+    """
+    model = fit(docs, labelled, list(targets), key, text, **options)
+    known = docs.where(F.col(key).isNotNull())
+    members = save(_with_posteriors(known.select(key, text), model, text).drop("row"), "mixing")
+    scored = _with_posteriors(docs, model, text).withColumn("rate", rates(members, model.domains, targets, budget))
+    times = F.when(F.col(f"row.`{key}`").isNull(), 1).otherwise(_copies(f"row.`{key}`"))
+    return (scored.select("row", times.alias("times")).where(F.col("times") > 0)
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*"))
 
 
 def quality_domains(labels: DataFrame, key: str = "doc_id") -> DataFrame:
