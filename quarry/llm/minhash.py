@@ -165,7 +165,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                    "forest-regions")
     members = save(base_rows.join(regions, "k"), "forest-members")  # documents with a neighbour
     near = members.select("id").distinct()
-    full = sets(docs.join(near, docs[key] == near["id"], "left_semi"), key, text, words,
+    # the ids grow with the corpus, so they are not broadcast where they happen to be few: the same plan at every size
+    full = sets(docs.join(near.hint("merge"), docs[key] == near["id"], "left_semi"), key, text, words,
                 "n long, h1 long, h2 long, body binary", lambda s: (*named(s), s.tobytes()))
     full = save(full.withColumnRenamed(key, "id").join(classes.select(same), same, "left_semi").dropDuplicates(same)
                 .select("id", "body"), "forest-sets")
