@@ -327,3 +327,12 @@ def test_index_of_few_rows(spark):
     assert neighbours.knn_indexed(df, df.where("1 = 0"), "k", "v").collect() == []
     assert neighbours.knn_indexed(df.where("1 = 0"), df, "k", "v").collect() == []
     assert neighbours.auto_knn(df, df, "k", "v", pairs=0, recall=1.0).count() == neighbours.auto_knn(df, df, "k", "v").count() == 4
+
+
+def test_predictions_beat_the_commonest_label(spark):
+    from quarry import catalog
+    rows = catalog.queries()["clf_predictions"](spark, "/root/testdata/sf0.001").collect()
+    for name in ("Random Forest", "Gradient Boosting"):
+        mine = [r for r in rows if r["algorithm"] == name]
+        most = np.bincount([int(r["label"]) for r in mine]).max() / len(mine)
+        assert np.mean([r["prediction"] == r["label"] for r in mine]) > most + 0.02, name
