@@ -14,8 +14,12 @@ def test_entry(spark):
     assert df.count() == 8 and "median" in df.columns
 
 
+# trained or sampled beyond what SQL can follow; tested in test_round3.py
+NO_ORACLE = {"clf_predictions", "reg_predictions", "ml_feature_importance_values", "ml_record_scores", "clf_knn_indexed", "reg_knn_indexed"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(OWN) == set(catalog.oracle_sql())
+    assert set(OWN) - NO_ORACLE == set(catalog.oracle_sql())
     assert set(E.oracle_sql()) <= set(E.queries()) and set(OWN) <= set(E.queries())
 
 
