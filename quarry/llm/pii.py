@@ -1,15 +1,23 @@
 """Personal data by bootstrapped contextual extraction.
 
-1. Seeds: four kinds of entities found by rule (email, ip, card, phone), each a span in code points.
-2. Instances: the seeds, and other identifier-like tokens (an ``@`` or five digits or more, no white space)
-   that overlap no seed. Every instance induces lexical patterns from the words around it: the word before,
-   the two words before, and the words before and after.
-3. The pattern-instance graph (distinct pairs, so copies of a document count once) is scored in rounds on
+1. Seeds: four kinds of entities found by rule (email, ip, card, phone), each a span in code points, and keys (32 or
+   more hexadecimal digits, some of them letters), which are seeds but no entities by themselves.
+2. Every seed induces lexical patterns from the words around it: the word before, the two words before, and the words
+   before and after. Patterns of punctuation alone are none. A pattern is open if ``min_seeds`` different seeds stand
+   behind its words, and at least ``least_share`` of the places behind its words hold a seed: common words are refused
+   before their places are listed, so at most 1 / ``least_share`` places a seed are listed.
+3. What fills an open pattern's place is a candidate, whatever its characters: the word there without its edges or, if
+   it bears a digit, the run of such words that it begins (``123 45 6789``, ``GB29 NWBK 6016``). What overlaps an entity or a
+   key is none.
+4. The pattern-instance graph (distinct pairs, so copies of a document count once) is scored in rounds on
    Spark: a pattern's confidence is the mean score of its instances, shrunk towards 0; an unseen instance
    scores the noisy-or of its patterns. Seeds keep the score 1.
-4. Patterns with enough distinct instances, enough distinct seeds and a high confidence are accepted; an
-   unseen instance with a high score is reported as a ``context`` span wherever an accepted pattern meets it.
+5. Patterns with enough distinct instances and a high confidence are accepted; an unseen instance with a high score is
+   reported as a ``context`` span wherever an accepted pattern meets it, and so is a key.
+6. Accepted instances are seeds of the next hop, wherever they stand: they induce patterns of their own. It ends after
+   ``hops`` or when a hop finds no new instance.
 
+Words are looked up in a filter of fixed size (``bits``) before an exact join, so its size does not change results.
 Null and empty texts have no spans. A text is used whole, in time linear in its length. Equal rows get equal
 results and count once in the graph. An empty table gives an empty result. Other columns are ignored.
 """
@@ -18,11 +26,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, save
@@ -35,8 +46,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-MARK = re.compile(r"[0-9@]")
 SPACE = re.compile(r"\s")
+WORD = re.compile(r"\S+")
+CAPITALS = re.compile(r"[A-Z]{1,5}")
+KEY = re.compile(r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 EDGE = ".,;:!?()[]{}<>\"'`|"
 
 
@@ -78,24 +91,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of the identifier-like tokens: white-space free, with an @ or five digits, edges trimmed."""
-    at = 0
-    while m := MARK.search(text, at):
-        start = m.start()
-        while start > at and not text[start - 1].isspace():
-            start -= 1
-        stop = SPACE.search(text, m.end())
-        at = end = stop.start() if stop else len(text)
-        while end > start and text[end - 1] in EDGE:
-            end -= 1
-        while start < end and text[start] in EDGE:
-            start += 1
-        token = text[start:end]
-        if "@" in token or len(DIGIT.findall(token)) >= 5:
-            yield start, end
-
-
 def _before(text: str, at: int) -> list[str]:
     """Up to two words before a position, nearest first."""
     out: list[str] = []
@@ -123,38 +118,68 @@ def _hash(*parts: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the lexical patterns around a span."""
+def contexts(text: str, start: int, end: int) -> tuple[int | None, ...]:
+    """Hashes of the word before a span, and of its patterns: the word before, the two before, the words around.
+    Edges that stand at the span itself (brackets, quotes) belong to none."""
+    while start > 0 and text[start - 1] in EDGE:
+        start -= 1
+    while end < len(text) and text[end] in EDGE:
+        end += 1
     left = _before(text, start)
-    out = []
-    if left:
-        out.append(_hash("L1", left[0]))
-        right = _after(text, end)
-        if right:
-            out.append(_hash("L1R1", left[0], right))
-    if len(left) > 1:
-        out.append(_hash("L2", left[1], left[0]))
-    return out
+    if not left:
+        return None, None, None, None
+    said = any(c.isalnum() for c in left[0])
+    right = _after(text, end) if said else ""
+    pair = len(left) > 1 and (said or any(c.isalnum() for c in left[1]))
+    return (_hash("W", left[0]), _hash("L1", left[0]) if said else None, _hash("L2", left[1], left[0]) if pair else None,
+            _hash("L1R1", left[0], right) if right else None)
 
 
-def instances(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and unseen tokens of a text with their patterns."""
-    out = [{"start": s, "end": e, "seed": True, "inst": _hash(text[s:e]), "pats": contexts(text, s, e)}
-           for _, s, e in spans]
-    taken = sorted((s, e) for _, s, e in spans)
-    k = 0
-    for s, e in _tokens(text):
-        while k < len(taken) and taken[k][1] <= s and (k + 1 >= len(taken) or taken[k + 1][0] <= s):
-            k += 1
-        if not any(a < e and s < b for a, b in taken[k:k + 3]):
-            out.append({"start": s, "end": e, "seed": False, "inst": _hash(text[s:e]), "pats": contexts(text, s, e)})
-    return out
-
+def filler(text: str, start: int, end: int, limit: int, most: int = 10) -> tuple[int, int]:
+    """The candidate that the word at (start, end) begins, without edges; start = end if nothing is left.
 
+    A run of words with digits, or of up to five capitals between them, has at most ``most`` words, ends before
+    ``limit`` and at a word with an edge behind it.
+    """
+    stop = end
+    while end > start and text[end - 1] in EDGE:
+        end -= 1
+    while start < end and text[start] in EDGE:
+        start += 1
+    more, at = end == stop and DIGIT.search(text, start, end), end
+    while more and most > 1 and (word := WORD.search(text, at)):
+        a, at = word.span()
+        cut = at
+        while cut > a and text[cut - 1] in EDGE:
+            cut -= 1
+        digits = DIGIT.search(text, a, cut)
+        if at > limit or text[a] in EDGE or not (digits or CAPITALS.fullmatch(text, a, at)):
+            break
+        if digits:
+            end = cut
+        more, most = cut == at, most - 1
+    return start, end
+
+
+def keys(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Spans of the keys that overlap no entity."""
+    found = [m.span() for m in KEY.finditer(text)]
+    return [(s, e) for s, e in found if not any(a < e and s < b for _, a, b in spans)] if found else found
+
+
+_CTX = "inst long, w long, l1 long, l2 long, r1 long, t long"
 FOUND = ("n_email long, n_ip long, n_card long, n_phone long, base_spans string, "
-         "inst array<struct<start:int,end:int,seed:boolean,inst:long,pats:array<long>>>")
-_INST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("inst", pa.int64()),
-                            ("pats", pa.list_(pa.int64()))]))
+         "seeds array<struct<start:int,end:int,base:boolean,inst:long,w:long,l1:long,l2:long,r1:long>>")
+_SEEDS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), *(
+    (c, pa.int64()) for c in ("inst", "w", "l1", "l2", "r1"))]))
+
+
+def seeds(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    out = []
+    for s, e, base in [(s, e, True) for _, s, e in spans] + [(s, e, False) for s, e in keys(text, spans)]:
+        w, l1, l2, r1 = contexts(text, s, e)
+        out.append({"start": s, "end": e, "base": base, "inst": _hash(text[s:e]), "w": w, "l1": l1, "l2": l2, "r1": r1})
+    return out
 
 
 def written(spans) -> str:
@@ -173,53 +198,216 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c, kind in zip(counts, KINDS):
                     c.append(sum(x[0] == kind for x in found))
                 spans.append(written(found))
-                inst.append(instances(text, found))
+                inst.append(seeds(text, found))
             cols = [rows.column(i) for i in range(len(names))] + [pa.array(c, pa.int64()) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(spans, pa.string()), pa.array(inst, _INST)],
-                [*names, "n_email", "n_ip", "n_card", "n_phone", "base_spans", "inst"])
+                [*cols, pa.array(spans, pa.string()), pa.array(inst, _SEEDS)],
+                [*names, "n_email", "n_ip", "n_card", "n_phone", "base_spans", "seeds"])
 
 
-def discover(found: DataFrame, rounds: int = 3, min_instances: int = 5, min_seeds: int = 5,
-             confidence: float = 0.7, accept: float = 0.9, shrink: float = 2.0) -> DataFrame:
-    """Rows (uid, start, end) of the unseen identifiers, from the instances of every row.
+# ---------------------------------------------------------------- places in the texts
 
-    A pattern with fewer than ``min_instances`` distinct instances is never accepted and scores nothing.
-    """
-    occ = found.select("uid", F.explode("inst").alias("i")).select("uid", "i.*")
-    pairs = (occ.select("inst", "seed", F.explode("pats").alias("pat"))
-             .groupBy("pat", "inst").agg(F.max("seed").alias("seed")))
-    wide = (pairs.groupBy("pat").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
-            .where(F.col("n") >= min_instances))
-    graph = save(pairs.join(wide, "pat"), "pii-graph")
-    score = graph.select("inst", F.col("seed").cast("double").alias("s")).distinct()
-    conf = None
+
+class Filter:
+    """A set of 64-bit hashes with false hits: two bits each in an array of 2**bits. ``words`` remembers hits of words."""
+
+    def __init__(self, data: bytes, bits: int):
+        self.data, self.mask, self.words = data, (1 << bits) - 1, {"W": {}, "T": {}}
+
+    def __contains__(self, h: int | None) -> bool:
+        if h is None:
+            return False
+        a, b = h & self.mask, (h >> 32) & self.mask
+        return bool(self.data[a >> 3] >> (a & 7) & 1 and self.data[b >> 3] >> (b & 7) & 1)
+
+    def word(self, tag: str, word: str) -> bool:
+        memory = self.words[tag]
+        hit = memory.get(word)
+        if hit is None:
+            hit = _hash(tag, word) in self
+            if len(word) <= 64:
+                if len(memory) > 200_000:
+                    memory.clear()
+                memory[word] = hit
+        return hit
+
+
+def bit_table(hashes: DataFrame, bits: int) -> bytes:
+    """The filter of column ``h``: 2**bits bits whatever the number of rows; only they reach the driver."""
+    mask = F.lit((1 << bits) - 1)
+    at = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftright("h", 32).bitwiseAND(mask))).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("i")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["i"].to_numpy()] = words["b"].to_numpy()
+    return out.tobytes()
+
+
+def _texts(batches) -> Iterator[tuple]:
+    for batch in batches:
+        for k, h, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+            value = text.as_py()
+            if value:
+                yield k, h, value
+
+
+def count_places(texts: DataFrame, data: bytes, bits: int) -> DataFrame:
+    """(pat, n): words that stand behind the words of the patterns in the filter, added up in each task first."""
+    shared = texts.sparkSession.sparkContext.broadcast(data)
+
+    def run(batches):
+        known, n = Filter(shared.value, bits), {}
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["pat", "n"])
+
+        for _, _, text in _texts(batches):
+            one = two = None
+            for m in WORD.finditer(text):
+                if one is not None and known.word("W", one):
+                    for pat in (_hash("L1", one), *((_hash("L2", two, one),) if two is not None else ())):
+                        if pat in known:
+                            n[pat] = n.get(pat, 0) + 1
+                one, two = m.group().lower(), one
+            if len(n) > 500_000:
+                yield out()
+                n.clear()
+        yield out()
+
+    return texts.mapInArrow(run, "pat long, n long").groupBy("pat").agg(F.sum("n").alias("n"))
+
+
+def places(texts: DataFrame, data: bytes, bits: int, behind: bool = True) -> DataFrame:
+    """(k, h, start, end, inst, w, l1, l2, r1, t): candidates behind the words in the filter, or (``behind`` false)
+    those that begin with a word in it; t stands for that word."""
+    shared = texts.sparkSession.sparkContext.broadcast(data)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:2])
+    kinds = [pa.int32(), pa.int32()] + [pa.int64()] * 6
+    names = ["start", "end", "inst", "w", "l1", "l2", "r1", "t"]
+
+    def candidates(text, known):
+        taken, one = None, None
+        for m in WORD.finditer(text):
+            word = m.group()
+            if known.word("W", one) if behind and one is not None else not behind and known.word("T", word.strip(EDGE)):
+                if taken is None:
+                    spans = base_spans(text)
+                    taken = sorted([x[1:] for x in spans] + keys(text, spans))
+                    begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+                start = m.start()
+                while start < m.end() and text[start] in EDGE:
+                    start += 1
+                ahead = bisect_left(begins, start)
+                s, e = filler(text, *m.span(), begins[ahead] if ahead < len(begins) else len(text))
+                before = bisect_left(begins, e)
+                if s < e and not (before and reach[before - 1] > s):
+                    w, l1, l2, r1 = contexts(text, s, e)
+                    if not behind or l1 in known or l2 in known:
+                        yield s, e, _hash(text[s:e]), w, l1, l2, r1, _hash("T", word.strip(EDGE))
+            one = word.lower()
+
+    def run(batches):
+        known = Filter(shared.value, bits)
+        for batch in batches:
+            for part in range(0, batch.num_rows, 2000):
+                lines = batch.slice(part, 2000)
+                rows, cols = [], [[] for _ in kinds]
+                for row, v in enumerate(lines.column(2)):
+                    text = v.as_py()
+                    for found in candidates(text, known) if text else ():
+                        rows.append(row)
+                        for c, x in zip(cols, found):
+                            c.append(x)
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([lines.column(0).take(at), lines.column(1).take(at),
+                                                  *(pa.array(c, k) for c, k in zip(cols, kinds))], [*batch.schema.names[:2], *names])
+
+    return texts.mapInArrow(run, f"{kept}, start int, end int, {_CTX}")
+
+
+# ---------------------------------------------------------------- the graph
+
+
+def _edges(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.explode(F.array_compact(F.array("l1", "l2", "r1"))).alias("pat"))
+
+
+def score(graph: DataFrame, rounds: int, shrink: float) -> tuple[DataFrame, DataFrame]:
+    """Patterns (pat, c, n, seeds) and instances (inst, s) of the distinct pairs (pat, inst, seed)."""
+    marks = graph.select("inst", F.col("seed").cast("double").alias("s")).distinct()
     for _ in range(rounds):
-        conf = (graph.join(score, "inst").groupBy("pat")
-                .agg((F.sum("s") / (F.count(F.lit(1)) + F.lit(shrink))).alias("c"), F.first("seeds").alias("seeds")))
-        score = save(graph.join(conf.select("pat", "c"), "pat").groupBy("inst").agg(
+        conf = graph.join(marks, "inst").groupBy("pat").agg(
+            (F.sum("s") / (F.count(F.lit(1)) + F.lit(shrink))).alias("c"), F.count(F.lit(1)).alias("n"),
+            F.count_if("seed").alias("seeds"))
+        conf = save(conf, "pii-conf")
+        marks = save(graph.join(conf.select("pat", "c"), "pat").groupBy("inst").agg(
             F.when(F.max("seed"), 1.0).otherwise(
                 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("s")), "pii-score")
-    good = conf.where((F.col("c") >= confidence) & (F.col("seeds") >= min_seeds)).select("pat")
-    hits = (occ.where("not seed").select("uid", "start", "end", "inst", F.explode("pats").alias("pat"))
-            .join(good, "pat").join(score.where(F.col("s") >= accept).select("inst"), "inst"))
-    return hits.select("uid", "start", "end").distinct()
-
-
-def scan(docs: DataFrame, key: list[Column], text: str = "text") -> DataFrame:
-    """One written row per row of ``docs``: uid, the key columns, counts and spans of the seeds, instances."""
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), *key, F.col(text).alias("_text"))
+    return conf, marks
+
+
+def discover(texts: DataFrame, found: DataFrame, rounds: int = 3, min_instances: int = 5, min_seeds: int = 5,
+             confidence: float = 0.7, accept: float = 0.9, shrink: float = 2.0, least_share: float = 0.02, hops: int = 2,
+             bits: int = 24) -> DataFrame:
+    """Rows (k, h, start, end) of the identifiers that accepted patterns point at in ``texts`` (k, h, text)."""
+    own = found.select("k", "h", F.explode("seeds").alias("i")).select("k", "h", "i.*", F.lit(None).cast("long").alias("t"))
+    known, hits = own, None
+    for hop in range(hops):
+        pats = known.select("inst", "w", F.explode(F.array_compact(F.array("l1", "l2"))).alias("pat"))
+        wanted = save(pats.groupBy("pat").agg(F.count(F.lit(1)).alias("held"), F.count_distinct("inst").alias("seeds"),
+                                              F.first("w").alias("w")).where(F.col("seeds") >= min_seeds), "pii-wanted")
+        both = lambda d: d.select("pat").union(d.select("w")).toDF("h")
+        n = count_places(texts, bit_table(both(wanted), bits), bits)
+        opened = save(wanted.join(n, "pat").where(F.col("held") >= F.lit(least_share) * F.col("n")).select("pat", "w"), "pii-open")
+        found_at = places(texts, bit_table(both(opened), bits), bits)
+        # a pattern of the words around stands with its word before
+        firsts = opened.select(F.col("pat").alias("l1"))
+        seconds = opened.select(F.col("pat").alias("l2"))
+
+        def only_open(rows):
+            rows = rows.join(firsts.withColumn("o1", F.lit(True)), "l1", "left").join(seconds.withColumn("o2", F.lit(True)), "l2", "left")
+            keep = lambda c, o: F.when(F.col(o), F.col(c)).alias(c)
+            return (rows.where("o1 or o2")
+                    .select("k", "h", "start", "end", "inst", keep("l1", "o1"), keep("l2", "o2"), keep("r1", "o1"), "t", "base", "seed"))
+
+        at = only_open(found_at.withColumn("base", F.lit(False)).withColumn("seed", F.lit(False)))
+        held = only_open(known.withColumn("seed", F.lit(True)))
+        rows = save(at.unionByName(held), "pii-places")
+        pairs = _edges(rows, "inst", "seed").groupBy("pat", "inst").agg(F.max("seed").alias("seed"))
+        sure = pairs.groupBy("inst").agg(F.max("seed").alias("_s"))
+        graph = save(pairs.join(sure, "inst").select("pat", "inst", F.col("_s").alias("seed")), "pii-graph")
+        conf, marks = score(graph, rounds, shrink)
+        good = conf.where((F.col("c") >= confidence) & (F.col("seeds") >= min_seeds) & (F.col("n") >= min_instances)).select("pat")
+        met = (_edges(rows.where("not base"), "k", "h", "start", "end", "inst", "t", "seed").join(good, "pat")
+               .join(marks.where(F.col("s") >= accept).select("inst"), "inst"))
+        met = save(met.select("k", "h", "start", "end", "inst", "t", "seed").distinct(), "pii-met")
+        hits = met if hits is None else hits.union(met)
+        new = met.where("not seed").select("inst").distinct()
+        new = save(new.join(known.select("inst"), "inst", "left_anti"), "pii-new")
+        if hop + 1 == hops or new.isEmpty():
+            break
+        begun = met.join(new, "inst", "left_semi").select(F.col("t").alias("h")).distinct()
+        again = places(texts, bit_table(begun, bits), bits, behind=False).join(new, "inst", "left_semi")
+        known = save(known.unionByName(again.withColumn("base", F.lit(False))), "pii-known")
+    return hits.select("k", "h", "start", "end").distinct()
+
+
+def scan(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(k, h, text) of ``docs``, and one written row each: k, h (of the text), counts and spans of the entities, seeds."""
+    src = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return save(src.mapInArrow(_scan, f"{kept}, {FOUND}"), "pii-scan")
+    return src, save(src.mapInArrow(_scan, f"{kept}, {FOUND}"), "pii-scan")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans (text 'kind:start:end', comma-joined)."""
-    found = scan(docs, [F.col(key)], text)
-    extra = discover(found, **options).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("x"))
+    texts, found = scan(docs, key, text)
+    extra = discover(texts, found, **options).groupBy("k", "h").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("x"))
+    extra = extra.select(F.col("k").alias("k_"), F.col("h").alias("h_"), "x")
     more = F.array_join(F.transform("x", lambda s: F.concat_ws(":", F.lit("context"), s["start"], s["end"])), ",")
-    return (found.join(extra, "uid", "left").select(
-        key, "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans"), 256).alias("base_sha256"),
+    return (found.join(extra, F.col("k").eqNullSafe(F.col("k_")) & (F.col("h") == F.col("h_")), "left").select(
+        F.col("k").alias(key), "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans"), 256).alias("base_sha256"),
         F.when(F.col("x").isNull(), F.col("base_spans"))
         .when(F.col("base_spans") == "", more).otherwise(F.concat("base_spans", F.lit(","), more)).alias("spans")))
 
@@ -237,10 +425,10 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with every found span replaced; null texts stay null. Same rows and columns."""
     k, h, x = fresh(docs, "_k"), fresh(docs, "_h"), fresh(docs, "_x")
-    found = scan(docs, [F.col(key).alias(k), F.xxhash64(text).alias(h)], text)
+    texts, found = scan(docs, key, text)
     # written, so that its size is known: few documents have such spans, and a small table is broadcast instead of moving all texts
-    extra = save(discover(found, **options).join(found.select("uid", k, h), "uid")
-                 .groupBy(k, h).agg(F.collect_set(F.struct("start", "end")).alias(x)), "pii-extra")
+    extra = save(discover(texts, found, **options).groupBy(F.col("k").alias(k), F.col("h").alias(h))
+                 .agg(F.collect_set(F.struct("start", "end")).alias(x)), "pii-extra")
     joined = docs.join(extra, docs[key].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
     joined = joined.select(*[docs[c] for c in docs.columns], x)
 
