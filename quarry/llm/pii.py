@@ -208,11 +208,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- places in the texts
 
 
+class Memo(dict):
+    """Answers of ``told`` by short text; forgets all of them rather than grow."""
+
+    def __init__(self, told, most: int = 200_000):
+        super().__init__()
+        self.told, self.most = told, most
+
+    def __missing__(self, key: str):
+        value = self.told(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Filter:
-    """A set of 64-bit hashes with false hits: two bits each in an array of 2**bits. ``words`` remembers hits of words."""
+    """A set of 64-bit hashes with false hits: two bits each in an array of 2**bits."""
 
     def __init__(self, data: bytes, bits: int):
-        self.data, self.mask, self.words = data, (1 << bits) - 1, {"W": {}, "T": {}}
+        self.data, self.mask = data, (1 << bits) - 1
 
     def __contains__(self, h: int | None) -> bool:
         if h is None:
@@ -220,17 +236,6 @@ class Filter:
         a, b = h & self.mask, (h >> 32) & self.mask
         return bool(self.data[a >> 3] >> (a & 7) & 1 and self.data[b >> 3] >> (b & 7) & 1)
 
-    def word(self, tag: str, word: str) -> bool:
-        memory = self.words[tag]
-        hit = memory.get(word)
-        if hit is None:
-            hit = _hash(tag, word) in self
-            if len(word) <= 64:
-                if len(memory) > 200_000:
-                    memory.clear()
-                memory[word] = hit
-        return hit
-
 
 def bit_table(hashes: DataFrame, bits: int) -> bytes:
     """The filter of column ``h``: 2**bits bits whatever the number of rows; only they reach the driver."""
@@ -257,18 +262,25 @@ def count_places(texts: DataFrame, data: bytes, bits: int) -> DataFrame:
 
     def run(batches):
         known, n = Filter(shared.value, bits), {}
+        mark = lambda tag, word: h if (h := _hash(tag, word)) in known else 0
+        # None: no pattern ends with the word; else its own pattern, 0 if only pairs do
+        near = Memo(lambda w: mark("L1", w) if mark("W", w) else None)
+        pair = Memo(lambda p: mark("L2", p))
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["pat", "n"])
 
         for _, _, text in _texts(batches):
-            one = two = None
-            for m in WORD.finditer(text):
-                if one is not None and known.word("W", one):
-                    for pat in (_hash("L1", one), *((_hash("L2", two, one),) if two is not None else ())):
-                        if pat in known:
-                            n[pat] = n.get(pat, 0) + 1
-                one, two = m.group().lower(), one
+            words = text.lower().split()
+            del text
+            last = len(words) - 1
+            for i, one in enumerate(map(near.__getitem__, words)):
+                if one is not None and i < last:
+                    if one:
+                        n[one] = n.get(one, 0) + 1
+                    two = pair[f"{words[i - 1]}\0{words[i]}"] if i else 0
+                    if two:
+                        n[two] = n.get(two, 0) + 1
             if len(n) > 500_000:
                 yield out()
                 n.clear()
@@ -285,11 +297,13 @@ def places(texts: DataFrame, data: bytes, bits: int, behind: bool = True) -> Dat
     kinds = [pa.int32(), pa.int32()] + [pa.int64()] * 6
     names = ["start", "end", "inst", "w", "l1", "l2", "r1", "t"]
 
-    def candidates(text, known):
-        taken, one = None, None
+    def candidates(text, known, near):
+        taken, one = None, ""
+        if behind and not any(map(near.__getitem__, text.lower().split())):
+            return
         for m in WORD.finditer(text):
             word = m.group()
-            if known.word("W", one) if behind and one is not None else not behind and known.word("T", word.strip(EDGE)):
+            if near[one if behind else word.strip(EDGE)]:
                 if taken is None:
                     spans = base_spans(text)
                     taken = sorted([x[1:] for x in spans] + keys(text, spans))
@@ -308,13 +322,14 @@ def places(texts: DataFrame, data: bytes, bits: int, behind: bool = True) -> Dat
 
     def run(batches):
         known = Filter(shared.value, bits)
+        near = Memo(lambda w: w != "" and _hash("W" if behind else "T", w) in known)
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
                 lines = batch.slice(part, 2000)
                 rows, cols = [], [[] for _ in kinds]
                 for row, v in enumerate(lines.column(2)):
                     text = v.as_py()
-                    for found in candidates(text, known) if text else ():
+                    for found in candidates(text, known, near) if text else ():
                         rows.append(row)
                         for c, x in zip(cols, found):
                             c.append(x)
