@@ -20,7 +20,7 @@ from ..functions.types import clean_nan, cols_of, seeded_order
 from ..plans.ranking import ranked
 from ..session import local_table, pin
 from . import evaluate as E
-from . import trees
+from . import margin, trees
 from .prep import impute_constant, impute_median, label_codes
 from .profile import ALGORITHMS as CATALOGUE
 
@@ -131,7 +131,7 @@ def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_cla
                                     solver="normal")
         if name == "Random Forest":
             return RandomForestRegressor(numTrees=20, maxDepth=5, seed=SEED)
-        if name == "SVR":  # re-aimed: robust linear fit
+        if name == "Huber":  # the robust linear fit beside it
             return LinearRegression(loss="huber", maxIter=100)
     raise ValueError(f"unknown algorithm {name!r} for {problem_type}")
 
@@ -146,6 +146,9 @@ def fit_predict(name: str, problem_type: str, train: DataFrame, test: DataFrame,
         model = trees.fit(train, features, classes=n_classes, **TREES[name])
         secs = time.time() - t0
         return model.transform(test).select(*key, "label", "prediction"), model, secs
+    if name == "SVR" and problem_type == "regression":
+        model = margin.fit_svr(train, features)
+        return model.transform(test).select(*key, "label", "prediction"), model, time.time() - t0
     est = estimator(name, problem_type, n_train, len(features), n_classes, spread or 1.0)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), est])
     t0 = time.time()

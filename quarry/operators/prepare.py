@@ -140,7 +140,7 @@ class ModelRecord:
         """Into a folder that all executors see."""
         self.preparation.save(spark, path)
         about = {"algorithm": self.algorithm, "metrics": self.metrics, "training_time": self.training_time,
-                 "kind": "pipeline" if isinstance(self.model, PipelineModel) else "trees"}
+                 "kind": "pipeline" if isinstance(self.model, PipelineModel) else type(self.model).__name__.lower()}
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
         if isinstance(self.model, PipelineModel):
             self.model.write().overwrite().save(f"{path}/model")
@@ -150,8 +150,12 @@ class ModelRecord:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ModelRecord:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        if about.pop("kind") == "pipeline":
+        kind = about.pop("kind")
+        if kind == "pipeline":
             model = PipelineModel.load(f"{path}/model")
+        elif kind == "margin":
+            from .margin import Margin
+            model = Margin.load(spark, f"{path}/model")
         else:
             from .trees import Trees
             model = Trees.load(spark, f"{path}/model")
