@@ -45,7 +45,10 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     at = np.arange(max(0, len(data) - 3))
     row = np.repeat(np.arange(len(n)), n)[:len(at)]
     at = at[at + 4 <= start[1:][row]]
-    gram = (span_hash(prefix_hash(data), at, at + 4) & np.uint64(GRAMS - 1)).astype(np.int64)
+    gram, prefix = np.empty(len(at), np.int32), prefix_hash(data)
+    for i in range(0, len(at), 1 << 18):  # hashes of a block at a time: they take several words a byte
+        part = at[i:i + (1 << 18)]
+        gram[i:i + len(part)] = span_hash(prefix, part, part + 4) & np.uint64(GRAMS - 1)
     shares = np.empty((len(n), 6), np.float32)
     for i, c in enumerate(CLASSES):
         total = np.concatenate(([0], np.cumsum(c[data])))
@@ -141,7 +144,7 @@ def _with_posteriors(docs: DataFrame, model, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in portions(byte_lengths(batch.column(1))):
+            for i, j in portions(byte_lengths(batch.column(1)), size=1 << 20):
                 rows = batch.slice(i, j - i)
                 gram, row, shares, words = features(rows.column(1))
                 p = shared.value.posteriors(gram, row, shares).astype(np.float64)
