@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibrate, network
 from ..operators import evaluate as E
 from ..operators import ml as M
 from ..operators import trees as T
@@ -427,6 +428,23 @@ def q_clf_predictions(spark, sf):
     return out
 
 
+@register("clf_mlp_probabilities")
+def q_clf_mlp_probabilities(spark, sf):
+    """o_orderkey, label, prediction and the chance of each class, of every test row."""
+    train, test, feats = _ord_split(spark, sf)
+    return _chances(network.fit_network(train, feats, 2).transform(test))
+
+
+@register("clf_svm_probabilities")
+def q_clf_svm_probabilities(spark, sf):
+    train, test, feats = _ord_split(spark, sf)
+    return _chances(calibrate.fit_calibrated(train, feats, 2).transform(test))
+
+
+def _chances(pred):
+    return rnd(pred.select("o_orderkey", "label", "prediction", F.col("probability")[0].alias("p_0"), F.col("probability")[1].alias("p_1")))
+
+
 @register("ml_feature_importance_values")
 def q_ml_feature_importance_values(spark, sf):
     _, model, feats = _fit(spark, sf, "Random Forest")

@@ -20,7 +20,7 @@ from ..functions.types import clean_nan, cols_of, seeded_order
 from ..plans.ranking import ranked
 from ..session import local_table, pin
 from . import evaluate as E
-from . import margin, trees
+from . import calibrate, margin, network, trees
 from .prep import impute_constant, impute_median, label_codes
 from .profile import ALGORITHMS as CATALOGUE
 
@@ -121,7 +121,7 @@ def estimator(name: str, problem_type: str, n_train: int, n_features: int, n_cla
         if name == "SVM":
             svc = LinearSVC(maxIter=100)
             return svc if n_classes <= 2 else OneVsRest(classifier=svc)
-        if name == "Neural Network":
+        if name == "Sigmoid Network":  # the library's network beside the catalogue's
             return MultilayerPerceptronClassifier(layers=[n_features, 50, max(n_classes, 2)], maxIter=50, seed=SEED)
     else:
         if name == "Linear Regression":
@@ -149,6 +149,12 @@ def fit_predict(name: str, problem_type: str, train: DataFrame, test: DataFrame,
     if name == "SVR" and problem_type == "regression":
         model = margin.fit_svr(train, features)
         return model.transform(test).select(*key, "label", "prediction"), model, time.time() - t0
+    if name == "Neural Network":  # rectified units, softmax, Adam on mini-batches
+        model = network.fit_network(train, features, n_classes)
+        return model.transform(test).select(*key, "label", "prediction"), model, time.time() - t0
+    if name == "Calibrated SVM":  # the catalogue's SVM with class probabilities
+        model = calibrate.fit_calibrated(train, features, n_classes)
+        return model.transform(test).select(*key, "label", "prediction"), model, time.time() - t0
     est = estimator(name, problem_type, n_train, len(features), n_classes, spread or 1.0)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), est])
     t0 = time.time()

@@ -156,6 +156,12 @@ class ModelRecord:
         elif kind == "margin":
             from .margin import Margin
             model = Margin.load(spark, f"{path}/model")
+        elif kind == "network":
+            from .network import Network
+            model = Network.load(spark, f"{path}/model")
+        elif kind == "calibrated":
+            from .calibrate import Calibrated
+            model = Calibrated.load(spark, f"{path}/model")
         else:
             from .trees import Trees
             model = Trees.load(spark, f"{path}/model")

@@ -14,8 +14,9 @@ def test_entry(spark):
     assert df.count() == 8 and "median" in df.columns
 
 
-# trained or sampled beyond what SQL can follow; tested in test_round3.py
-NO_ORACLE = {"clf_predictions", "reg_predictions", "ml_feature_importance_values", "ml_record_scores", "clf_knn_indexed", "reg_knn_indexed"}
+# trained or sampled beyond what SQL can follow; tested in test_round3.py and test_network.py
+NO_ORACLE = {"clf_predictions", "reg_predictions", "ml_feature_importance_values", "ml_record_scores", "clf_knn_indexed", "reg_knn_indexed",
+             "clf_mlp_probabilities", "clf_svm_probabilities"}
 
 
 def test_every_query_has_an_oracle():
