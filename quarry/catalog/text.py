@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import text as W
 from ..operators import infer as I
 from ..operators import text as X
+from ..session import ensure_checkpoint_dir
 from .base import register, rnd, t
 from .sqlgen import lit_list
 
@@ -270,6 +272,13 @@ for _task, _sql in _MODEL.items():
         lambda spark, sf, _t=_task: _flat(I.batch_inference(_docs(spark, sf), "doc_id", "text", _t, provider=_offline(_t))))
 
 
+@register("batch_inference_stored", f"""
+SELECT doc_id, {_MODEL['sentiment']}, 'model' AS answered_by FROM {DOCS_SQL}""")
+def q_batch_inference_stored(spark, sf):
+    store = f"{ensure_checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
+    return I.batch_inference(_docs(spark, sf), "doc_id", "text", "sentiment", provider=_offline("sentiment"), store=store)
+
+
 @register("batch_inference_partly", f"""
 SELECT doc_id, CASE WHEN length(text) % 4 = 0 THEN s.sentiment ELSE m.sentiment END AS sentiment,
   CASE WHEN length(text) % 4 = 0 THEN s.confidence ELSE m.confidence END AS confidence,
