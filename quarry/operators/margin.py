@@ -49,8 +49,10 @@ class Margin:
         return df.withColumn("prediction", value)
 
 
-def summed(rows: DataFrame, columns: Sequence[str], told: Callable[[np.ndarray], np.ndarray], width: int = 16) -> np.ndarray:
-    """The sum of ``told(block of rows)`` over all rows."""
+def summed(rows: DataFrame, columns: Sequence[str], told: Callable[[np.ndarray], np.ndarray], width: int = 16,
+           few: bool = False) -> np.ndarray:
+    """The sum of ``told(block of rows)`` over all rows. ``few``: the rows lie in ``width`` partitions at most, whose sums
+    the driver can add up as they are."""
     columns = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +65,8 @@ def summed(rows: DataFrame, columns: Sequence[str], told: Callable[[np.ndarray],
         if total is not None:
             yield part(0, TaskContext.get().partitionId() % width, total)
 
-    some = merged(rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, PART))
+    some = rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, PART)
+    some = some if few else merged(some)
     return np.sum([np.frombuffer(r["m"], np.float64) for r in sorted(some.collect(), key=lambda r: r["task"])], axis=0)
 
 

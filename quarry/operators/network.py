@@ -90,7 +90,7 @@ class Network:
 
 def fit_network(train: DataFrame, features: Sequence[str], classes: int, label: str = "label", hidden: int = 50,
                 batches: int = 4, rounds: int = 30, rate: float = 0.02, alpha: float = 1e-4, tolerance: float = 1e-4,
-                patience: int = 5, seed: int = 42) -> Network:
+                patience: int = 5, seed: int = 42, width: int = 16) -> Network:
     """At most ``rounds`` times through the rows; ends when the mean loss gained less than ``tolerance`` for ``patience`` rounds.
 
     A table without rows to learn from is an error. Repeated rows count as often as they stand there; a constant feature tells
@@ -107,6 +107,7 @@ def fit_network(train: DataFrame, features: Sequence[str], classes: int, label:
     mean, std = np.array(told[1::2], float), np.array(told[2::2], float)
     std = np.where(std > 0, std, 1.0)
     parts = [pin(rows.where(F.col("_batch") == i)) for i in range(batches)]
+    few = rows.rdd.getNumPartitions() <= width  # of a written table: nothing is computed for it
 
     rng = np.random.default_rng(seed)
     wide = [np.sqrt(6.0 / (a + b)) for a, b in ((d, hidden), (hidden, k))]
@@ -120,7 +121,7 @@ def fit_network(train: DataFrame, features: Sequence[str], classes: int, label:
     for _ in range(rounds):
         lost = 0.0
         for part in parts:
-            got = summed(part, columns, at(w))
+            got = summed(part, columns, at(w), width, few)
             if np.ndim(got) == 0:  # no row fell into this one
                 continue
             lost += got[0]

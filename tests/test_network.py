@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from quarry.operators import calibrate, network
+from quarry.operators import calibrate, margin, network
+from quarry.operators.prepare import ModelRecord, train_record
 
 
 def table(spark, X, y):
@@ -50,6 +51,21 @@ def test_network_of_odd_tables(spark):
         network.fit_network(df.where("id < 0"), ["f0"], 2)
 
 
+def test_sums_of_few_and_many_partitions_agree(spark):
+    df = spark.range(1000).repartition(20).selectExpr("cast(id as double) as a")
+    told = lambda block: np.array([block.sum(), len(block)])
+    assert margin.summed(df, ["a"], told, few=True).tolist() == margin.summed(df, ["a"], told, width=3).tolist() == [499500.0, 1000.0]
+
+
+def test_network_in_a_model_record(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i % 10), "up" if i % 10 > 4 else "down") for i in range(200)], "id long, x double, y string")
+    record, pred = train_record(df, "y", ["id"], "Neural Network", "classification", ["x"])
+    record.save(spark, str(tmp_path / "m"))
+    again = ModelRecord.load(spark, str(tmp_path / "m"))
+    assert again.model == record.model and record.metrics["accuracy"] > 0.9
+    assert {r["predicted"] for r in again.score(df, ["id"]).where("id % 10 = 9").collect()} == {"up"}
+
+
 def test_svm_probabilities_are_calibrated(spark, tmp_path):
     r = np.random.default_rng(6)
     X = r.normal(size=(3000, 2)) * [1.0, 3.0]
