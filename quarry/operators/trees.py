@@ -1,9 +1,10 @@
 """Decision trees and second-order gradient boosting on quantile histograms.
 
-Features are cut once at exact quantiles (all distinct values where they are few) and kept as one byte each. A level of all trees
-of a round is one pass: every task routes its rows through the trees so far, and adds up statistics by (tree, node, feature,
-bin); the arrays are summed by a shuffle, and the driver, which holds only these histograms (trees x nodes x features x bins
-numbers, whatever the rows), takes the best split of each node. A child's sums are those of its side of the split, so leaves
+Features are cut once at exact quantiles (all distinct values where they are few) and kept as one byte each, in blocks of about
+half a million rows in the order of their cells (the bins of all features; equal labels of a cell are kept once, with their number).
+A level of all trees of a round is one pass: every task routes the cells of its blocks, not their rows, through the trees so
+far, adds up statistics by cell, and those by (tree, node, feature, bin); the arrays are summed by a shuffle, and the driver,
+which holds only these histograms (trees x nodes x features x bins numbers, whatever the rows), takes the best split of each node. A child's sums are those of its side of the split, so leaves
 need no pass of their own.
 
 Statistics are whole numbers (gradients and second derivatives in units of 2**-20), so sums do not depend on the order
@@ -48,6 +49,34 @@ def cut_points(df: DataFrame, features: Sequence[str], bins: int = 64) -> list[n
     return [np.array(sorted(found[c]), np.float64) for c in features]
 
 
+CELLS = "cells binary, held binary, y binary, times binary"
+BLOCK = 1 << 19
+
+
+def _block(held: list[tuple[np.ndarray, np.ndarray]], n_bins: int) -> pa.RecordBatch:
+    """Rows in the order of their cells, a cell being the bins of all features: trees tell the rows of a cell apart by nothing.
+
+    Of every cell its bins and number of labels; of every label in it the value and how often it is there.
+    """
+    x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    if x.shape[1] * np.log2(n_bins) < 62:
+        code = np.zeros(len(x), np.int64)
+        for c in x.T:
+            code = code * n_bins + c
+        order = np.lexsort((y, code))
+        x, y, code = x[order], y[order], code[order]
+        new = code[1:] != code[:-1]
+    else:
+        order = np.lexsort((y, *x.T))
+        x, y = x[order], y[order]
+        new = (x[1:] != x[:-1]).any(axis=1)
+    label = np.flatnonzero(np.append(True, new | (y[1:] != y[:-1])))
+    cell = np.flatnonzero(np.append(True, new))
+    held_ = np.diff(np.append(np.searchsorted(label, cell), len(label)))
+    values = x[cell], held_.astype(np.int64), y[label], np.diff(np.append(label, len(y))).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["cells", "held", "y", "times"])
+
+
 def _matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
     cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.float64) for c in features]
     return np.nan_to_num(np.stack(cols, axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf) if cols else np.zeros((batch.num_rows, 0))
@@ -118,7 +147,8 @@ class Trees:
                 margin = self.margins(_binned(_matrix(batch, self.features), self.cuts))
                 if self.classes:
                     p = self.probabilities(margin)
-                    new = [pa.array(p.argmax(axis=1).astype(np.float64)), pa.array(list(p), pa.list_(pa.float64()))]
+                    ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
+                    new = [pa.array(p.argmax(axis=1).astype(np.float64)), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))]
                 else:
                     new = [pa.array(margin[:, 0])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
@@ -208,17 +238,24 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "label", kind: str
         raise ValueError("bins must be between 2 and 256")
     df = df.where(F.col(label).isNotNull())
     cuts = cut_points(df, features, bins)
-    schema = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.DoubleType())])
+    width, n_bins = len(features), max([1, *(len(c) + 1 for c in cuts)])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            b = _binned(_matrix(batch, features), cuts)
-            y = batch.column(batch.schema.get_field_index("_y"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in b], pa.binary()), y], ["x", "y"])
-
-    rows = pin(df.select(*features, F.col(label).cast("double").alias("_y")).mapInArrow(pack, schema))
-    n, mean, far, *share = rows.agg(F.count(F.lit(1)), F.avg("y"), F.max(F.abs("y")), *[
-        F.count_if(F.col("y") == k) for k in range(classes)]).first()
+            x = _binned(_matrix(batch, features), cuts)
+            held.append((x, batch.column(batch.schema.get_field_index("_y")).to_numpy(zero_copy_only=False).astype(np.float64)))
+            n += len(x)
+            if n >= BLOCK:
+                yield _block(held, n_bins)
+                held, n = [], 0
+        if n:
+            yield _block(held, n_bins)
+
+    whole = df.select(*features, F.col(label).cast("double").alias("_y"))
+    rows = pin(whole.mapInArrow(pack, CELLS))
+    n, mean, far, *share = whole.agg(F.count(F.lit(1)), F.avg("_y"), F.max(F.abs("_y")), *[
+        F.count_if(F.col("_y") == k) for k in range(classes)]).first()
     if kind == "tree":
         base, rate, rounds = np.zeros(classes or 1), 1.0, 1
     elif not classes:
@@ -249,17 +286,21 @@ def _grow(rows: DataFrame, model: Trees, depth: int, l2: float, least: int) -> N
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = {(k, i): np.zeros((width, n_bins, channels + 2), np.int64) for k, nodes in enumerate(here) for i in nodes}
-            for batch in batches:
-                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
-                y = batch.column(1).to_numpy()
-                for k, (s, w) in enumerate(_statistics(model, model.margins(x), y)):
+            for cells, held, y, times in (r.values() for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                x = np.frombuffer(cells, np.uint8).reshape(-1, width)
+                held, y, times = np.frombuffer(held, np.int64), np.frombuffer(y), np.frombuffer(times, np.int64)
+                first = np.cumsum(held) - held
+                rows_in = np.add.reduceat(times, first)
+                margin = np.repeat(model.margins(x), held, axis=0)
+                for k, (s, w) in enumerate(_statistics(model, margin, y)):
                     at = trees[k].route(x)
-                    values = [*s.T, w, np.ones(len(y), np.int64)]
+                    # the sums of a block's cells are exact in doubles
+                    values = [*(np.add.reduceat(c * times, first) for c in (*s.T, w)), rows_in]
                     for i in here[k]:
                         mine = np.flatnonzero(at == i)
                         for f in range(width):
                             b = x[mine, f]
-                            for c, v in enumerate(values):  # sums of a batch are exact in doubles
+                            for c, v in enumerate(values):
                                 sums[k, i][f, :, c] += np.bincount(b, weights=v[mine], minlength=n_bins).astype(np.int64)
             for (k, i), h in sums.items():
                 yield part(k << 32 | i, 0, h)
