@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .margin import summed
+from .margin import packed, summed
 
 
 def margin_of(features: Sequence[str], weights: Sequence[float], bias: float) -> Column:
@@ -79,13 +81,14 @@ def fit_curve(rows: DataFrame, margin: str = "margin", label: str = "y", steps:
             return np.array([(q * m).sum(), q.sum(), (r * m * m).sum(), (r * m).sum(), r.sum(), *cost])
         return told
 
+    blocks = packed(rows, [margin, label])
     w = np.array([0.0, np.log((yes + 1) / (n - yes + 1))])
     for _ in range(steps):
-        got = summed(rows, [margin, label], sums([w]))
+        got = summed(blocks, None, sums([w]))
         g, h = got[:2], np.array([[got[2], got[3]], [got[3], got[4]]]) + np.eye(2) * 1e-9
         p = -np.linalg.solve(h, g)
         tried = [w + p * 0.5 ** i for i in range(12)]
-        costs = summed(rows, [margin, label], sums(tried))[5:]
+        costs = summed(blocks, None, sums(tried))[5:]
         best = int(np.argmin(costs))
         gain = got[5] - costs[best]
         if gain <= 0:
@@ -112,18 +115,21 @@ def fit_calibrated(train: DataFrame, features: Sequence[str], classes: int, labe
         counts = {(r["_fold"], r["_y"]): r["count"] for r in one.groupBy("_fold", "_y").count().collect()}
         seen = lambda f, y: sum(v for (g, z), v in counts.items() if z == y and g != f)
         svc = LinearSVC(featuresCol="_features", labelCol="_y", maxIter=most)
+        # a fit is hundreds of short jobs one after the other: those of the folds and of all rows run side by side
+        fits = [f for f in range(folds) if seen(f, 0.0) and seen(f, 1.0)] + [None] * (seen(None, 0.0) > 0 and seen(None, 1.0) > 0)
+        with ThreadPoolExecutor(max(len(fits), 1)) as pool:
+            fit = inheritable_thread_target(train.sparkSession)(lambda f: svc.fit(one if f is None else one.where(F.col("_fold") != f)))
+            models = dict(zip(fits, pool.map(fit, fits)))
         held = None
-        for f in range(folds):
-            if seen(f, 0.0) and seen(f, 1.0):
-                m = svc.fit(one.where(F.col("_fold") != f))
+        for f, m in models.items():
+            if f is None:
+                weights.append([float(x) for x in m.coefficients.toArray()])
+                biases.append(float(m.intercept))
+            else:
                 part = one.where(F.col("_fold") == f).select(
                     margin_of(features, m.coefficients.toArray(), m.intercept).alias("margin"), F.col("_y").alias("y"))
                 held = part if held is None else held.unionByName(part)
-        if seen(None, 0.0) and seen(None, 1.0):
-            m = svc.fit(one)
-            weights.append([float(x) for x in m.coefficients.toArray()])
-            biases.append(float(m.intercept))
-        else:
+        if None not in models:
             weights.append([0.0] * len(features))
             biases.append(1.0 if seen(None, 1.0) else -1.0)
         held = None if held is None else pin(held)

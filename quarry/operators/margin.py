@@ -2,7 +2,7 @@
 
 The fit minimises ``|w|^2 / 2 + C * sum(max(0, |y - xw - b| - epsilon))``. The corner of the loss is rounded over a width
 that shrinks fivefold from stage to stage; within a stage every step is one pass for gradient and curvature and one for
-the loss at all step lengths at once. Each task adds its rows to one small matrix, and the tasks' matrices are added up on
+the loss at several step lengths at once (a third where the shortest of them is best). Each task adds its rows to one small matrix, and the tasks' matrices are added up on
 ``width`` tasks, so the driver adds ``width`` matrices of (columns + 1) squared numbers a pass, whatever the rows. The rounding of the last stage changes
 the mean loss by at most half its width, which ``Margin.slack`` tells.
 """
@@ -20,8 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.merge import PART, merged, part
+from ..session import pin
 
 STEPS = 4.0 ** -np.arange(16)
+FIRST = 4  # step lengths whose losses are taken first
+BLOCK = 1 << 16
 
 
 @dataclass
@@ -49,30 +52,55 @@ class Margin:
         return df.withColumn("prediction", value)
 
 
-def summed(rows: DataFrame, columns: Sequence[str], told: Callable[[np.ndarray], np.ndarray], width: int = 16,
-           few: bool = False) -> np.ndarray:
-    """The sum of ``told(block of rows)`` over all rows. ``few``: the rows lie in ``width`` partitions at most, whose sums
-    the driver can add up as they are."""
-    columns = list(columns)
+def _blocks(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["n", "block"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            n += batch.num_rows
+            if n >= BLOCK:
+                yield block()
+                held, n = [], 0
+        if n:
+            yield block()
+
+    return rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "n long, block binary")
 
+
+def packed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles, in pinned blocks of about ``BLOCK`` rows: a pass reads bytes, and no row on its own."""
+    return pin(_blocks(rows, columns))
+
+
+def summed(rows: DataFrame, columns: Sequence[str] | None, told: Callable[[np.ndarray], np.ndarray], width: int = 16,
+           few: bool = False) -> np.ndarray:
+    """The sum of ``told(block of rows)`` over all rows. ``columns``: None for rows that are ``packed``. ``few``: the rows lie in
+    ``width`` partitions at most, whose sums the driver can add up as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                block = batch.slice(at, 8192)
-                x = told(np.column_stack([c.to_numpy(zero_copy_only=False) for c in block.columns]))
-                total = x if total is None else total + x
+            for n, block in zip(*batch.columns):
+                values = np.frombuffer(block.as_buffer(), np.float64).reshape(n.as_py(), -1)
+                for at in range(0, len(values), 8192):
+                    x = told(values[at:at + 8192])
+                    total = x if total is None else total + x
         if total is not None:
             yield part(0, TaskContext.get().partitionId() % width, total)
 
-    some = rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, PART)
+    some = (rows if columns is None else _blocks(rows, columns)).mapInArrow(run, PART)
     some = some if few else merged(some)
     return np.sum([np.frombuffer(r["m"], np.float64) for r in sorted(some.collect(), key=lambda r: r["task"])], axis=0)
 
 
 def fit_svr(train: DataFrame, features: Sequence[str], label: str = "label", c: float = 1.0, epsilon: float = 0.1,
             stages: int = 7, most: int = 12, tolerance: float = 1e-5) -> Margin:
-    """The line of least regularised epsilon-insensitive loss. ``train`` is read once a pass: pin it first.
+    """The line of least regularised epsilon-insensitive loss. ``train`` is read twice, and packed for the passes.
 
     A row with a null in a feature or the label is left out. A table without such rows is an error; one row or a constant
     feature is none. Repeated rows count as often as they stand there.
@@ -108,13 +136,16 @@ def fit_svr(train: DataFrame, features: Sequence[str], label: str = "label", c:
             return np.concatenate([g, (band.T @ band / delta).ravel()])
         return told
 
-    def losses(w, p, delta):
+    def losses(w, p, delta, steps):
         def told(block):
             z, y = design(block)
             r, dr = z @ w - y, z @ p
-            return np.array([rounded(np.abs(r + s * dr) - epsilon, delta).sum() for s in STEPS])
+            return np.array([rounded(np.abs(r + s * dr) - epsilon, delta).sum() for s in steps])
         return told
 
+    def objectives(w, p, delta, steps):
+        return summed(blocks, None, losses(w, p, delta, steps)) / n + np.array([(penalty * (w + s * p) ** 2).sum() / 2 for s in steps])
+
     def exact(w):
         def told(block):
             z, y = design(block)
@@ -122,17 +153,19 @@ def fit_svr(train: DataFrame, features: Sequence[str], label: str = "label", c:
         return told
 
     w, passes, delta = np.zeros(d + 1), 0, 4.0 * spread
-    columns = [*features, label]
+    blocks = packed(train, [*features, label])
     for stage in range(stages):
         value = None
         for _ in range(most):
-            got = summed(train, columns, slopes(w, delta)) / n
+            got = summed(blocks, None, slopes(w, delta)) / n
             g = got[:d + 1] + penalty * w
             h = got[d + 1:].reshape(d + 1, d + 1) + np.diag(penalty + ridge)
             p = -np.linalg.solve(h, g)
-            tried = summed(train, columns, losses(w, p, delta)) / n
-            tried = tried + np.array([(penalty * (w + s * p) ** 2).sum() / 2 for s in STEPS])
+            tried = objectives(w, p, delta, STEPS[:FIRST])
             passes += 2
+            if np.argmin(tried) == FIRST - 1:  # else the loss, being convex, only grows over the shorter steps
+                tried = np.concatenate([tried, objectives(w, p, delta, STEPS[FIRST:])])
+                passes += 1
             best = int(np.argmin(tried))
             if value is not None and tried[best] >= value:
                 break
@@ -143,6 +176,6 @@ def fit_svr(train: DataFrame, features: Sequence[str], label: str = "label", c:
                 break
         delta /= 5.0
     weights = w[:d] / std
-    loss = float(summed(train, columns, exact(w))[0])
+    loss = float(summed(blocks, None, exact(w))[0])
     return Margin(features, weights.tolist(), float(w[d] + base - weights @ centre),
                   float((weights ** 2).sum() / 2 + c * loss), float(c * n * delta * 5 / 2), passes + 1)

@@ -1,7 +1,7 @@
 """Neural-network classifier: one layer of rectified units and a softmax, fitted by Adam on mini-batches.
 
-Every row belongs to one of ``batches`` mini-batches, each pinned as a table of its own. A step reads one of them: each task
-adds up the gradients of its Arrow blocks, the tasks' sums are added up on a fixed number of tasks, and the driver gets as many
+Every row belongs to one of ``batches`` mini-batches, each pinned as packed blocks of its own. A step reads one of them: each task
+adds up the gradients of its blocks, the tasks' sums are added up on a fixed number of tasks, and the driver gets as many
 gradients as those, whatever the rows. Rows with a null in a feature or the label are not learned from; in scoring a null
 counts as the feature's mean.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import pin
-from .margin import summed
+from .margin import packed, summed
 
 
 def layers(w: np.ndarray, d: int, hidden: int, k: int) -> tuple[np.ndarray, ...]:
@@ -80,7 +80,7 @@ class Network:
                 z = np.where(np.isnan(x), 0.0, (x - mean) / std)
                 p = forward(z, w, hidden, k)[1]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:len(keep)], pa.array(p.argmax(axis=1).astype(np.float64)), pa.array(p.tolist(), pa.list_(pa.float64()))],
+                    [*batch.columns[:len(keep)], pa.array(p.argmax(axis=1).astype(np.float64)), pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * k), pa.array(p.ravel()))],
                     [*keep, "prediction", "probability"])
 
         schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("prediction", T.DoubleType()),
@@ -106,7 +106,7 @@ def fit_network(train: DataFrame, features: Sequence[str], classes: int, label:
         raise ValueError("no rows to fit on")
     mean, std = np.array(told[1::2], float), np.array(told[2::2], float)
     std = np.where(std > 0, std, 1.0)
-    parts = [pin(rows.where(F.col("_batch") == i)) for i in range(batches)]
+    parts = [packed(rows.where(F.col("_batch") == i), columns) for i in range(batches)]
     few = rows.rdd.getNumPartitions() <= width  # of a written table: nothing is computed for it
 
     rng = np.random.default_rng(seed)
@@ -121,7 +121,7 @@ def fit_network(train: DataFrame, features: Sequence[str], classes: int, label:
     for _ in range(rounds):
         lost = 0.0
         for part in parts:
-            got = summed(part, columns, at(w), width, few)
+            got = summed(part, None, at(w), width, few)
             if np.ndim(got) == 0:  # no row fell into this one
                 continue
             lost += got[0]

@@ -1,8 +1,12 @@
 """Steps that did more work than their input asks for: results as before, work in proportion."""
 
+import threading
+
 import numpy as np
 
-from quarry.operators import trees
+from pyspark.ml.classification import LinearSVC
+
+from quarry.operators import calibrate, margin, trees
 
 
 def _unpacked(block):
@@ -36,3 +40,39 @@ def test_boosting_on_cells_is_boosting_on_rows(spark):
         trees.BLOCK = size
     assert once.splits() == many.splits()
     assert all((s.value == t.value).all() for r, q in zip(once.rounds, many.rounds) for s, t in zip(r, q))
+
+
+def test_sums_over_packed_blocks(spark):
+    df = spark.range(1000).selectExpr("cast(id as double) a", "id * 2 b").repartition(3)
+    told = lambda x: np.array([x[:, 0].sum(), x[:, 1].sum(), len(x)])
+    size, margin.BLOCK = margin.BLOCK, 50
+    try:
+        blocks = margin.packed(df, ["a", "b"])
+    finally:
+        margin.BLOCK = size
+    assert blocks.count() < 10  # an Arrow batch or more each, not rows
+    assert margin.summed(blocks, None, told).tolist() == margin.summed(df, ["a", "b"], told).tolist() == [499500.0, 999000.0, 1000.0]
+
+
+def test_support_vector_folds_are_fitted_side_by_side(spark, monkeypatch):
+    rows = [(float(i % 7), float(i % 3), float(i % 7 > 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    barrier, fit = threading.Barrier(4, timeout=60), LinearSVC.fit
+
+    def meet(self, table):
+        barrier.wait()  # breaks if the four fits do not run at the same time
+        return fit(self, table)
+
+    monkeypatch.setattr(LinearSVC, "fit", meet)
+    got = calibrate.fit_calibrated(df, ["a", "b"], 2, most=5)
+    assert len(got.weights) == 1 and got.curves[0][0] > 0
+
+
+def test_svr_takes_the_shorter_steps_when_needed(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.normal(size=200)
+    df = spark.createDataFrame([(float(a), float(3 * a + 1 + e)) for a, e in zip(x, r.normal(size=200))], "a double, label double")
+    few = margin.fit_svr(df, ["a"])
+    monkeypatch.setattr(margin, "FIRST", len(margin.STEPS))  # all at once, as before
+    every = margin.fit_svr(df, ["a"])
+    assert few.weights == every.weights and few.bias == every.bias
