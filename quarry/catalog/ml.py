@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calibrate, network
@@ -226,12 +229,9 @@ def q_reg_predictions(spark, sf):
     """algorithm, key, label, prediction of every test row, for the regressions that SQL cannot follow."""
     prep, feats = M.ml_prepare(lineitem_reg(spark, sf), "y", LI_KEY, ["l_quantity", "l_discount", "l_tax"], "regression")
     split = pin(M.ml_split(prep, LI_KEY, None))
-    out = None
-    for name in ("Decision Tree", "Random Forest", "Gradient Boosting"):
-        pred = M.fit_predict(name, "regression", split.where(~F.col("is_test")), split.where(F.col("is_test")), feats, LI_KEY)[0].select(
-            F.lit(name).alias("algorithm"), "*")
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    return reduce(DataFrame.unionByName, M.fit_predict_each(
+        ("Decision Tree", "Random Forest", "Gradient Boosting"), "regression", split.where(~F.col("is_test")), split.where(F.col("is_test")),
+        feats, LI_KEY))
 
 
 @register("reg_linear_1f", """
@@ -421,11 +421,8 @@ def q_clf_bayes_predictions(spark, sf):
 def q_clf_predictions(spark, sf):
     """algorithm, o_orderkey, label, prediction of every test row, for the classifiers that SQL cannot follow."""
     train, test, feats = _ord_split(spark, sf)
-    out = None
-    for name in ("Logistic Regression", "Random Forest", "Gradient Boosting", "SVM", "Neural Network"):
-        pred = M.fit_predict(name, "classification", train, test, feats, ORD_KEY)[0].select(F.lit(name).alias("algorithm"), "*")
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    names = ("Logistic Regression", "Random Forest", "Gradient Boosting", "SVM", "Neural Network")
+    return reduce(DataFrame.unionByName, M.fit_predict_each(names, "classification", train, test, feats, ORD_KEY))
 
 
 @register("clf_mlp_probabilities")
