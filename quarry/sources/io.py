@@ -17,6 +17,9 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # order in which a text column is tried: whole numbers, then decimals, booleans (True / False), then timestamps
 _INFER_ORDER = ["bigint", "double", "boolean", "timestamp_ntz"]
 
+# what may be a whole number: a cast that fails costs far more than this look
+WHOLE = r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$"
+
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -64,6 +67,8 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
     for c in clean.columns:
         for ty in _INFER_ORDER:
             parsed = F.expr(_parsed(c, ty))
+            if ty == "bigint":
+                parsed = F.when(F.col(c).rlike(WHOLE), parsed)
             checks.append(F.count_if(F.col(c).isNotNull() & parsed.isNull()).alias(f"{c}\u0001{ty}"))
         checks.append(F.count(F.col(c)).alias(f"{c}\u0001n"))
     bad = clean.agg(*checks).first().asDict()  # one row: 4 counters per column
