@@ -6,11 +6,11 @@ Null texts are dropped; an input with no text is the caller's concern (``require
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +90,9 @@ def entities(df: DataFrame, key: Key, text: str = "text", limit: int | None = No
 
     def tagged(pattern: str, kind: str) -> Column:
         found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
-        return F.transform(found, lambda e: F.struct(
-            e.alias("entity"), F.lit(kind).alias("type"), (F.instr(s, e) - 1).alias("start"),
-            (F.instr(s, e) - 1 + F.length(e)).alias("end")))
+        at = F.transform(found, lambda e: F.struct(e.alias("e"), (F.instr(s, e) - 1).alias("at")))  # looked up once
+        return F.transform(at, lambda x: F.struct(
+            x["e"].alias("entity"), F.lit(kind).alias("type"), x["at"].alias("start"), (x["at"] + F.length(x["e"])).alias("end")))
 
     allx = F.concat(tagged(PERSON_PATTERN, "PERSON"), tagged(DATE_PATTERN, "DATE"), tagged(MONEY_PATTERN, "MONEY"))
     return t.select(*_keys(key), (allx if limit is None else F.slice(allx, 1, limit)).alias("entities"))
@@ -191,13 +191,14 @@ def language(df: DataFrame, key: Key, text: str = "text") -> DataFrame:
 
 def _top_terms(terms: Column, k: int) -> Column:
     """Top-k of an array of terms by count, ties by first position; nulls are no terms."""
-    @F.pandas_udf("array<string>")
-    def top(rows: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def top(rows: pa.Array) -> pa.Array:
         out = []
-        for r in rows:
-            seen = Counter(x for x in r if x is not None)  # keeps the order of first use
-            out.append([w for w, _ in sorted(seen.items(), key=lambda p: -p[1])[:k]])
-        return pd.Series(out)
+        for r in rows:  # the words of one text at a time: those of a batch are many, and become no Python strings
+            seen = r.values.drop_null().value_counts() if r.is_valid else pa.array([], pa.struct({"values": pa.string(), "counts": pa.int64()}))
+            first = np.argsort(-seen.field("counts").to_numpy(), kind="stable")[:k]  # kept in the order of first use
+            out.append(seen.field("values").take(pa.array(first)).to_pylist())
+        return pa.array(out, pa.list_(pa.string()))
 
     return top(terms)
 
@@ -245,10 +246,9 @@ def text_task(name: str, df: DataFrame, key: Key, text: str = "text") -> DataFra
 # ---------------------------------------------------------------- metrics and findings
 
 
-def _top1(df: DataFrame, c: str) -> DataFrame:
-    """(value, count) of the most common value, smallest value on ties: a distributed top-1."""
-    return (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.col("count").desc(), F.col("value")).limit(1))
+def _top1(value: Column, n: Column) -> Column:
+    """(value, n) of the most common value of grouped counts, smallest value on ties: an aggregate."""
+    return F.min(F.when(value.isNotNull(), F.struct((-n).alias("less"), value.alias("value"), n.alias("n"))))
 
 
 def metrics_sentiment(res: DataFrame) -> DataFrame:
@@ -259,11 +259,11 @@ def metrics_sentiment(res: DataFrame) -> DataFrame:
 
 
 def _metrics_label(res: DataFrame, c: str, plural: str) -> DataFrame:
-    top = _top1(res, c)
-    return res.agg(F.count(F.lit(1)).alias("total_texts"), F.count_distinct(c).alias(f"unique_{plural}"),
-                   F.avg("confidence").alias("avg_confidence")).select(
-        "total_texts", f"unique_{plural}", F.coalesce(top.select("value").scalar(), F.lit("none")).alias(f"most_common_{c}"),
-        "avg_confidence")
+    """One pass over the rows: everything comes from sums by label."""
+    by = res.groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("s"), F.count("confidence").alias("m"))
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_texts"), F.count(c).alias(f"unique_{plural}"),
+                  F.coalesce(_top1(F.col(c), F.col("n"))["value"], F.lit("none")).alias(f"most_common_{c}"),
+                  F.try_divide(F.sum("s"), F.sum("m")).alias("avg_confidence"))
 
 
 def metrics_classification(res: DataFrame) -> DataFrame:
@@ -278,13 +278,21 @@ def metrics_language(res: DataFrame) -> DataFrame:
     return _metrics_label(res, "language", "languages")
 
 
+def _entity_types(res: DataFrame) -> DataFrame:
+    """type, n, texts, arrays: entities by type; texts are counted with their first entity, or under null if they have none."""
+    each = res.select(F.col("entities").isNotNull().alias("has"), F.posexplode_outer("entities.type").alias("pos", "type"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    return each.groupBy("type").agg(F.count("pos").alias("n"), F.count_if(first).alias("texts"), F.count_if(first & F.col("has")).alias("arrays"))
+
+
 def metrics_entities(res: DataFrame) -> DataFrame:
-    types = res.select(F.explode("entities.type").alias("type"))
-    top = _top1(types, "type")
-    return res.agg(F.count(F.lit(1)).alias("total_texts"), F.sum(F.size("entities")).cast("bigint").alias("total_entities")
-                   ).select("total_texts", "total_entities",
-                            F.try_divide(F.col("total_entities"), F.col("total_texts")).cast("double").alias("avg_entities_per_text"),
-                            F.coalesce(top.select("value").scalar(), F.lit("none")).alias("most_common_entity_type"))
+    """One pass over the rows: everything comes from sums by type."""
+    n, texts = F.sum("n"), F.coalesce(F.sum("texts"), F.lit(0))
+    return _entity_types(res).agg(
+        texts.alias("total_texts"), F.when(F.sum("arrays") > 0, n).alias("total_entities"), _top1(F.col("type"), F.col("n"))["value"].alias("_top")
+    ).select("total_texts", "total_entities",
+             F.try_divide(F.col("total_entities"), F.col("total_texts")).cast("double").alias("avg_entities_per_text"),
+             F.coalesce("_top", F.lit("none")).alias("most_common_entity_type"))
 
 
 def metrics_embedding(res: DataFrame, source: DataFrame, key: Key, text: str = "text") -> DataFrame:
@@ -321,12 +329,13 @@ def findings_text(sent: DataFrame, cls: DataFrame, ents: DataFrame, tops: DataFr
     n = F.col("total_texts")
     finding = (F.when(F.col("positive_count") > n * 0.6, FINDING_TITLES["positive"])
                .when(F.col("negative_count") > n * 0.6, FINDING_TITLES["negative"]).otherwise(FINDING_TITLES["mixed"]))
-    topc = _top1(cls, "category")
-    tope = _top1(ents.select(F.explode("entities.type").alias("type")), "type")
-    ncls = cls.select(F.count(F.lit(1))).scalar()
-    return ms.select(finding.alias("sentiment_finding"), topc.select("value").scalar().alias("top_category"),
-                     topc.select("count").scalar().alias("top_category_count"),
-                     (topc.select("count").scalar() * 100.0 / ncls).alias("top_category_pct"),
-                     tope.select("value").scalar().alias("top_entity_type"),
-                     tope.select("count").scalar().alias("top_entity_count"),
-                     tops.agg(F.count_distinct("topic")).scalar().alias("distinct_topics"))
+    # one row each, from one pass over each input
+    by = cls.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    topc = by.agg(_top1(F.col("category"), F.col("n")).alias("_c"), F.coalesce(F.sum("n"), F.lit(0)).alias("_n"))
+    tope = _entity_types(ents).agg(_top1(F.col("type"), F.col("n")).alias("_e"))
+    topics_ = tops.agg(F.count_distinct("topic").alias("distinct_topics"))
+    for one in (topc, tope, topics_):
+        ms = ms.crossJoin(F.broadcast(one))
+    return ms.select(finding.alias("sentiment_finding"), F.col("_c.value").alias("top_category"), F.col("_c.n").alias("top_category_count"),
+                     (F.col("_c.n") * 100.0 / F.col("_n")).alias("top_category_pct"),
+                     F.col("_e.value").alias("top_entity_type"), F.col("_e.n").alias("top_entity_count"), "distinct_topics")
