@@ -4,7 +4,8 @@ For a piece of bytes, ``last[i]`` is the one token that ends the correct encodin
 It is unique: a token ``t`` ending at ``i`` is right exactly if the encoding of the prefix before it ends in a
 token ``u`` such that no merge across the border of ``u`` and ``t`` would have come before the merges that
 made them. The table makes appends exact (only new positions are filled in) and lets an edit keep everything
-before it, so ``Prefixes`` supports ``append`` and ``edit`` without starting again.
+before it, so ``Prefixes`` supports ``append`` and ``edit`` without starting again. The new pieces of some
+texts are encoded in sorted order by one table, which is edited from each piece to the next.
 
 Inputs: null and empty texts have no tokens. Pieces are the matches of the split pattern; each is encoded
 separately, without special tokens. Bytes that cannot be decoded are never produced, as all 256 single bytes
@@ -24,9 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import byte_lengths, portions
+
 CACHE = 900_000  # distinct chunks, and pieces and id runs of them, before a worker starts that cache again
 LONG = 200  # characters of a chunk that is not remembered
 SHORT = (2, 1)  # lengths of tokens where none of three bytes or more can end
+PORTION = 4 << 20  # bytes of the texts whose new chunks are encoded together
 PAIRS = 3_000_000  # token pairs whose test a worker remembers
 
 
@@ -41,12 +45,18 @@ class Vocabulary:
         self.left, self.right = left.tolist(), right.tolist()
         self.merged = {(a, b): i for i, (a, b) in enumerate(zip(self.left, self.right)) if len(tokens[i]) > 1}
         self.size = len(tokens)
-        # by its last three bytes, the lengths of the tokens that end so (the first levels of a trie of reversed tokens)
+        # by its last three bytes (and five, where longer ones end so), the lengths of the tokens that end so (levels of a trie of
+        # reversed tokens)
         found: dict[bytes, set[int]] = {}
         for t in tokens:
             if len(t) > 2:
                 found.setdefault(t[-3:], {1, 2}).add(len(t))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+        long: dict[bytes, set[int]] = {}
+        for t in tokens:
+            if len(t) > 4:
+                long.setdefault(t[-5:], {n for n in found[t[-3:]] if n < 3 or n < 5 and t[-n:] in self.rank}).add(len(t))
+        self.long = {k: tuple(sorted(v, reverse=True)) for k, v in long.items()}
+        self.lengths = {k: tuple(n for n in (4, 3, 2, 1) if n in v) for k, v in found.items()}
         self.fits: dict[int, bool] = {}
 
     @classmethod
@@ -106,12 +116,12 @@ class Prefixes:
 
     def append(self, more: bytes) -> Prefixes:
         v, last, size = self.vocab, self.last, self.vocab.size
-        rank, fits, lengths = v.rank.get, v.fits.get, v.lengths.get
+        rank, fits, lengths, long = v.rank.get, v.fits.get, v.lengths.get, v.long.get
         start, self.data = len(self.data), self.data + more
         data = self.data
         put, adjacent = last.append, v.adjacent
         for end in range(start + 1, len(data) + 1):
-            for n in lengths(data[end - 3:end], SHORT) if end > 2 else SHORT:
+            for n in (end > 4 and long(data[end - 5:end])) or (lengths(data[end - 3:end], SHORT) if end > 2 else SHORT):
                 if n <= end:
                     t = rank(data[end - n:end])
                     if t is not None:
@@ -165,41 +175,65 @@ class Encoder:
             return [whole]
         return Prefixes(self.vocab, data).ids()
 
-    def _chunk(self, chunk: str) -> str:
-        found = self.split.findall(chunk)
-        if len(found) == 1:  # remembered as a chunk
-            return " ".join(map(str, self.encode_piece(chunk)))
-        out = []
-        for p in found:
-            ids = self.pieces.get(p)
-            if ids is None:
-                if len(self.pieces) > CACHE:
-                    self.pieces.clear()
-                ids = " ".join(map(str, self.encode_piece(p)))
-                if len(p) <= LONG:
-                    self.pieces[p] = ids
-            out.append(ids)
-        return " ".join(out)
-
-    def encode_parts(self, text: str) -> list[str]:
-        """Ids in decimal, joined by one space, of successive parts of the text."""
+    def _cut(self, text: str) -> list[str]:
+        """The chunks of a text, encoded one by one."""
         if not text:
             return []
         if any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or self.other.search(text):
-            return [self._chunk(text)]
-        parts = list(filter(None, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
-        if max(map(len, parts)) > LONG:
-            return [self._chunk(p) for p in parts]
+            return [text]
+        return list(filter(None, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
+
+    def _learn(self, pieces: set[str]) -> dict[str, str]:
+        """The ids of some pieces. In sorted order, each piece keeps the table of what it shares with the one before."""
+        rank, table, out = self.vocab.rank.get, Prefixes(self.vocab), {}
+        for piece in sorted(pieces):
+            data = piece.encode()
+            whole = rank(data)
+            if whole is not None:
+                out[piece] = str(whole)
+                continue
+            have, same = table.data, 0
+            for x, y in zip(have, data):
+                if x != y:
+                    break
+                same += 1
+            out[piece] = " ".join(map(str, table.edit(same, len(have), data[same:]).ids()))
+        return out
+
+    def _chunks(self, chunks: set[str]) -> dict[str, str]:
+        """The ids of some chunks, by way of their pieces."""
+        lone, many = set(), {}
+        for c in chunks:
+            f = self.split.findall(c)
+            if len(f) == 1:  # remembered as a chunk
+                lone.add(c)
+            else:
+                many[c] = f
+        known = self.pieces
+        if len(known) > CACHE:
+            known.clear()
+        parts = set().union(*many.values())
+        new = self._learn(lone.union(parts).difference(known))
+        out = {c: new[c] if c in new else known[c] for c in lone}
+        out.update((c, " ".join([new[p] if p in new else known[p] for p in f])) for c, f in many.items())
+        known.update((p, new[p]) for p in parts if p in new and len(p) <= LONG)
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[list[str]]:
+        """``encode_parts`` of each text; chunks not seen before are encoded together."""
+        cuts = [self._cut(t) for t in texts]
         known = self.chunks
-        try:
-            return list(map(known.__getitem__, parts))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = self._chunk(p)
-            return list(map(known.__getitem__, parts))
+        if len(known) > CACHE:
+            known.clear()
+        new = self._chunks(set().union(*cuts).difference(known))
+        long = {c: new.pop(c) for c in [c for c in new if len(c) > LONG]}
+        known.update(new)
+        return [[long[p] if p in long else known[p] for p in parts] if long else list(map(known.__getitem__, parts))
+                for parts in cuts]
+
+    def encode_parts(self, text: str) -> list[str]:
+        """Ids in decimal, joined by one space, of successive parts of the text."""
+        return self.encode_many([text])[0]
 
     def encode_joined(self, text: str) -> str:
         return " ".join(self.encode_parts(text))
@@ -212,12 +246,12 @@ class Encoder:
 
     def decode_parts(self, parts: list[str]) -> bytes:
         """The bytes of the ids of all parts; runs of ids seen before are remembered."""
-        if not parts or max(map(len, parts)) > 8 * LONG:
-            return b"".join(map(self.decode_joined, parts))
         known = self.decoded
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
+            if max(map(len, parts)) > 8 * LONG:
+                return b"".join(map(self.decode_joined, parts))
             if len(known) > CACHE:
                 known.clear()
             for p in parts:
@@ -245,11 +279,10 @@ def encode_column(docs: DataFrame, vocab_path: str, pattern: str, text: str = "t
         if enc is None:
             enc = _encoders[tag] = Encoder(Vocabulary(*shared.value), pattern)
         for batch in batches:
-            for part in range(0, batch.num_rows, 1000):
-                rows = batch.slice(part, 1000)
+            for i, j in portions(byte_lengths(batch.column(1)), size=PORTION):
+                rows = batch.slice(i, j - i)
                 counts, first, second = [], [], []
-                for value in rows.column(1):
-                    found = enc.encode_parts(value.as_py() or "")
+                for found in enc.encode_many([v or "" for v in rows.column(1).to_pylist()]):
                     ids = " ".join(found)
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     if digest:

@@ -57,6 +57,18 @@ def test_appends_and_edits_are_exact(vocab, library):
         assert p.ids(k) == library._core_bpe.encode_single_piece(data[:k])
 
 
+def test_new_pieces_share_the_table_of_their_common_beginnings(vocab, library, monkeypatch):
+    words = ["xqthzk" + a + b + c for a in "bcdfg" for b in "hjklm" for c in "npqrs"]
+    random.Random(4).shuffle(words)
+    filled, append = [], bpe.Prefixes.append
+    monkeypatch.setattr(bpe.Prefixes, "append", lambda self, more: (filled.append(len(more)), append(self, more))[1])
+    enc, texts = bpe.Encoder(vocab, PATTERN), [" ".join(words[:60]), "", " ".join(words[60:])]
+    assert enc.encode(" ".join(texts[:1] + texts[2:])) == library.encode_ordinary(" ".join(texts[:1] + texts[2:]))
+    assert sum(filled) < sum(map(len, words)) / 3
+    many = bpe.Encoder(vocab, PATTERN).encode_many(texts)
+    assert [[int(x) for x in " ".join(m).split()] for m in many] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_encoding_of_odd_rows(docs, nothing, library):
     rows = bpe.encode_column(docs, PATH, PATTERN).collect()
     texts = Counter(r[0] or "" for r in docs.select("text").collect())
