@@ -58,6 +58,17 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return gram, row[at], shares * 10, np.diff(begins[start])
 
 
+def sample_features(texts: list[str]) -> tuple[list[tuple], np.ndarray]:
+    """``features`` of some texts, made of about 1 MB of them at a time: (from, to, 4-grams, their rows); the shares of all."""
+    col = pa.array(texts, pa.string())
+    parts, shares = [], []
+    for i, j in portions(byte_lengths(col), size=1 << 20):
+        gram, row, share, _ = features(col.slice(i, j - i))
+        parts.append((i, j, gram, row.astype(np.int32)))
+        shares.append(share)
+    return parts, np.concatenate(shares)
+
+
 class Classifier:
     def __init__(self, domains: list[str]):
         k = len(domains)
@@ -65,25 +76,34 @@ class Classifier:
         self.gram, self.share, self.bias = np.zeros((GRAMS, k), np.float32), np.zeros((6, k), np.float32), np.zeros(k, np.float32)
 
     def posteriors(self, gram, row, shares) -> np.ndarray:
+        return self._posteriors([(0, len(shares), gram, row)], shares)
+
+    def _posteriors(self, parts: list[tuple], shares: np.ndarray) -> np.ndarray:
         out = shares @ self.share + self.bias
-        n = np.bincount(row, minlength=len(out))
-        for k in range(out.shape[1]):
-            out[:, k] += np.bincount(row, self.gram[gram, k], len(out)) / np.sqrt(np.maximum(n, 1))
+        for i, j, gram, row in parts:
+            root = np.sqrt(np.maximum(np.bincount(row, minlength=j - i), 1))
+            for k in range(out.shape[1]):
+                out[i:j, k] += np.bincount(row, self.gram[gram, k], j - i) / root
         out = np.exp(out - out.max(axis=1, keepdims=True))
         return out / out.sum(axis=1, keepdims=True)
 
     def train(self, texts: list[str], y: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> None:
         """Adagrad on the whole sample; classes weigh the same."""
-        gram, row, shares, _ = features(pa.array(texts, pa.string()))
+        parts, shares = sample_features(texts)
         k, n = len(self.domains), len(texts)
         weight = (1 / np.maximum(np.bincount(y, minlength=k), 1))[y] / k
-        scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
+        scales = [1 / np.sqrt(np.maximum(np.bincount(row, minlength=j - i), 1)) for i, j, _, row in parts]
+        every = np.arange(GRAMS)
         sums = [np.full(x.shape, 1e-8, np.float32) for x in (self.gram, self.share, self.bias)]
         for _ in range(rounds):
-            e = self.posteriors(gram, row, shares)
+            e = self._posteriors(parts, shares)
             e[np.arange(n), y] -= 1
             e *= weight[:, None]
-            g = np.stack([np.bincount(gram, (e[:, j] * scale)[row], GRAMS) for j in range(k)], axis=1)
+            g = np.zeros((GRAMS, k))
+            for (i, j, gram, row), scale in zip(parts, scales):  # the sums so far come first: added in the order of the rows
+                ids = np.concatenate((every, gram))
+                for c in range(k):
+                    g[:, c] = np.bincount(ids, np.concatenate((g[:, c], (e[i:j, c] * scale)[row])), GRAMS)
             for x, s, d in zip((self.gram, self.share, self.bias), sums, (g + decay * self.gram, shares.T @ e, e.sum(axis=0))):
                 s += d * d
                 x -= (rate * 0.2 * d / np.sqrt(s)).astype(np.float32)

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from .common import byte_lengths, portions, prefix_hash, span_hash, word_bounds
 
 H, WORD, CHAR, GRAMS = 8, 8, 8, 1 << 17
+BLOCK = 1 << 14  # words whose hashes or character vectors are held at once
 
 
 class Words:
@@ -37,13 +38,21 @@ class Words:
         raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         start, end = word_bounds(data)
-        s = prefix_hash(data)
-        h = span_hash(s, start, end)
+        h = np.empty(len(start), np.uint64)
+        for i in range(0, len(start), BLOCK):  # hashes of a block at a time: they take several words a byte
+            a, b = start[i:i + BLOCK], end[i:i + BLOCK]
+            h[i:i + len(a)] = span_hash(prefix_hash(data[a[0]:b[-1]]), a - a[0], b - a[0])
         self.hash, first, self.number = np.unique(h, return_index=True, return_inverse=True)
         place = np.cumsum([0] + [len(r) + 1 for r in raw])
         self.first = np.searchsorted(start, place)  # of each text, and the total
-        # bytes of the distinct words, each between two marks
-        a, b = start[first], end[first]
+        blocks = [self._grams(data, start[first[i:i + BLOCK]], end[first[i:i + BLOCK]]) for i in range(0, len(first), BLOCK)]
+        none = [np.empty(0, np.int64)]
+        self.gram = np.concatenate(none + [g for g, _ in blocks])
+        self.owner = np.concatenate(none + [o + i * BLOCK for i, (_, o) in enumerate(blocks)])
+
+    @staticmethod
+    def _grams(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashed 4- and 5-grams of the words data[a:b], each between two marks, and the word of each."""
         n = b - a + 2
         off = np.cumsum(n) - n
         flat = np.zeros(int(n.sum()), np.uint8)
@@ -59,9 +68,9 @@ class Words:
             e = np.minimum(g + k, g + left[g])
             grams.append((span_hash(p, g, e) & np.uint64(GRAMS - 1)).astype(np.int64))
             owner.append(np.repeat(np.arange(len(n)), n)[g])
-        self.gram, owner = np.concatenate(grams), np.concatenate(owner)
+        gram, owner = np.concatenate(grams), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        self.gram, self.owner = self.gram[order], owner[order]
+        return gram[order], owner[order]
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(text of each window, word numbers padded by -1); each overlaps the next by a quarter."""
@@ -121,9 +130,12 @@ class Network:
         scale = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
         out = np.zeros((len(row) + 1, WORD + CHAR), np.float32)
         out[:-1, :WORD] = self.word[row]
-        if len(words.owner):
-            first = np.flatnonzero(np.diff(words.owner, prepend=-1))
-            out[words.owner[first], WORD:] = np.add.reduceat(self.char[words.gram], first) * scale[words.owner[first], None]
+        for i in range(0, len(row), BLOCK):
+            a, b = np.searchsorted(words.owner, (i, i + BLOCK))
+            if a < b:
+                owner = words.owner[a:b]
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                out[owner[first], WORD:] = np.add.reduceat(self.char[words.gram[a:b]], first) * scale[owner[first], None]
         return out, row, scale
 
     def _gru(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None):
