@@ -18,6 +18,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +44,27 @@ class Vocabulary:
         if left is None:
             left, right = self._splits()
         self.left, self.right = left.tolist(), right.tolist()
-        self.merged = {(a, b): i for i, (a, b) in enumerate(zip(self.left, self.right)) if len(tokens[i]) > 1}
         self.size = len(tokens)
-        # by its last three bytes (and five, where longer ones end so), the lengths of the tokens that end so (levels of a trie of
-        # reversed tokens)
+        self.fits: dict[int, bool] = {}
+
+    @cached_property
+    def merged(self) -> dict[tuple[int, int], int]:
+        return {(a, b): i for i, (a, b) in enumerate(zip(self.left, self.right)) if len(self.tokens[i]) > 1}
+
+    @cached_property
+    def ends(self) -> tuple[dict[bytes, tuple[int, ...]], dict[bytes, tuple[int, ...]]]:
+        """By the last three bytes, and by the last five where longer ones end so, the lengths of the tokens that end so
+        (levels of a trie of reversed tokens). Made where texts are encoded, not on the driver."""
         found: dict[bytes, set[int]] = {}
-        for t in tokens:
+        for t in self.tokens:
             if len(t) > 2:
                 found.setdefault(t[-3:], {1, 2}).add(len(t))
         long: dict[bytes, set[int]] = {}
-        for t in tokens:
+        for t in self.tokens:
             if len(t) > 4:
                 long.setdefault(t[-5:], {n for n in found[t[-3:]] if n < 3 or n < 5 and t[-n:] in self.rank}).add(len(t))
-        self.long = {k: tuple(sorted(v, reverse=True)) for k, v in long.items()}
-        self.lengths = {k: tuple(n for n in (4, 3, 2, 1) if n in v) for k, v in found.items()}
-        self.fits: dict[int, bool] = {}
+        return ({k: tuple(n for n in (4, 3, 2, 1) if n in v) for k, v in found.items()},
+                {k: tuple(sorted(v, reverse=True)) for k, v in long.items()})
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -116,7 +123,7 @@ class Prefixes:
 
     def append(self, more: bytes) -> Prefixes:
         v, last, size = self.vocab, self.last, self.vocab.size
-        rank, fits, lengths, long = v.rank.get, v.fits.get, v.lengths.get, v.long.get
+        rank, fits, lengths, long = v.rank.get, v.fits.get, v.ends[0].get, v.ends[1].get
         start, self.data = len(self.data), self.data + more
         data = self.data
         put, adjacent = last.append, v.adjacent
