@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,18 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def made_in_task(sample: DataFrame, make: Callable[[list[tuple]], Any]) -> Any:
+    """What ``make`` returns for the rows of a bounded sample, made in a task: only the result reaches the driver, not the
+    sample and what training on it takes. None without rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(rows))], pa.binary())], ["made"])
+
+    got = sample.repartition(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(got[0][0]) if got else None
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

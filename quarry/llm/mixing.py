@@ -8,7 +8,8 @@ each step aggregates the domain totals and the domains' Gram matrix over all doc
 rate by its posterior times the preconditioned residual, cut at 0. Only a vector and a matrix over the domains
 reach the driver. A document's copies are the rate rounded up or down at random by a hash of its key.
 
-Training takes at most ``sample`` labelled rows of each domain (a documented bound, the first by a hash of the key).
+Training takes at most ``sample`` labelled rows of each domain (a documented bound, the first by a hash of the key), in
+one task.
 Domains without labelled rows are left out and their weight is shared by the others; with fewer than two, posteriors
 are uniform. Null and empty texts have no tokens, uniform posteriors from an empty input, and a rate as any other.
 Repeated rows get equal rates. Targets out of reach are approached in the least-squares sense. An empty table gives an
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, byte_lengths, portions, prefix_hash, save, span_hash
+from .common import SPACE, byte_lengths, made_in_task, portions, prefix_hash, save, span_hash
 from .perplexity import SYMBOL, _bytes
 
 GRAMS = 1 << 14
@@ -120,13 +121,17 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "do
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most sample * domains keys: safe to broadcast
     got = docs.join(F.broadcast(chosen), docs[key] == F.col("_k")).select("_k", "domain", docs[text])
-    rows = sorted(((r[0], r[1], r[2] or "") for r in got.collect()), key=lambda r: (r[0], r[1], r[2]))
-    present = [d for d in domains if any(r[1] == d for r in rows)]
-    model = Classifier(present if len(present) > 1 else list(domains))
-    if len(present) > 1:
-        model.train([r[2] for r in rows], np.array([present.index(r[1]) for r in rows]))
-        model.bias += np.log([counts[d] for d in present]).astype(np.float32)  # from even classes to their shares
-    return model
+
+    def make(rows: list[tuple]) -> Classifier:
+        rows = sorted((k, d, t or "") for k, d, t in rows)
+        present = [d for d in domains if any(r[1] == d for r in rows)]
+        model = Classifier(present if len(present) > 1 else list(domains))
+        if len(present) > 1:
+            model.train([r[2] for r in rows], np.array([present.index(r[1]) for r in rows]))
+            model.bias += np.log([counts[d] for d in present]).astype(np.float32)  # from even classes to their shares
+        return model
+
+    return made_in_task(got, make) or make([])
 
 
 def rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float = 1.0, rounds: int = 25,

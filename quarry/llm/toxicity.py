@@ -7,7 +7,7 @@ and backwards, attention pools their states, a linear layer gives a logit. A tex
 windows, mapped to a probability by a line fitted on the training texts.
 
 Training uses at most ``sample`` labelled texts of each class (a documented bound: the first by a hash of their key),
-joined to their texts; the model that comes of it has a fixed size and is broadcast. As labels are for texts, each
+joined to their texts, in one task; the model that comes of it has a fixed size and is broadcast. As labels are for texts, each
 round takes the windows that now score highest in every text, and some at random. Only the text is an input; labels
 are read only from rows that ``train`` admits.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_lengths, portions, prefix_hash, span_hash, word_bounds
+from .common import byte_lengths, made_in_task, portions, prefix_hash, span_hash, word_bounds
 
 H, WORD, CHAR, GRAMS = 8, 8, 8, 1 << 17
 BLOCK = 1 << 14  # words whose hashes or character vectors are held at once
@@ -366,8 +366,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * sample keys: safe to broadcast
     got = docs.join(F.broadcast(chosen), docs[key] == F.col("_k")).select("_k", "_y", F.coalesce(docs[text], F.lit("")).alias("_t"))
-    rows = sorted((r[0], r[1], r[2]) for r in got.collect())
-    return train([r[2] for r in rows], np.array([r[1] for r in rows], np.float32), prior, window)
+
+    def make(rows: list[tuple]) -> Network:
+        rows = sorted(rows)
+        return train([r[2] for r in rows], np.array([r[1] for r in rows], np.float32), prior, window)
+
+    return made_in_task(got, make) or make([])
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", column: str = "score", window: int = 32) -> DataFrame:

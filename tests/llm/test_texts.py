@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -86,6 +87,18 @@ def test_training_samples_are_taken_in_blocks():
     assert found["words"] < 65 and found["grams"] < 55  # bytes a byte of the sample; held whole: 95 and 66
 
 
+def test_training_runs_in_a_task(spark, docs, labels, monkeypatch):
+    """The driver's memory stays free of the samples and of what training on them takes."""
+    monkeypatch.setattr(toxicity, "train", lambda *_: os.getpid())
+    assert toxicity.fit(docs, labels) != os.getpid()
+
+    def here(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(mixing.Classifier, "train", here)
+    assert mixing.fit(docs, mixing.quality_domains(labels), ["good", "poor", "toxic"]).gram.any()
+
+
 def test_blocks_of_the_samples_change_nothing(monkeypatch):
     texts = ["", " ", "a", "Some wörds and some more " * 9, *(f"text {i} of " + "letters " * i for i in range(40))]
     whole, y = toxicity.Words(texts), np.arange(len(texts)) % 3
