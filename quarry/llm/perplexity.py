@@ -1,10 +1,12 @@
 """Quality rules and n-gram perplexity.
 
 The language model is modified Kneser-Ney of a fixed order over the UTF-8 bytes of each language. Tasks cut their rows
-into chunks and count the chunk's n-grams of the highest order with sorted arrays; Spark sums the counts and derives the
-continuation counts of the lower orders and, by windows over the at most 256 followers of a context, what every
-context counts. N-grams are exact (packed bytes, none are hashed or folded) and stay in tables on Spark: each chunk's
-distinct n-grams are joined to them, so a worker gets the part of the model that its chunk needs. Nothing of the model
+into chunks and count the chunk's n-grams of the highest order with sorted arrays. These are dealt into buckets by the two
+bytes before the last, so that a bucket holds whole contexts of all orders from three up: Spark brings the chunks' parts of a bucket
+together, a task sums them, derives the continuation counts of the lower orders and answers each chunk with the counts of
+its own n-grams and their contexts. Orders one and two have at most 65,536 n-grams a language; Spark sums them over the
+buckets, and each chunk gets them whole. N-grams are exact (none are hashed or folded); parts and answers travel as packed and
+compressed arrays, about a row for each chunk and bucket, and the number of buckets grows with the n-grams. Nothing of the model
 reaches the driver or is broadcast, and its size is not capped.
 
 ``log_perplexity`` is the mean log-perplexity per byte under the model of all documents. ``held_out`` is the same with
@@ -25,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, binary_parts, byte_lengths, mix64, portions, prefix_hash, save, span_hash
+from .common import SPACE, binary_parts, byte_lengths, drop, mix64, portions, prefix_hash, save, span_hash
 
-ORDER = 5
+ORDER, SHORT = 5, 2  # orders up to SHORT are small tables of a language
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 LINE_EDGE = " \t\n\v\f\r"
@@ -65,7 +68,7 @@ def _grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def gather(docs: DataFrame, key: str, text: str, group: Column, size: int) -> DataFrame:
     """Chunks of about ``size`` bytes of text of one language, written: chunk, g, body (compressed rows), the distinct
-    n-grams of the highest order (k, sorted) with counts (c), and the hashes of the texts (h)."""
+    n-grams of the highest order with counts (grams, packed) and how many they are (n), and the hashes of the texts (h)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}  # rows, hashes, n-grams, counts, bytes
 
@@ -73,12 +76,12 @@ def gather(docs: DataFrame, key: str, text: str, group: Column, size: int) -> Da
             rows, hashes, k, c, _ = held.pop(g)
             table = pa.Table.from_batches(rows).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
+            with pa.CompressedOutputStream(sink, "bz2") as body, pa.ipc.new_stream(body, table.schema) as out:
+                out.write_table(table)  # written and shuffled: most of the disk, so the denser code
             return pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().int >> 65]), pa.array([g]), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                 pa.array([k], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64())),
-                 pa.array([np.concatenate(hashes)], pa.list_(pa.int64()))], ["chunk", "g", "body", "k", "c", "h"])
+                 pa.array([pack(k, c)], pa.binary()), pa.array([len(k)]),
+                 pa.array([np.concatenate(hashes)], pa.list_(pa.int64()))], ["chunk", "g", "body", "grams", "n", "h"])
 
         for batch in batches:
             lengths = byte_lengths(batch.column(1))
@@ -92,17 +95,14 @@ def gather(docs: DataFrame, key: str, text: str, group: Column, size: int) -> Da
                     have = held.setdefault(g, [[], [], np.empty(0, np.int64), np.empty(0, np.int64), 0])
                     have[0].append(mine.select([key, "t"]))
                     have[1].append(text_hashes(mine.column(1)))
-                    both, counts = np.concatenate((have[2], k)), np.concatenate((have[3], c))
-                    order = np.argsort(both, kind="stable")
-                    have[2], first = np.unique(both[order], return_index=True)
-                    have[3] = np.add.reduceat(counts[order], first) if len(first) else first
+                    have[2], have[3] = _summed([have[2], k], [have[3], c])
                     have[4] += int(n.sum())
                 if sum(x[4] for x in held.values()) > size:
                     yield from [drain(g) for g in list(held)]
         yield from [drain(g) for g in list(held)]
 
     return save(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"), group.alias("g")).mapInArrow(
-        run, "chunk long, g long, body binary, k array<long>, c array<long>, h array<long>"), "kn-chunks")
+        run, "chunk long, g long, body binary, grams binary, n long, h array<long>"), "kn-chunks")
 
 
 def text_hashes(col: pa.Array) -> np.ndarray:
@@ -115,49 +115,147 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.append(first, len(x)))
 
 
+def _summed(ks: list[np.ndarray], cs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams, sorted, and the sums of their counts."""
+    k, c = np.concatenate(ks), np.concatenate(cs)
+    order = np.argsort(k, kind="stable")
+    k, first = np.unique(k[order], return_index=True)
+    return k, np.add.reduceat(c[order], first) if len(first) else c
+
+
+def _contexts(k: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Where each context of sorted n-grams begins; its sum of counts, and its followers with counts of 1, 2 and more."""
+    first = np.flatnonzero(np.concatenate(([True], k[1:] >> 8 != k[:-1] >> 8)))
+    return [first, np.add.reduceat(c, first), *(np.add.reduceat(x.astype(np.int64), first) for x in (c == 1, c == 2, c > 2))]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 as compressed bytes; of each number as many bytes as the largest of its array needs."""
+    head, body = [len(arrays)], []
+    for x in arrays:
+        width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+        head += [len(x), width]
+        body.append(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    at, out = 8 + 16 * n, []
+    for size, width in raw[8:at].view(np.int64).reshape(n, 2).tolist():
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = raw[at:at + size * width].reshape(width, size).T
+        out.append(wide.reshape(-1).view(np.int64))
+        at += size * width
+    return out
+
+
+def _dealt(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The n-grams of each chunk by bucket: chunk, g, b, grams."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, g, grams in zip(*(batch.column(i) for i in range(3))):
+                k, c = unpack(grams.as_py())
+                b = (mix64((k >> 8 & 0xFFFF).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(b, kind="stable")
+                found, n = _runs(b[order])
+                parts = np.split(order, np.cumsum(n)[:-1]) if len(n) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.as_py()] * len(parts), pa.int64()) for x in (chunk, g)] + [pa.array(found, pa.int64()),
+                     pa.array([pack(k[x], c[x]) for x in parts], pa.binary())], ["chunk", "g", "b", "grams"])
+
+    return chunks.select("chunk", "g", "grams").mapInArrow(run, "chunk long, g long, b long, grams binary")
+
+
+def _answered(parts: pa.Table) -> pa.Table:
+    """One bucket. For each chunk (of) its n-grams and, for the orders above SHORT, their counts and contexts (grams); and
+    one row without chunk: the n-grams of order SHORT (k), in how many of the bucket's longer ones they are (c), and how many
+    n-grams of each order above count 1 to 4 (t)."""
+    k = c = np.empty(0, np.int64)
+    ks, cs, held = [k], [c], 0
+    for x in parts.column("grams"):
+        a, b = unpack(x.as_py())
+        ks.append(a)
+        cs.append(b)
+        held += len(a)
+        if held > max(1 << 20, len(ks[0])):
+            k, c = _summed(ks, cs)
+            ks, cs, held = [k], [c], 0
+    k, c = _summed(ks, cs)
+    levels, tally = [], []
+    for n in range(ORDER, SHORT, -1):
+        if n < ORDER:  # continuation counts
+            k, c = _runs(np.sort(k & ((1 << 8 * n) - 1)))
+        first, *sums = _contexts(k, c)
+        levels.append((n, k, c, k[first] >> 8, sums))
+        tally += [int((c == i).sum()) for i in (1, 2, 3, 4)]
+    out = []
+    for x in parts.column("grams"):
+        mine = unpack(x.as_py())[0]
+        answer = [mine]
+        for n, keys, counts, contexts, sums in levels:
+            if n < ORDER:
+                mine = np.unique(mine & ((1 << 8 * n) - 1))
+            at = np.searchsorted(contexts, np.unique(mine >> 8))
+            answer += [counts[np.searchsorted(keys, mine)], *(s[at] for s in sums)]
+        out.append(pack(*answer))
+    k, c = _runs(np.sort(k & ((1 << 8 * SHORT) - 1)))
+    g, none = parts.column("g")[0].as_py(), [None] * len(out)
+    return pa.table({"of": pa.array([*parts.column("chunk").to_pylist(), None], pa.int64()), "g": pa.array([g] * (len(out) + 1), pa.int64()),
+                     "grams": pa.array([*out, None], pa.binary()), **{name: pa.array([*none, x], pa.list_(pa.int64()))
+                                                                      for name, x in (("k", k), ("c", c), ("t", tally))}})
+
+
 def model(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each chunk's n-grams of all orders count (chunk, n, k, c, and of the context: s and n1 to n3, the
-    followers with counts of 1, 2 and more; n = 0: rows with equal text), and the discounts of each language (g, d)."""
-    table = save(chunks.select("g", F.explode(F.arrays_zip("k", "c")).alias("x")).groupBy("g", F.col("x.k").alias("k"))
-                 .agg(F.sum("x.c").alias("c")), "kn")
+    """What each chunk needs of the model, in rows (of: the chunk) of three kinds: answers of the buckets (grams); rows with equal
+    text (k, c); the language's n-grams of order SHORT with their counts (k, c) and the discounts by order (d). And the
+    written answers, to remove them."""
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 << min(12, max(4, (total >> 20).bit_length()))  # up to a million n-grams, counted once a chunk, in a bucket of all languages
+    answers = save(_dealt(chunks, buckets).groupBy("g", "b").applyInArrow(
+        _answered, "of long, g long, grams binary, k array<long>, c array<long>, t array<long>"), "kn-answers")
     hashes = chunks.select("chunk", "g", F.explode("h").alias("k"))
     copies = hashes.groupBy("g", "k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    zero = [F.lit(0).cast("long").alias(x) for x in ("s", "n1", "n2", "n3")]
-    parts = hashes.distinct().join(copies, ["g", "k"]).select("chunk", F.lit(0).alias("n"), "k", "c", *zero)
-    cuts = None
-    for n in range(ORDER, 0, -1):
-        mask = F.lit((1 << 8 * n) - 1)
-        if n < ORDER:  # continuation counts
-            table = save(table.select("g", F.col("k").bitwiseAND(mask).alias("k")).groupBy("g", "k").agg(
-                F.count(F.lit(1)).alias("c")), "kn")
-        d = table.groupBy("g").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-
-        def cut(i: int) -> Column:
-            raw = F.lit(float(i)) - F.lit(i + 1.0) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-            safe = (F.col("n1") > 0) & (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0)  # else half of the smallest count
-            return F.when(safe, F.greatest(F.lit(0.05), F.least(raw, F.lit(i - 0.05)))).otherwise(F.lit(0.5))
-
-        d = d.select("g", F.lit(n).alias("n"), F.array(F.lit(0.0), cut(1), cut(2), cut(3)).alias("d"))
-        cuts = d if cuts is None else cuts.unionByName(d)
-        w = Window.partitionBy("g", F.shiftright("k", 8))  # at most 256 followers
-        full = table.select("g", "k", "c", F.sum("c").over(w).alias("s"), F.count_if(F.col("c") == 1).over(w).alias("n1"),
-                            F.count_if(F.col("c") == 2).over(w).alias("n2"), F.count_if(F.col("c") > 2).over(w).alias("n3"))
-        asked = chunks.select("chunk", "g", F.explode(
-            "k" if n == ORDER else F.array_distinct(F.transform("k", lambda x: x.bitwiseAND(mask)))).alias("k"))
-        parts = parts.unionByName(asked.join(full, ["g", "k"]).select("chunk", F.lit(n).alias("n"), "k", "c", "s", "n1", "n2", "n3"))
-    return parts, cuts.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "d"))), lambda x: x["d"]).alias("d"))
+    copies = hashes.distinct().join(copies, ["g", "k"])
+    sums = answers.where("of IS NULL")
+    short = save(sums.select("g", F.explode(F.arrays_zip("k", "c")).alias("x")).groupBy("g", F.col("x.k").alias("k"))
+                 .agg(F.sum("x.c").alias("c")), "kn-short")
+    times = [f"n{i}" for i in (1, 2, 3, 4)]
+    tallies = sums.select("g", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), *[
+        F.col("t")[4 * (ORDER - n) + i].alias(x) for i, x in enumerate(times)]) for n in range(ORDER, SHORT, -1)])).alias("x"))
+    tallies = tallies.groupBy("g", "x.n").agg(*[F.sum(f"x.{x}").cast("double").alias(x) for x in times])
+    table = short
+    for n in range(SHORT, 0, -1):
+        if n < SHORT:
+            table = table.groupBy("g", F.col("k").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+        tallies = tallies.unionByName(table.groupBy("g").agg(F.lit(n).alias("n"), *[
+            F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+    def cut(i: int) -> Column:
+        raw = F.lit(float(i)) - F.lit(i + 1.0) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        safe = (F.col("n1") > 0) & (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0)  # else half of the smallest count
+        return F.when(safe, F.greatest(F.lit(0.05), F.least(raw, F.lit(i - 0.05)))).otherwise(F.lit(0.5))
+
+    cuts = tallies.select("g", "n", F.array(F.lit(0.0), cut(1), cut(2), cut(3)).alias("d")).groupBy("g").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("n", "d"))), lambda x: x["d"]).alias("d"))
+    whole = short.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("x")).join(cuts, "g")
+    whole = chunks.select("chunk", "g").join(whole, "g").select("chunk", F.col("x.k").alias("k"), F.col("x.c").alias("c"), "d")
+    needs = answers.where("of IS NOT NULL").select("of", "grams").unionByName(
+        copies.select(F.col("chunk").alias("of"), F.array("k").alias("k"), F.array("c").alias("c")), True).unionByName(
+        whole.withColumnRenamed("chunk", "of"), True)
+    return needs, answers
 
 
 class Level:
     """The n-grams of one order that a chunk needs: sorted keys, counts, sums and discounted mass of their contexts."""
 
-    def __init__(self, part: pa.Table, cuts: np.ndarray):
-        k = part.column("k").to_numpy()
+    def __init__(self, cuts: np.ndarray, k: np.ndarray, c: np.ndarray, s: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray):
         order = np.argsort(k)
-        self.cuts, self.k = cuts, k[order]
-        self.c, self.s, n1, n2, n3 = (part.column(x).to_numpy()[order] for x in ("c", "s", "n1", "n2", "n3"))
-        self.mass = cuts[1] * n1 + cuts[2] * n2 + cuts[3] * n3
+        self.cuts, self.k, self.c, self.s = cuts, k[order], c[order], s[order]
+        self.mass = (cuts[1] * n1 + cuts[2] * n2 + cuts[3] * n3)[order]
 
     def cut(self, c: np.ndarray) -> np.ndarray:
         return self.cuts[np.minimum(c, 3)]
@@ -166,11 +264,26 @@ class Level:
 class Slice:
     """The part of the model that one chunk needs."""
 
-    def __init__(self, part: pa.Table, cuts: list):
-        n = part.column("n").to_numpy()
-        self.levels = {i: Level(part.filter(pa.array(n == i)), np.array(cuts[i - 1])) for i in range(1, ORDER + 1)}
-        same = part.filter(pa.array(n == 0))
-        self.copies = dict(zip(same.column("k").to_pylist(), same.column("c").to_pylist()))
+    def __init__(self, needs: pa.Table):
+        whole = needs.filter(pc.is_valid(needs.column("d")))
+        cuts, k, c = np.array(whole.column("d")[0].as_py()), *(np.array(whole.column(x)[0].as_py(), np.int64) for x in ("k", "c"))
+        found: dict[int, list] = {n: [] for n in range(1, ORDER + 1)}
+        for n in range(SHORT, 0, -1):
+            if n < SHORT:
+                k, c = _runs(np.sort(k & ((1 << 8 * n) - 1)))
+            first, *sums = _contexts(k, c)
+            found[n].append([k, c, *(np.repeat(x, np.diff(np.append(first, len(k)))) for x in sums)])
+        for x in needs.column("grams").drop_null():
+            k, *rest = unpack(x.as_py())
+            for i, n in enumerate(range(ORDER, SHORT, -1)):
+                if n < ORDER:
+                    k = np.unique(k & ((1 << 8 * n) - 1))
+                times = _runs(k >> 8)[1]
+                c, *sums = rest[5 * i:5 * i + 5]
+                found[n].append([k, c, *(np.repeat(x, times) for x in sums)])
+        self.levels = {n: Level(cuts[n - 1], *map(np.concatenate, zip(*parts))) for n, parts in found.items()}
+        same = needs.filter(pc.and_(pc.is_null(needs.column("d")), pc.is_valid(needs.column("k"))))
+        self.copies = dict(zip(*(same.column(x).combine_chunks().flatten().to_pylist() for x in ("k", "c"))))
         p = None
         for i, t in self.levels.items():  # probabilities by all documents
             low = 1 / 256 if p is None else p[np.searchsorted(self.levels[i - 1].k, t.k & ((1 << 8 * (i - 1)) - 1))]
@@ -267,14 +380,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """key, the base counts, base_failed, log_perplexity, held_out, deviations, kept: one row per row."""
     group = F.coalesce(F.xxhash64(lang), F.lit(0).cast("long"))
     chunks = gather(docs, key, text, group, size)
-    parts, cuts = model(chunks)
+    needs, answers = model(chunks)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        with pa.ipc.open_stream(left.column("body")[0].as_buffer()) as body:
-            table = body.read_all().combine_chunks()
-        cuts = left.column("d")[0].as_py()
-        part, out = Slice(right, cuts) if cuts else None, []
+        with pa.CompressedInputStream(pa.BufferReader(left.column("body")[0].as_buffer()), "bz2") as body:
+            table = pa.ipc.open_stream(body).read_all().combine_chunks()
+        part, out = Slice(right) if pc.any(pc.is_valid(right.column("d"))).as_py() else None, []
         for batch in table.to_batches():
             for i, j in portions(byte_lengths(batch.column(1)), size=1 << 20):
                 rows = batch.slice(i, j - i)
@@ -291,10 +403,12 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     [key, "g", *COUNTS, "log_perplexity", "held_out"]))
         return pa.concat_tables(out)
 
-    bodies = chunks.select("chunk", "g", "body").join(cuts, "g", "left")
-    scored = save(bodies.groupBy("chunk").cogroup(parts.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(
+    bodies = chunks.select("chunk", "g", "body")
+    scored = save(bodies.groupBy("chunk").cogroup(needs.groupBy("of")).applyInArrow(
         run, f"`{key}` {kind}, g long, " + ", ".join(f"{c} long" for c in COUNTS)
         + ", log_perplexity double, held_out double"), "kn-scored")
+    drop(chunks)
+    drop(answers)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     good = scored.where(~failed)
     middle = good.groupBy("g").agg(F.percentile_approx("held_out", 0.5, 10000).alias("mid"))

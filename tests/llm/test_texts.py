@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import bpe, common, html_text, mixing, packing, perplexity, pii, toxicity
 from quarry.llm.queries import tokenizer
@@ -379,6 +380,23 @@ def test_model_is_exact_in_any_chunks(spark):
         assert x["log_perplexity"] == pytest.approx(-np.mean([np.log(p[b[k:k + 5]]) for k in range(len(b) - 4)]), rel=1e-9)
 
 
+def test_model_travels_in_packed_rows(spark):
+    """About a row for each chunk and bucket, not one for each n-gram of each chunk and order."""
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(200)), "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    chunks = perplexity.gather(docs, "doc_id", "text", F.lit(1).cast("long"), 10_000)
+    needs, _ = perplexity.model(chunks)
+    n, total = chunks.count(), chunks.agg(F.sum("n")).first()[0]
+    assert n >= 3 and needs.count() <= n * 17 < total / 10
+    assert sum(len(x["grams"]) for x in needs.where("grams IS NOT NULL").collect()) < 30 * total  # of all orders; as rows over 100
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.array([0, 255, 256, (1 << 40) - 1]), np.empty(0, np.int64), np.zeros(3, np.int64), np.arange(300)]
+    assert all(np.array_equal(a, b) for a, b in zip(arrays, perplexity.unpack(perplexity.pack(*arrays)), strict=True))
+
+
 def test_held_out_score_is_that_of_the_other_texts(spark):
     """A text's score with its own counts out equals brute force over the other texts (discounts of all texts)."""
     r = random.Random(12)
