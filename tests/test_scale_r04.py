@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from quarry import catalog
 from quarry.operators import margin, ml
 from quarry.session import ensure_checkpoint_dir, stored
 
@@ -23,10 +24,9 @@ def _is_test(rows, fraction):
                        *((x is not None, x or 0) for x in r[:2]))
     out = {}
     for label in {r[2] for r in rows}:
-        mine = sorted(order(r) for r in rows if r[2] == label)
-        for r in rows:
-            if r[2] == label:
-                out[r] = mine.index(order(r)) < int(len(mine) * fraction + 0.5)
+        mine, first = sorted(((order(r), r) for r in rows if r[2] == label), key=lambda x: x[0]), {}
+        for i, (o, r) in enumerate(mine):
+            out[r] = first.setdefault(o, i) < int(len(mine) * fraction + 0.5)
     return out
 
 
@@ -79,3 +79,23 @@ def test_packed_blocks_are_compressed(spark):
     assert _bytes(spark) - was < 3 * 40000  # 4.7 bytes a row when a block was held row by row
     told = lambda x: np.array([x[:, 0].sum(), np.rint(x[:, 1] * 100).sum(), len(x)])
     assert margin.summed(blocks, None, told).tolist() == [a.sum(), b.sum(), 40000]
+
+
+@pytest.mark.parametrize("query", ["reg_forest", "reg_svr"])
+def test_regressions_write_little_more_than_their_rows(spark, tmp_path, query):
+    rng, n = np.random.default_rng(5), 30000
+    li = pd.DataFrame({"l_orderkey": np.arange(n) // 3, "l_linenumber": np.arange(n) % 3, "l_partkey": rng.integers(1, 9000, n),
+                       "l_suppkey": rng.integers(1, 500, n), "l_quantity": rng.integers(1, 51, n).astype(float),
+                       "l_discount": rng.integers(0, 11, n) / 100, "l_tax": rng.integers(0, 9, n) / 100})
+    spark.createDataFrame(li).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys = [f"{a}\x01{b}\x01{c}\x01{d}" for a, b, c, d in zip(*(li[k] for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))]
+    test = np.argsort([hashlib.md5(f"42{k}".encode()).hexdigest() for k in keys])[:n // 5]
+    label = (2 * li["l_quantity"] + 3 * li["l_discount"])[test]
+    was = _bytes(spark)
+    got = catalog.queries()[query](spark, str(tmp_path)).collect()
+    assert _bytes(spark) - was < 25 * n  # 81 bytes a row and more when rows were ranked and pinned
+    if query == "reg_forest":
+        assert got[0]["rows"] == n // 5 and abs(got[0]["mean_label"] - label.mean()) < 1e-4
+    else:
+        found = {(r["l_orderkey"], r["l_linenumber"]): (r["label"], r["in_tube"]) for r in got}
+        assert found == {(i // 3, i % 3): (round(label[i], 2), True) for i in test.tolist()}
