@@ -172,7 +172,7 @@ def lineitem_reg(spark, sf):
 
 def _fit_reg(spark, sf, name):
     prep, feats = M.ml_prepare(lineitem_reg(spark, sf), "y", LI_KEY, ["l_quantity", "l_discount", "l_tax"], "regression")
-    split = stored(M.ml_split(prep, LI_KEY, None))
+    split = stored(M.ml_split(prep, LI_KEY, None, in_place=True))
     pred, model, _ = M.fit_predict(name, "regression", split.where(~F.col("is_test")), split.where(F.col("is_test")),
                                    feats, LI_KEY)
     return pred
@@ -228,7 +228,7 @@ def q_reg_ridge_predictions(spark, sf):
 def q_reg_predictions(spark, sf):
     """algorithm, key, label, prediction of every test row, for the regressions that SQL cannot follow."""
     prep, feats = M.ml_prepare(lineitem_reg(spark, sf), "y", LI_KEY, ["l_quantity", "l_discount", "l_tax"], "regression")
-    split = stored(M.ml_split(prep, LI_KEY, None))
+    split = pin(M.ml_split(prep, LI_KEY, None))
     return reduce(DataFrame.unionByName, M.fit_predict_each(
         ("Decision Tree", "Random Forest", "Gradient Boosting"), "regression", split.where(~F.col("is_test")), split.where(F.col("is_test")),
         feats, LI_KEY))

@@ -38,16 +38,16 @@ def test_split_by_the_last_test_row_is_the_split_by_ranks(spark, fraction):
     rows += [(1000 + i, None, 9.0) for i in range(2)]  # too few for a test row at 0.2
     want = _is_test(rows, fraction)
     df = spark.createDataFrame(rows, "a long, b int, label double").repartition(3)
-    got = ml.ml_split(df, ["a", "b"], test_fraction=fraction).collect()
+    got = ml.ml_split(df, ["a", "b"], test_fraction=fraction, in_place=True).collect()
     assert sorted(map(str, rows)) == sorted(str(tuple(r)[:3]) for r in got)
     assert all(r["is_test"] == want[tuple(r)[:3]] for r in got)
     whole = _is_test([(a, b, 0) for a, b, _ in rows], fraction)
-    assert all(r["is_test"] == whole[(r["a"], r["b"], 0)] for r in ml.ml_split(df, ["a", "b"], None, fraction).collect())
+    assert all(r["is_test"] == whole[(r["a"], r["b"], 0)] for r in ml.ml_split(df, ["a", "b"], None, fraction, in_place=True).collect())
 
 
 def test_split_of_many_strata(spark):
     df = spark.range(6000).selectExpr("id", "id % 2000 as label")
-    got = ml.ml_split(df, ["id"], test_fraction=0.34).collect()
+    got = ml.ml_split(df, ["id"], test_fraction=0.34, in_place=True).collect()
     assert len(got) == 6000 and len({r["label"] for r in got if r["is_test"]}) == sum(r["is_test"] for r in got) == 2000
 
 
@@ -55,9 +55,9 @@ def test_split_writes_no_rows(spark):
     df = spark.range(51000).selectExpr("id", "id % 7 as other", "cast(id % 3 as double) as label")
     for label in (None, "label"):
         was = _bytes(spark)
-        assert ml.ml_split(df, ["id", "other"], label).where("is_test").count() == 10200
+        assert ml.ml_split(df, ["id", "other"], label, in_place=True).where("is_test").count() == 10200
         assert _bytes(spark) - was < 2 * 51000  # 42 bytes a row when rows were ranked
-        plan = ml.ml_split(df, ["id", "other"], label)._jdf.queryExecution().executedPlan().toString()
+        plan = ml.ml_split(df, ["id", "other"], label, in_place=True)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
